@@ -42,6 +42,8 @@ from .components import connected_components
 BAND = 1.5
 #: Rows of a verification group, and of a block of the exact rest.
 GROUP, BLOCK = 256, 512
+#: Words of a distance sketch at most: bucket rows of long texts stay short; a narrow sketch is a lower bound too.
+WIDEST = 64
 _SEED = np.uint64(0x5DEECE66D1234567)
 
 
@@ -132,8 +134,8 @@ def _facts(sets: list[np.ndarray], percent: int) -> list[pa.Array]:
 
 
 def distance_words(band: np.ndarray) -> np.ndarray:
-    """Words of the sketches that bound distances: two bits for each member of the band's largest set."""
-    return np.ceil(BAND ** (band + 1.0) / 32).astype(np.int64)
+    """Words of the sketches that bound distances: two bits for each member of the band's largest set, up to WIDEST."""
+    return np.minimum(np.ceil(BAND ** (band + 1.0) / 32), WIDEST).astype(np.int64)
 
 
 def unpack(blob: bytes) -> dict[int, np.ndarray]:
@@ -274,14 +276,14 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str
     bucket = Window.partitionBy("key")
     shared = keyed.select("key", "id", F.min("id").over(bucket).alias("low"), F.max("id").over(bucket).alias("high")).where("low <> high").select("key", "id")
     sketches = alone.select("id", "n", "sketch")
-    buckets = materialise(shared.join(sketches, "id"), "buckets")
-    tried = materialise(_pairs(buckets.withColumn("comp", F.col("id")), percent, forest=True), "pairs")
+    buckets = materialise(shared, "buckets")
+    tried = materialise(_pairs(buckets.withColumn("comp", F.col("id")), sketches, percent, forest=True), "pairs")
     links = materialise(_links(tried, plain, k, percent), "links")
     found = copies.union(links)
     comps = connected_components(found)
     # buckets that lie in several components still: every pair between these is looked at
     now = buckets.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    rest = _pairs(now, percent, forest=False).join(tried, ["a", "b"], "left_anti")
+    rest = _pairs(now, sketches, percent, forest=False).join(tried, ["a", "b"], "left_anti")
     rest = materialise(rest, "rest")
     if not rest.isEmpty():
         comps = connected_components(found.union(_links(rest, plain, k, percent)))
@@ -291,12 +293,16 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str
     return out.withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long")))
 
 
-def _pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Candidate pairs (a < b) of buckets with several components; large buckets are cut into blocks."""
+def _pairs(rows: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Candidate pairs (a < b) of buckets with several components; large buckets are cut into blocks.
+
+    The sketches join last, so only one exchange carries them.
+    """
     sizes = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("low <> high").select("key", "blocks")
     rows = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    spread = rows.select("key", "id", "n", "comp", "sketch", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "comp", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "sketch")
+    spread = rows.select("key", "id", "comp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "comp", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+    spread = spread.join(sketches, "id").select("key", "i", "j", "id", "n", "comp", "side", "sketch")
     width = shuffle_width(rows.sparkSession)
     return spread.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(_scan_buckets(percent, forest), "a long, b long").distinct()
 
