@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.detect import detect
 from ..functions.rules import RANK
+from ..functions.stage import staged
 from ..sources.policy import Policy
 from .segments import external_path, segments
 
@@ -31,10 +32,13 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """df with a running number from 1 in the given order, without gathering rows in one task.
 
     Rows are ranged by the order; each range counts its rows, and a range's
-    numbers begin after those before it. Only the counts meet in one place.
+    numbers begin after those before it. Only the counts meet in one place. The rows
+    are written first, since ranging, counting and numbering each read them.
     """
+    df = staged(df, name)
     width = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     ranged = df.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    ranged = staged(ranged, name)  # the bounds come from a random sample: both uses must see the same ranges
     starts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("low"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = starts.select("__p", (before - F.col("low")).alias("shift"))

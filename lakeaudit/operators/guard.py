@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.detect import detect
 from ..functions.rules import LAYERS
+from ..functions.stage import staged
 from ..sources.policy import Policy
 from .findings import boundary_action, redaction_action
 
@@ -70,7 +71,7 @@ def redact_trace(events: DataFrame, policy: Policy, *, analyzer: Callable[[], ob
     import ahocorasick
 
     spark = events.sparkSession
-    done = guard(events, policy, text="content", analyzer=analyzer)
+    done = staged(guard(events, policy, text="content", analyzer=analyzer).select(*events.columns, "findings", "redacted_text"), "guarded")
     found = done.select("event_no", F.posexplode("findings").alias("i", "f")).groupBy("f.value").agg(F.min(F.struct("event_no", "i", F.col("f.redaction").alias("redaction"))).alias("first"))
     entries = found.orderBy(F.desc(F.length("value")), "first").select("value", "first.redaction").limit(DICTIONARY + 1).collect()
     if len(entries) > DICTIONARY:
