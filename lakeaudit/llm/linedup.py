@@ -7,6 +7,7 @@ it is a passage by itself. Chunks of several lines, and such long lines, that
 occur more than once in the table are removed but for the first occurrence (by
 doc_id, then position), after the bytes of all occurrences were compared.
 
+Both joins are merge joins at every size: their small sides grow with the table.
 Chunks meet by 128-bit hash with partial aggregation, so a chunk that a third
 of all documents hold stays one row per task; texts are rebuilt from a list of
 chunk numbers for each document.
@@ -59,10 +60,10 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     first = F.min(F.struct("__id", "__row", "no")).alias("first")
     repeated = found.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("low"), F.max("body").alias("high"), first)
     repeated = materialise(repeated.where("n > 1 and low = high").select("chunk", "first"), "repeated")
-    at = found.select("__row", "__id", "no", "chunk").join(repeated, "chunk").where("not (first.__row = __row and first.no = no)")
+    at = found.select("__row", "__id", "no", "chunk").join(repeated.hint("merge"), "chunk").where("not (first.__row = __row and first.no = no)")
     gone = materialise(at.groupBy("__row").agg(F.collect_set("no").alias("__gone")), "gone")
     rows = docs.withColumn("__row", F.concat(F.hex(F.xxhash64(F.col(key), F.col(text))), F.hex(F.hash(F.col(text), F.col(key)))))
-    rows = rows.join(gone, "__row", "left").drop("__row")
+    rows = rows.join(gone.hint("merge"), "__row", "left").drop("__row")
     rows = _chunked(rows, key, text).drop("__row")
     kept = f"array_join(flatten(transform(filter(sequence(0, size(__ends) - 1), j -> not array_contains(__gone, j)), j -> {_PIECE})), '\n')"
     rows = rows.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.expr(kept)))
