@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str
     # equal sets hang from the smallest id that has the set
     reps = some.groupBy("ident").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last")
     copies = materialise(some.select("id", "ident").join(reps, "ident").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
-    alone = some.join(copies.select(F.col("a").alias("id")), "id", "left_anti")
+    alone = some.join(copies.select(F.col("a").alias("id")).hint("merge"), "id", "left_anti")
     keyed = alone.select("id", "keys").mapInArrow(_expand, "key long, id long")
     bucket = Window.partitionBy("key")
     shared = keyed.select("key", "id", F.min("id").over(bucket).alias("low"), F.max("id").over(bucket).alias("high")).where("low <> high").select("key", "id")
@@ -310,7 +310,7 @@ def _pairs(rows: DataFrame, sketches: DataFrame, percent: int, forest: bool) ->
 def _links(pairs: DataFrame, plain: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that the texts confirm."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = materialise(plain.join(wanted, "id", "left_semi").distinct(), "texts")
+    texts = materialise(plain.join(wanted.hint("merge"), "id", "left_semi").distinct(), "texts")
     chunks = pairs.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
     members = pairs.select(F.col("a").alias("hub"), F.col("b").alias("id")).join(chunks, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id")
     hubs = chunks.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("hub").alias("id"))
