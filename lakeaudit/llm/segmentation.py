@@ -9,11 +9,11 @@ completed scores.
 
 No piece holds a word-start mark after another character, nor a line end within,
 so the lattice of a text is a chain of the lattices of its words (checked when
-the vocabulary is read; else a text is one word). The forward and backward
-passes run for all new words of a batch together, in numpy. They also give each
-word's loss, the gap between its two best paths: only the N - 1 occurrences of
-least loss can differ from the best path within the N best, so A* runs on those
-words and the same search over their alternatives joins them. The result is
+the vocabulary is read; else a text is one word). The forward pass runs once for
+each distinct word that a worker meets. It also gives the word's loss, the gap
+between its two best paths: only the N - 1 occurrences of least loss can differ
+from the best path within the N best, so A* runs on those words and the same
+search over their alternatives joins them. The result is
 exact, ties aside, for whole texts of any length.
 
 A character outside the vocabulary becomes its UTF-8 bytes' pieces, with a score
@@ -131,13 +131,22 @@ def path_ids(word: str, cuts: list[int], voc: Vocabulary) -> list[int]:
 
 
 def a_star(word: str, n_best: int, voc: Vocabulary) -> list[tuple[float, list[int]]]:
-    """The n best (score, cuts) of a word: backward search with the forward scores as exact heuristic."""
+    """The n best (score, cuts) of a word: backward search with the forward scores as exact heuristic.
+
+    Scores that differ by less than 1e-6 count as ties, and of tied partial paths
+    the longest goes first: a run of one character has as many tied paths as
+    places for its odd piece. Partial paths share their tails.
+    """
     ahead, _, _ = forward(word, voc)
-    queue, out, tie = [(-ahead[-1], 0, len(word), 0.0, (len(word),))], [], 0
+    queue, out, tie = [(-round(ahead[-1], 6), len(word), 0, 0.0, (len(word), None))], [], 0
     while queue and len(out) < n_best:
-        _, _, at, tail, cuts = heapq.heappop(queue)
+        _, at, _, tail, path = heapq.heappop(queue)
         if at == 0:
-            out.append((tail, list(cuts)))
+            cuts = []
+            while path:
+                cuts.append(path[0])
+                path = path[1]
+            out.append((tail, cuts))
             continue
         for a in range(max(0, at - voc.longest), at):
             piece = voc.pieces.get(word[a:at])
@@ -145,8 +154,8 @@ def a_star(word: str, n_best: int, voc: Vocabulary) -> list[tuple[float, list[in
                 continue
             done = tail + (piece[1] if piece else voc.unknown)
             tie += 1
-            heapq.heappush(queue, (-(ahead[a] + done), tie, a, done, (a, *cuts)))
-    return out
+            heapq.heappush(queue, (-round(ahead[a] + done, 6), a, tie, done, (a, path)))
+    return sorted(out, key=lambda x: -x[0])
 
 
 class Segmenter:
