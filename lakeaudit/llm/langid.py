@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,8 @@ from . import textkernel as tk
 SAMPLE_PER_LANGUAGE = 400
 #: Bound of the training sample, in bytes of text of one language.
 SAMPLE_BYTES = 1_200_000
+#: Texts of more bytes enter the sample after all others, so that they don't fill it.
+LONG_BYTES = 60_000
 BUCKET_BITS = 14
 ORDERS = (2, 3, 4)
 DIM = 8
@@ -186,8 +188,9 @@ def calibrate(model: LanguageModel, texts: list[str], y: np.ndarray) -> Language
 def fit(docs: DataFrame, usable: Column, *, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
     """Train on a sample of the usable labelled rows.
 
-    The sample is the rows with the smallest hashes of their keys, at most
-    SAMPLE_PER_LANGUAGE of each language; only that bounded sample comes to the driver.
+    The sample is the rows with small hashes of their keys, about
+    SAMPLE_PER_LANGUAGE of each language within SAMPLE_BYTES, and one at least;
+    only that bounded sample comes to the driver.
     """
     rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -198,15 +201,14 @@ def fit(docs: DataFrame, usable: Column, *, text: str = "text", lang: str = "lan
     for name, n in sorted(counts.items()):
         keep = keep | ((F.col(lang) == F.lit(name)) & (u < F.lit(SAMPLE_PER_LANGUAGE / n)))
     sample = rows.where(keep).select(F.col(lang).alias("l"), F.col(text).alias("t"), u.alias("u"), F.octet_length(text).alias("b"))
-    sample = sample.withColumn("b", F.sum("b").over(_by_language())).where(F.col("b") <= SAMPLE_BYTES)
+    sample = sample.withColumn("no", F.row_number().over(_by_language())).withColumn("b", F.sum("b").over(_by_language().rowsBetween(Window.unboundedPreceding, 0)))
+    sample = sample.where((F.col("b") <= SAMPLE_BYTES) | (F.col("no") == 1))
     got = sample.select("l", "t", "u").toArrow().sort_by([("u", "ascending"), ("l", "ascending"), ("t", "ascending")])
     return train(got["t"].to_pylist(), got["l"].to_pylist())
 
 
 def _by_language():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("l").orderBy("u", "t").rowsBetween(Window.unboundedPreceding, 0)
+    return Window.partitionBy("l").orderBy(F.octet_length("t") > LONG_BYTES, "u", "t")
 
 
 def predict(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> DataFrame:
