@@ -275,8 +275,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str
     keyed = alone.select("id", "keys").mapInArrow(_expand, "key long, id long")
     bucket = Window.partitionBy("key")
     shared = keyed.select("key", "id", F.min("id").over(bucket).alias("low"), F.max("id").over(bucket).alias("high")).where("low <> high").select("key", "id")
-    sketches = alone.select("id", "n", "sketch")
     buckets = materialise(shared, "buckets")
+    # most documents share no bucket; the others' sketches are used twice
+    sketches = materialise(alone.select("id", "n", "sketch").join(buckets.select("id").distinct().hint("merge"), "id", "left_semi"), "sketches")
     tried = materialise(_pairs(buckets.withColumn("comp", F.col("id")), sketches, percent, forest=True), "pairs")
     links = materialise(_links(tried, plain, k, percent), "links")
     found = copies.union(links)
