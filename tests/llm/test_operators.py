@@ -119,6 +119,21 @@ def test_nbest_and_round_trip(spark):
         assert {segmentation.decode(r["ids"], voc) for r in rows} == {t or ""}
 
 
+def test_nbest_of_a_very_long_word():
+    """Runs of one character have tied paths without number."""
+    voc = segmentation.Vocabulary.read(PIECES)
+    for word in ("x" * 40_001, "-" * 39_999):
+        got = segmentation.a_star(segmentation.MARK + word, 3, voc)
+        assert [s for s, _ in got] == sorted((s for s, _ in got), reverse=True) and len({tuple(c) for _, c in got}) == 3
+        assert np.isclose(got[0][0], best(word, 1, voc)[0])
+
+
+def test_language_sample_survives_a_long_text(spark):
+    frame = docs(spark, ["the cat and the dog " * 90_000, *["the cat and the dog"] * 20, *["der hund und die katze"] * 20], ["en"] * 21 + ["de"] * 20)
+    assert set(langid.fit(frame, F.lit(True)).languages) == {"en", "de"}
+    assert set(langid.fit(frame.where("doc_id = 0"), F.lit(True)).languages) == {"en"}
+
+
 def test_quality_learns(spark):
     good, bad = [words(i, 40) for i in range(80)], [words(i, 10).replace(" ", " ### $$$ ") for i in range(80)]
     frame = docs(spark, [*good, *bad, "", None])
