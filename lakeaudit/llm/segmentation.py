@@ -55,7 +55,7 @@ class Vocabulary:
     longest: int = 0
     unknown: float = 0.0
     by_word: bool = True
-    prefixes: dict[str, float | None] | None = None
+    trie: dict[str, tuple] | None = None
 
     @classmethod
     def read(cls, model: str) -> Vocabulary:
@@ -74,8 +74,13 @@ class Vocabulary:
         ordinary = [s for _, s in self.pieces.values() if s > -1e8]
         self.unknown = min(ordinary, default=0.0) - UNKNOWN_GAP
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}|.\n|\n.", p, re.S) for p in self.pieces)
-        self.prefixes = dict.fromkeys(p[:i] for p in self.pieces for i in range(1, len(p)))
-        self.prefixes |= {p: s for p, (_, s) in self.pieces.items()}
+        # character: (score or None, id or -1, the same for the next character)
+        self.trie = {}
+        for piece, (i, score) in sorted(self.pieces.items()):  # beginnings come before what they begin
+            level = self.trie
+            for c in piece[:-1]:
+                level = level.setdefault(c, (None, -1, {}))[2]
+            level[piece[-1]] = (score, i, {})
         return self
 
 
@@ -90,35 +95,39 @@ def split_words(text: str, voc: Vocabulary) -> list[str]:
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
-def forward(word: str, voc: Vocabulary) -> tuple[list[float], list[int], float]:
-    """Best score of each prefix, where its last piece begins, and the loss: best less second best path."""
-    n, get, unknown = len(word), voc.prefixes.get, voc.unknown
-    best, second, back = [0.0] + [NEVER] * n, [NEVER] * (n + 1), [0] * (n + 1)
+def forward(word: str, voc: Vocabulary) -> tuple[list[float], list[int], list[int], float]:
+    """Best score of each prefix, where its last piece begins and that piece's id (-1: bytes), and the loss: best less second best path."""
+    n, root, unknown = len(word), voc.trie, voc.unknown
+    best, second, back, last = [0.0] + [NEVER] * n, [NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
     for a in range(n):
         x0, y0 = best[a], second[a]
-        for e in range(a + 1, n + 1):
-            s = get(word[a:e], False)  # a score; None: only the beginning of pieces; False: not even that
-            if s is None or s is False:
-                if e > a + 1:
-                    if s is None:
+        children, e = root, a
+        for c in word[a : a + voc.longest]:
+            e += 1
+            node = children.get(c)
+            if node is not None:
+                s, i, children = node
+                if s is None:  # only the beginning of pieces
+                    if e > a + 1:
                         continue
-                    break
-                deeper, s = s is None, unknown
+                    s = unknown
+            elif e == a + 1:
+                s, i, children = unknown, -1, None
             else:
-                deeper = True
+                break
             x, y = x0 + s, y0 + s
             top = best[e]
             if x > top:
                 if top > y:
                     y = top
-                best[e], back[e] = x, a
+                best[e], back[e], last[e] = x, a, i
             elif x > y:
                 y = x
             if y > second[e]:
                 second[e] = y
-            if not deeper:
+            if not children:
                 break
-    return best, back, best[n] - second[n] if second[n] > -1e200 else float("inf")
+    return best, back, last, best[n] - second[n] if second[n] > -1e200 else float("inf")
 
 
 def path_ids(word: str, cuts: list[int], voc: Vocabulary) -> list[int]:
@@ -137,7 +146,7 @@ def a_star(word: str, n_best: int, voc: Vocabulary) -> list[tuple[float, list[in
     the longest goes first: a run of one character has as many tied paths as
     places for its odd piece. Partial paths share their tails.
     """
-    ahead, _, _ = forward(word, voc)
+    ahead = forward(word, voc)[0]
     queue, out, tie = [(-round(ahead[-1], 6), len(word), 0, 0.0, (len(word), None))], [], 0
     while queue and len(out) < n_best:
         _, at, _, tail, path = heapq.heappop(queue)
@@ -178,11 +187,12 @@ class Segmenter:
         for w in words:
             if w in self.at:
                 continue
-            best, back, gap = forward(w, self.voc)
-            cuts = [len(w)]
-            while cuts[-1]:
-                cuts.append(back[cuts[-1]])
-            own = path_ids(w, cuts[::-1], self.voc)
+            best, back, last, gap = forward(w, self.voc)
+            own, at = [], len(w)
+            while at:
+                own += (last[at],) if last[at] >= 0 else [self.voc.byte_ids[x] for x in reversed(w[at - 1].encode("utf-8", "surrogatepass"))]
+                at = back[at]
+            own.reverse()
             score.append(best[-1])
             loss.append(gap)
             count.append(len(own))
