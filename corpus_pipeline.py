@@ -23,7 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go, and documents of which nothing is left."""
-    clean = linedup.dedup_lines(docs)
+    # written first: a filter pushed below the rebuilt text would compute its chunks once for each line
+    clean = materialise(linedup.dedup_lines(docs), "clean")
     left = clean.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
