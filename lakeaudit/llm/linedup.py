@@ -7,12 +7,19 @@ it is a passage by itself. Chunks of several lines, and such long lines, that
 occur more than once in the table are removed but for the first occurrence (by
 doc_id, then position), after the bytes of all occurrences were compared.
 
-Both joins are merge joins at every size: their small sides grow with the table.
+Boundaries cut through a passage's first and last lines, so passages are also
+found without them: a span is a shortest run of whole lines of over ``LONG`` words,
+from each line on and back from each line. Every run of over ``LONG`` words is
+covered by its spans, and two equal runs have equal spans, so removing all spans
+that occur before removes all such runs, whatever the boundaries. Spans meet by
+SHA-256 of their bytes. One that overlaps its own first occurrence stays.
+
+All joins are merge joins at every size: their small sides grow with the table.
 Chunks meet by 128-bit hash with partial aggregation, so a chunk that a third
 of all documents hold stays one row per task; texts are rebuilt from a list of
-chunk numbers for each document.
+line ranges for each document.
 
-Defined results: null text stays null; a text whose chunks all go becomes empty;
+Defined results: n_removed counts the chunks that lost a line; null text stays null; a text whose chunks all go becomes empty;
 rows with equal doc_id and text count as one document; chunks of equal hash but
 different bytes stay; an empty table gives an empty table. Extra columns pass
 through, but for those named like a result column.
@@ -46,30 +53,59 @@ _PIECE = "slice(__lines, if(j = 0, 0, __ends[j - 1] + 1) + 1, __ends[j] - if(j =
 
 
 def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row for each chunk that may go: document, chunk number, bytes and hash."""
+    """One row for each chunk that may go: document, lines (packed), bytes and hash."""
     rows = _chunked(docs.where(F.col(text).isNotNull()), key, text)
     wanted = "filter(sequence(0, size(__ends) - 1), j -> __ends[j] > if(j = 0, -1, __ends[j - 1]) + 1 or __long[__ends[j]])"
-    picked = rows.select("__row", F.col(key).cast("long").alias("__id"), F.explode(F.expr(f"transform({wanted}, j -> named_struct('no', j, 'body', array_join({_PIECE}, '\n')))")).alias("c"))
-    return picked.select("__row", "__id", F.col("c.no").alias("no"), F.unhex(F.md5(F.col("c.body"))).alias("chunk"), F.col("c.body").alias("body"))
+    picked = rows.select("__row", F.col(key).cast("long").alias("__id"), F.explode(F.expr(f"transform({wanted}, j -> named_struct('at', {_packed('if(j = 0, 0, __ends[j - 1] + 1)', '__ends[j]')}, 'body', array_join({_PIECE}, '\n')))")).alias("c"))
+    return picked.select("__row", "__id", F.col("c.at").alias("at"), F.unhex(F.md5(F.col("c.body"))).alias("chunk"), F.col("c.body").alias("body"))
+
+
+def _packed(first: str, last: str) -> str:
+    return f"shiftleft(cast({first} as bigint), 32) + {last}"
+
+
+def _spans(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row for each span: document, lines (packed) and hash. __of holds the line of each word."""
+    rows = _chunked(docs.where(F.col(text).isNotNull()), key, text)
+    rows = rows.withColumn("__of", F.flatten(F.transform("__lines", lambda line, i: F.array_repeat(i, F.regexp_count(line, F.lit(WORD))))))
+    ends = f"if(size(__of) > {LONG}, sequence({LONG}, size(__of) - 1), cast(array() as array<int>))"
+    edge = f"k = {LONG} or __of[k - {LONG}] <> __of[k - {LONG + 1}] or k = size(__of) - 1 or __of[k] <> __of[k + 1]"
+    packed = f"array_distinct(transform(filter({ends}, k -> {edge}), k -> {_packed(f'__of[k - {LONG}]', '__of[k]')}))"
+    rows = rows.withColumn("__at", F.expr(packed))
+    body = f"array_join(slice(__lines, cast({FIRST.format('w')} as int) + 1, cast({LAST.format('w')} - {FIRST.format('w')} as int) + 1), '\n')"
+    wanted = f"filter(__at, w -> {FIRST.format('w')} < {LAST.format('w')} or not __long[cast({FIRST.format('w')} as int)])"
+    picked = rows.select("__row", F.col(key).cast("long").alias("__id"), F.explode(F.expr(f"transform({wanted}, w -> named_struct('at', w, 'span', unhex(sha2({body}, 256))))")).alias("c"))
+    return picked.select("__row", "__id", F.col("c.at").alias("at"), F.col("c.span").alias("span"))
+
+
+FIRST, LAST = "shiftright({0}, 32)", "({0} & 4294967295)"
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the remaining text, n_chunks and n_removed."""
     docs = docs.drop(*RESULTS)
     found = _occurrences(docs, key, text)
-    first = F.min(F.struct("__id", "__row", "no")).alias("first")
+    first = F.min(F.struct("__id", "__row", "at")).alias("first")
     repeated = found.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("low"), F.max("body").alias("high"), first)
     repeated = materialise(repeated.where("n > 1 and low = high").select("chunk", "first"), "repeated")
-    at = found.select("__row", "__id", "no", "chunk").join(repeated.hint("merge"), "chunk").where("not (first.__row = __row and first.no = no)")
-    gone = materialise(at.groupBy("__row").agg(F.collect_set("no").alias("__gone")), "gone")
+    at = found.select("__row", "__id", "at", "chunk").join(repeated.hint("merge"), "chunk").where("not (first.__row = __row and first.at = at)")
+    spans = materialise(_spans(docs, key, text), "spans")
+    again = spans.groupBy("span").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("span", "first")
+    over = spans.select("__row", "at", "span").join(again.hint("merge"), "span").where(f"not (first.__row = __row and {FIRST.format('at')} <= {LAST.format('first.at')})")
+    gone = at.select("__row", "at").union(over.select("__row", "at")).groupBy("__row").agg(F.collect_set("at").alias("__gone"))
+    gone = materialise(gone, "gone")
     rows = docs.withColumn("__row", F.concat(F.hex(F.xxhash64(F.col(key), F.col(text))), F.hex(F.hash(F.col(text), F.col(key)))))
     rows = rows.join(gone.hint("merge"), "__row", "left").drop("__row")
     rows = _chunked(rows, key, text).drop("__row")
-    kept = f"array_join(flatten(transform(filter(sequence(0, size(__ends) - 1), j -> not array_contains(__gone, j)), j -> {_PIECE})), '\n')"
+    rows = rows.withColumn("__out", F.expr(f"array_distinct(flatten(transform(__gone, w -> sequence(cast({FIRST.format('w')} as int), cast({LAST.format('w')} as int)))))"))
+    chunk = "flatten(transform(__ends, (e, j) -> array_repeat(j, e - if(j = 0, -1, __ends[j - 1]))))"
+    lost = f"transform(array({chunk}), of -> size(array_distinct(transform(__out, i -> of[i]))))[0]"
+    kept = "array_join(transform(array_except(sequence(0, size(__lines) - 1), __out), i -> __lines[i]), '\n')"
+    rows = rows.withColumn("n_removed", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.expr(lost)).cast("long"))
+    rows = rows.withColumn("n_chunks", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.coalesce(F.size("__ends"), F.lit(0))).cast("long"))
     rows = rows.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.expr(kept)))
-    rows = rows.withColumn("n_chunks", F.coalesce(F.size("__ends"), F.lit(0)).cast("long")).withColumn("n_chunks", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("n_chunks")).cast("long"))
-    rows = rows.withColumn("n_removed", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long"))
-    return rows.drop("__gone", "__lines", "__h", "__long", "__ends")
+    return rows.select(*docs.columns, *RESULTS)
 
 
 ORACLE = f"""

@@ -80,6 +80,21 @@ def test_line_chunks(spark):
     assert copies[0]["n_removed"] == 0 and copies[1]["text"] == copies[2]["text"] != copies[0]["text"]
 
 
+def test_passages_of_short_lines(spark):
+    """Repeated runs of over 50 words go whatever the chunk boundaries; shorter single lines stay."""
+    lines = [words(100 + i, 13) for i in range(5)]
+    passage = "\n".join(lines)
+    texts = [passage]
+    for i in range(12):
+        texts.append(f"{words(200 + i, 9)}\n{passage}\n{words(300 + i, 9)}")
+    texts += [f"{words(400, 9)}\n{lines[0]}\n{words(401, 9)}", "\n".join(["a b c"] * 60), "\n".join(["a b c"] * 60) + "\nend"]
+    out = {r["doc_id"]: r for r in linedup.dedup_lines(docs(spark, texts)).collect()}
+    assert out[0]["text"] == passage and out[0]["n_removed"] == 0
+    for i in range(12):
+        assert out[i + 1]["text"] == f"{words(200 + i, 9)}\n{words(300 + i, 9)}" and out[i + 1]["n_removed"] >= 1
+    assert lines[0] in out[13]["text"] and out[14]["text"].count("a b c") >= 17 and out[15]["text"] == "end"
+
+
 def test_imatch(spark):
     texts = [words(i, 120) for i in range(30)] + [None, "", "same text", "same text", "日本語 テキスト 😀"]
     frame = docs(spark, texts)
