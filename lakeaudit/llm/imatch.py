@@ -7,11 +7,13 @@ several randomised subsets of it, which change less often with an edit.
 Subsets come at several sampling rates, so that texts of a few and of thousands
 of terms both find subsets that hold about one or two of their terms.
 
-Document frequencies are counted over all documents. The band's lower end is a
-share of the documents, so the lexicon has at most (mean distinct terms of a
-document) / RARE terms however large the table is; that bounded list alone goes
-to every task. A text with fewer than FEW lexicon terms is hashed over all of its
-terms, so that short texts do not fall together.
+Document frequencies are counted over all distinct texts, so that copies push no
+term out of the band. The band's lower end is a share of these, so the lexicon has
+at most (mean distinct terms of a text) / RARE terms however large the table is;
+that bounded list alone goes to every task. Each text is hashed over all of its
+terms too; where one of two texts has fewer than FEW lexicon terms, these hashes
+are compared, so both sides always stand for the same kind of terms and short
+texts do not fall together.
 
 Defined results: null text counts as empty; texts with the same set of terms,
 and so equal texts, have equal fingerprints; likeness is 1 for equal
@@ -37,6 +39,8 @@ RARE, COMMON = 1 / 1000, 1 / 4
 FEW = 5
 #: A hash of a term picks one of so many subsets of the lexicon; the first EACH of each kind are used.
 KINDS, EACH = (16, 64, 256, 1024), 16
+#: Hashes of a text over one kind of terms.
+BLOCK = 1 + len(KINDS) * EACH
 #: Bytes of text that a task of the neighbour pass should hold.
 CHUNK_BYTES = 32_000_000
 
@@ -75,9 +79,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lexicon(docs: DataFrame, *, text: str = "text", rare: float = RARE, common: float = COMMON) -> np.ndarray:
-    """Sorted hashes of the terms in the band; counts cover all documents."""
-    total = docs.count()
-    counts = docs.select(text).mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    """Sorted hashes of the terms in the band; counts cover all distinct texts."""
+    total = docs.select(F.xxhash64(text)).distinct().count()
+    counts = docs.select(text).distinct().mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     got = counts.where((F.col("n") >= max(2.0, rare * total)) & (F.col("n") <= max(2.0, common * total))).select("term").toArrow()
     return np.sort(got["term"].to_numpy().view(np.uint64))
 
@@ -91,9 +95,9 @@ class Fingerprints:
         self.bits[terms >> np.uint64(42)] = True
 
     def parts(self, texts: pa.Array) -> np.ndarray:
-        """For each text: hash over the whole lexicon, then over each subset; 0: no term."""
+        """For each text: hash over the whole lexicon, then over each subset, all 0 below FEW terms; then the same over all terms; 0: no term."""
         out = [self._run(*run) for run in term_sets(texts)]
-        return np.concatenate(out) if out else np.zeros((0, 1 + len(KINDS) * EACH), np.uint64)
+        return np.concatenate(out) if out else np.zeros((0, 2 * BLOCK), np.uint64)
 
     def _run(self, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
         n = len(counts)
@@ -102,22 +106,27 @@ class Fingerprints:
         if len(self.terms):
             at = np.searchsorted(self.terms, own[inside])
             inside[inside] = self.terms[np.minimum(at, len(self.terms) - 1)] == own[inside]
-        use = inside | (np.bincount(owner[inside], minlength=n) < FEW)[owner]
-        own, owner = own[use], owner[use]
+        inside &= (np.bincount(owner[inside], minlength=n) >= FEW)[owner]
+        out = np.zeros((n, 2 * BLOCK), np.uint64)
+        self._add(out, 0, own[inside], owner[inside])
+        self._add(out, BLOCK, own, owner)
+        return out
+
+    @staticmethod
+    def _add(out: np.ndarray, at: int, own: np.ndarray, owner: np.ndarray) -> None:
         # a sum of mixed hashes stands for the sorted distinct terms: equal sets, and only these, agree
         h = tk.mix(own * tk.MIX[2])
-        out = np.zeros((n, 1 + len(KINDS) * EACH), np.uint64)
-        np.add.at(out[:, 0], owner, h)
+        np.add.at(out[:, at], owner, h)
         flat, pick = out.reshape(-1), tk.mix(own ^ tk.MIX[6])
         for k, of in enumerate(KINDS):
             subset = (pick >> np.uint64(12 * k)) & np.uint64(of - 1)
             chosen = np.flatnonzero(subset < EACH)
-            np.add.at(flat, owner[chosen] * out.shape[1] + 1 + k * EACH + subset[chosen].astype(np.int64), h[chosen])
-        return out
+            np.add.at(flat, owner[chosen] * out.shape[1] + at + 1 + k * EACH + subset[chosen].astype(np.int64), h[chosen])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The best share of equal subsets of one rate, among those that hold a term of either text."""
+    """The best share of equal subsets of one rate, among those that hold a term of either text; over all terms where one text lacks lexicon terms."""
+    a, b = (a[:BLOCK], b[:BLOCK]) if a[0] and b[0] else (a[BLOCK:], b[BLOCK:])
     if (a == b).all():
         return 1.0
     x, y = a[1:].reshape(len(KINDS), EACH), b[1:].reshape(len(KINDS), EACH)
@@ -128,7 +137,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def render(parts: np.ndarray) -> str:
-    return hashlib.sha256(parts.tobytes()).hexdigest()[:32] + parts[1:].astype(">u2").tobytes().hex()
+    used = parts[:BLOCK] if parts[0] else parts[BLOCK:]
+    return hashlib.sha256(used.tobytes()).hexdigest()[:32] + np.delete(parts, [0, BLOCK]).astype(">u2").tobytes().hex()
 
 
 def edited(text: str, following: str) -> str:
