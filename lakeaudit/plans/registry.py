@@ -105,13 +105,13 @@ def detect_url(spark, sf_dir):
 
 @query("select doc_id, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b')) as m from documents where lang = 'en') group by doc_id")
 def detect_email(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return _one_category(docs, "text", "doc_id", "email").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select doc_id, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '\\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\b')) as m from documents where lang = 'en') group by doc_id")
 def detect_ip(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return _one_category(docs, "text", "doc_id", "ip_address").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
