@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .jaccard import near_duplicates
+
 CAPACITY = 2048
 #: Pieces of a shard, on average.
 SHARD = 8192
@@ -101,9 +103,27 @@ def _pack(capacity: int):
     return run
 
 
+def normal(text: str) -> Column:
+    """The text in lower case with single blanks."""
+    return F.trim(F.regexp_replace(F.lower(F.col(text)), "\\s+", " "))
+
+
 def normal_form(text: str) -> Column:
     """The cluster of exact copies: hash of the text in lower case with single blanks."""
-    return F.md5(F.trim(F.regexp_replace(F.lower(F.col(text)), "\\s+", " ")))
+    return F.md5(normal(text))
+
+
+def near_clusters(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with __cluster: the component of near copies by k-word shingles of the normal form, so exact copies share one too.
+
+    Rows without a key stand in the graph under a hash of their normal form.
+    """
+    rows = docs.withColumn("__node", F.coalesce(F.col(key).cast("long"), F.xxhash64(normal(text))))
+    nodes = rows.select("__node", normal(text).alias("__normal"), F.col(key).isNull().alias("__new"))
+    nodes = nodes.where("not __new").union(nodes.where("__new").distinct()).drop("__new")
+    found = near_duplicates(nodes, k=k, percent=percent, key="__node", text="__normal")
+    found = found.groupBy("__node").agg(F.min("component_id").alias("__cluster"))
+    return rows.join(found.hint("merge"), "__node").drop("__node")
 
 
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", source: str = "source", cluster: Column | None = None) -> DataFrame:

@@ -55,7 +55,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    docs = packing.near_clusters(table(spark, sf_dir, "documents"))
+    return packing.pack(docs, cluster=F.col("__cluster"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
