@@ -12,10 +12,10 @@ from ..functions.detect import detect
 from ..functions.rules import LAYERS
 from ..functions.stage import staged
 from ..sources.policy import Policy
-from .findings import boundary_action, redaction_action
+from .findings import boundary_action, numbered, redaction_action
 
 MODES = ("report_only", "redact", "block_on_violation")
-#: Entries of a trace-wide dictionary that go to every task, at most.
+#: Entries of a trace-wide dictionary that go to every task at a time.
 DICTIONARY = 5_000_000
 
 
@@ -66,18 +66,29 @@ def redact_trace(events: DataFrame, policy: Policy, *, analyzer: Callable[[], ob
     """events with redacted_content: spans replaced, then every value found anywhere in the trace.
 
     The dictionary (value: redaction of its first finding; longer values first,
-    ties by first finding) goes to every task behind a check of its size.
+    ties by first finding) is a stored table, numbered in order. Parts of at most
+    DICTIONARY entries go to every task one after the other, each over the texts
+    that the part before left, so its size has no limit.
     """
-    import ahocorasick
-
-    spark = events.sparkSession
     done = staged(guard(events, policy, text="content", analyzer=analyzer).select(*events.columns, "findings", "redacted_text"), "guarded")
     found = done.select("event_no", F.posexplode("findings").alias("i", "f")).groupBy("f.value").agg(F.min(F.struct("event_no", "i", F.col("f.redaction").alias("redaction"))).alias("first"))
-    entries = found.orderBy(F.desc(F.length("value")), "first").select("value", "first.redaction").limit(DICTIONARY + 1).collect()
-    if len(entries) > DICTIONARY:
-        raise ValueError(f"the trace has over {DICTIONARY} values; redact it in parts, such as by day")
-    entries = [(r["value"], r["redaction"]) for r in entries]
-    shared = spark.sparkContext.broadcast(entries)
+    ranked = found.select("value", F.col("first.redaction").alias("redaction"), (-F.length("value")).alias("short"), F.col("first.event_no").alias("event"), F.col("first.i").alias("i"))
+    entries = staged(numbered(ranked, ["short", "event", "i"], "no"), "dictionary")
+    out = done.withColumn("redacted_content", F.col("redacted_text")).select(*events.columns, "redacted_content")
+    count = entries.count()
+    for at in range(0, count, DICTIONARY):
+        part = entries.where(F.col("no").between(at + 1, at + DICTIONARY)).orderBy("no").select("value", "redaction").collect()
+        out = _replaced(out, [(r["value"], r["redaction"]) for r in part])
+        if at + DICTIONARY < count:
+            out = staged(out, "redacted")
+    return out
+
+
+def _replaced(df: DataFrame, entries: list[tuple[str, str]]) -> DataFrame:
+    """df with one part of the dictionary applied to redacted_content, its last column."""
+    import ahocorasick
+
+    shared = df.sparkSession.sparkContext.broadcast(entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = ahocorasick.Automaton()
@@ -85,8 +96,7 @@ def redact_trace(events: DataFrame, policy: Policy, *, analyzer: Callable[[], ob
             a.add_word(v, i)
         a.make_automaton()
         for b in batches:
-            texts = [t if t is None or not shared.value else replace_all(t, shared.value, a) for t in b.column("redacted_content").to_pylist()]
+            texts = [t if t is None else replace_all(t, shared.value, a) for t in b.column("redacted_content").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=b.schema.names)
 
-    out = done.withColumn("redacted_content", F.col("redacted_text")).select(*events.columns, "redacted_content")
-    return out.mapInArrow(run, out.schema)
+    return df.mapInArrow(run, df.schema)

@@ -1,0 +1,19 @@
+import json
+
+from lakeaudit.operators import guard
+from lakeaudit.sources.trace import load_trace
+
+from .test_audit import P
+
+
+def test_a_dictionary_in_parts_gives_the_same_trace(spark, tmp_path, monkeypatch):
+    contents = [f"Member ID: MBR-SYN-000{i} callback 555-013-000{i}." for i in range(4)]
+    contents += ["saw MBR-SYN-0003x MBR-SYN-0000y 555-013-0001z", "Member ID: MBR-SYN-00010", "nothing"]
+    path = tmp_path / "t.jsonl"
+    path.write_text("".join(json.dumps({"event_id": f"e{i}", "timestamp": "t", "layer": "memory", "content": c}) + "\n" for i, c in enumerate(contents)))
+    run = lambda: {r["event_id"]: r["redacted_content"] for r in guard.redact_trace(load_trace(spark, str(path)), P).collect()}
+    whole = run()
+    assert "SYN" not in "".join(whole.values()) and "555" not in "".join(whole.values())
+    for size in (1, 2, 3):
+        monkeypatch.setattr(guard, "DICTIONARY", size)
+        assert run() == whole
