@@ -56,6 +56,7 @@ class Vocabulary:
     unknown: float = 0.0
     by_word: bool = True
     trie: dict[str, tuple] | None = None
+    parts: list[bytes] | None = None
 
     @classmethod
     def read(cls, model: str) -> Vocabulary:
@@ -81,6 +82,8 @@ class Vocabulary:
             for c in piece[:-1]:
                 level = level.setdefault(c, (None, -1, {}))[2]
             level[piece[-1]] = (score, i, {})
+        values = {b: i for i, b in enumerate(self.byte_ids)}
+        self.parts = [name.encode() if name is not None else bytes([values[i]]) if i in values else b"" for i, name in enumerate(self.names)]
         return self
 
 
@@ -247,19 +250,7 @@ class Segmenter:
 
 def decode(ids: list[int] | np.ndarray, voc: Vocabulary) -> str:
     """The text of piece ids: bytes joined, marks to blanks, the first mark dropped."""
-    out, pending = [], bytearray()
-    values = {b: i for i, b in enumerate(voc.byte_ids)}
-    for i in ids:
-        name = voc.names[i]
-        if name is None and int(i) in values:
-            pending.append(values[int(i)])
-            continue
-        if pending:
-            out.append(pending.decode("utf-8", "replace"))
-            pending.clear()
-        out.append(name or "")
-    out.append(pending.decode("utf-8", "replace"))
-    text = "".join(out).replace(MARK, " ")
+    text = b"".join([voc.parts[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
     return text[1:] if text[:1] == " " else text
 
 
@@ -267,27 +258,32 @@ _kept: dict[tuple, Segmenter] = {}
 
 
 def encode(docs: DataFrame, model: str, *, n_best: int = 3, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
-    """(key, rank, score, n_pieces, ids) of the n best segmentations; digest: the ids' sha256 in their place."""
+    """(key, rank, score, n_pieces, ids) of the n best segmentations; digest: in place of the ids their sha256, that of the text they decode to, and whether that is the text."""
     voc = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(model))
-    last = "ids_sha256 string" if digest else "ids array<int>"
+    last = "ids_sha256 string, text_sha256 string, round_trip boolean" if digest else "ids array<int>"
+
+    def digests(x: np.ndarray, t: str) -> tuple[str, str, bool]:
+        text = decode(x.tolist(), voc.value)
+        return hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), text == t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = _kept.setdefault((model, n_best), Segmenter(voc.value, n_best))
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                texts, ids, size = [], [], 0
+                texts, ids, own, size = [], [], [], 0
                 while at < batch.num_rows and size < 500_000:
                     t = batch.column(1)[at].as_py() or ""
                     texts.append(split_words(t, seg.voc))
                     ids.append(batch.column(0)[at].as_py())
+                    own.append(t)
                     size += len(t)
                     at += 1
                 seg.learn(set().union(*texts))
-                out = [(i, r + 1, s, len(x), hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() if digest else x) for i, ws in zip(ids, texts, strict=True) for r, (s, x) in enumerate(seg.segment(ws))]
+                out = [(i, r + 1, s, len(x), *(digests(x, t) if digest else (x,))) for i, t, ws in zip(ids, own, texts, strict=True) for r, (s, x) in enumerate(seg.segment(ws))]
                 c = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.string() if digest else pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=[key, "rank", "score", "n_pieces", last.split()[0]])
+                kinds = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), *([pa.string(), pa.string(), pa.bool_()] if digest else [pa.list_(pa.int32())])]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=[key, "rank", "score", "n_pieces", *(x.split()[0] for x in last.split(", "))])
 
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, f"{key} long, rank int, score double, n_pieces long, {last}")
 
