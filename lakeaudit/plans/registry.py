@@ -84,12 +84,12 @@ l as (select event_no, 0 as seg_no, '$.member_id' as content_path, 'Member ID: M
 
 @query(f"{_LEAVES} select event_no, seg_no, content_path, text from l")
 def content_segments(spark, sf_dir):
-    return segments(_sql(spark, sf_dir, fx.JSON_CONTENT)).select("event_no", "seg_no", "content_path", "text")
+    return segments(_sql(spark, sf_dir, fx.JSON_ORDERS)).select("event_no", "seg_no", "content_path", "text")
 
 
 @query(f"{_LEAVES} select event_no, content_path, 'payload' || substr(content_path, 2) as external_content_path from l")
 def external_paths(spark, sf_dir):
-    rows = segments(_sql(spark, sf_dir, fx.JSON_CONTENT).withColumn("external_content_paths", F.array(F.lit("payload"))))
+    rows = segments(_sql(spark, sf_dir, fx.JSON_ORDERS).withColumn("external_content_paths", F.array(F.lit("payload"))))
     return rows.select("event_no", "content_path", external_path().alias("external_content_path"))
 
 
