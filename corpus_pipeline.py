@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: that with the smallest id."""
     found = jaccard.near_duplicates(docs, k=5, percent=80)
-    kept = found.where(F.col("doc_id").isNull() | (F.col("component_id") == F.col("doc_id")))
+    kept = found.where(F.col("component_id") == F.coalesce(F.col("doc_id").cast("long"), jaccard.surrogate("text")))
     return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 

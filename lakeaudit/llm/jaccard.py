@@ -18,7 +18,8 @@ the components are those of all links, while no table of all pairs exists.
 
 Defined results: a document without words (null, empty, blank) has 0 shingles,
 no link and its own id as component; rows with the same doc_id count as one
-document of the graph; repeated rows stay, with equal results; an empty table
+document of the graph, with the links of all its texts; a row without doc_id
+stands under a number of 2**62 or more made from its text (surrogate); repeated rows stay, with equal results; an empty table
 gives an empty table. Extra columns of the input pass through, but for those
 named like a result column. Shingles are compared by 64-bit hashes.
 """
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -57,13 +58,15 @@ def levels(n: int, percent: int) -> list[tuple[int, int]]:
 
     A pair joins in the band of its larger set. The words of a band suffice for its largest pair.
     """
-    own = int(math.floor(math.log(n) / math.log(BAND) + 1e-9))
+    band = int(math.floor(math.log(n) / math.log(BAND) + 1e-9))
     out = []
-    for band in (own, own + 1):
+    while True:
         low, high = math.ceil(BAND**band - 1e-9), math.ceil(BAND ** (band + 1) - 1e-9) - 1
-        if n <= high and (n >= low or 100 * n >= percent * low):
+        if n < low and 100 * n < percent * low:
+            return out
+        if n <= high:
             out.append((band, bound(percent, high, high) + 1))
-    return out
+        band += 1
 
 
 def parities(position: np.ndarray, n_words: int) -> np.ndarray:
@@ -262,16 +265,26 @@ def _verify(k: int, percent: int):
     return run
 
 
+def surrogate(text: str) -> Column:
+    """A number for rows without an id, above the ids in use."""
+    return F.xxhash64(F.col(text)).bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
+
+
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_shingles and component_id: components of links at Jaccard similarity percent / 100 or more of k-word shingles."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     docs = docs.drop("n_shingles", "component_id")
-    plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
+    own = F.col(key).cast("long")
+    plain = docs.select(own.alias("id"), F.col(text).alias("text"))
+    plain = plain.where("id is not null").union(plain.where("id is null").distinct().select(surrogate("text"), "text"))
     profile = materialise(plain.mapInArrow(_profile(k, percent), "id long, n long, ident binary, keys binary, sketch binary"), "profile")
     some = profile.where("n > 0")
     # equal sets hang from the smallest id that has the set
     reps = some.groupBy("ident").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last")
-    copies = materialise(some.select("id", "ident").join(reps, "ident").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
-    alone = some.join(copies.select(F.col("a").alias("id")).hint("merge"), "id", "left_anti")
+    copies = materialise(some.select("id", "ident").join(reps, "ident").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"), "ident").distinct(), "copies")
+    alone = some.join(copies.select(F.col("a").alias("id"), "ident").hint("merge"), ["id", "ident"], "left_anti")
+    copies = copies.select("a", "b")
     keyed = alone.select("id", "keys").mapInArrow(_expand, "key long, id long")
     bucket = Window.partitionBy("key")
     shared = keyed.select("key", "id", F.min("id").over(bucket).alias("low"), F.max("id").over(bucket).alias("high")).where("low <> high").select("key", "id")
@@ -290,7 +303,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str
         comps = connected_components(found.union(_links(rest, plain, k, percent)))
     facts = profile.groupBy("id").agg(F.max("n").alias("n")).join(comps.withColumnRenamed("node", "id"), "id", "left")
     facts = facts.select(F.col("id").alias("__key"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    out = docs.join(facts, F.col(key).cast("long") == F.col("__key"), "left").drop("__key")
+    out = docs.withColumn("__own", F.coalesce(own, surrogate(text))).join(facts, F.col("__own") == F.col("__key"), "left").drop("__key", "__own")
     return out.withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long")))
 
 
