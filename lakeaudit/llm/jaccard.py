@@ -1,20 +1,34 @@
 """N-gram Jaccard join by parity sketches.
 
-Every distinct shingle of a document toggles one bit of a sketch of 64-bit
-words. Two sketches over the same number of words differ in at most as many
-bits as the sets' symmetric difference has members. Sets that reach similarity
-t have a symmetric difference of at most D = (1-t)/(1+t) * (|A|+|B|); with
-D + 1 words at least one word is therefore equal in both (pigeonhole), so a join
-on (size band, word number, word) misses no pair. Sizes are cut into geometric
-bands; a set also enters the next band if a partner there can be large enough.
-
-Equal sets are collapsed first. The rest of a bucket of equal words is compared
-by set sizes and by wider parity sketches, whose distance is again a lower bound,
-in numpy and in blocks of bounded size. What leaves a task is first a spanning
-forest of the pairs that pass, which is linear in the bucket; their texts are
-compared exactly. Buckets that then still hold several components get the exact
-rest: all pairs between components that the sketches allow are compared too. So
-the components are those of all links, while no table of all pairs exists.
+The distinct shingles of a document are dealt by hash to a number of words, and
+each word is the XOR of the 64-bit hashes of its shingles. A shingle that only
+one of two sets holds changes one word, so sets that differ in at most D shingles
+have sketches of W words of which at least W - D are equal. Sets that reach
+similarity t differ in at most D = (1-t)/(1+t) * (|A|+|B|) shingles, so a join on
+(size band, word number, word) misses no pair (pigeonhole). Sizes are cut into
+geometric bands; a pair joins in the band of its smaller set, and a set also
+enters the lower bands that hold a size which can be similar to its own.
+
+W exceeds D + 1 by a spare. A word without shingles says nothing and makes no
+bucket row. A set whose filled words exceed those that a partner can change by a
+margin therefore shares more than that margin of buckets with every partner. A
+set without margin also makes one bucket row for each shingle, so two such sets
+meet there.
+
+Buckets of at most HOT rows give all their pairs, counted over all buckets; a
+pair goes on only if it meets as often as the margins of both sets demand, less
+their rows in larger buckets. Of larger buckets only sets whose margin these use
+up take part: they are linked to the smallest id, then, where a bucket still lies
+in several components, by a spanning forest of what the sketches allow, then by
+all pairs between components that remain. So no link is lost, and no table of
+all pairs of a large bucket exists. Each pair is tested by a second parity sketch
+of one bit a shingle, whose Hamming distance is a lower bound of the symmetric
+difference, and confirmed on the texts.
+
+Buckets come from a range partitioning by (key, id) with a bounded number of rows
+a task, so a bucket that a third of all documents share lies in many tasks; the
+first and last bucket of a task count as larger ones. Equal sets are collapsed in
+each task of the profile, and meet by a 128-bit identity.
 
 Defined results: a document without words (null, empty, blank) has 0 shingles,
 no link and its own id as component; rows with the same doc_id count as one
@@ -26,24 +40,30 @@ named like a result column. Shingles are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import materialise, shuffle_width
+from .common import discard, materialise, shuffle_width
 from .components import connected_components
 
 #: Ratio of the sizes at the ends of a size band.
 BAND = 1.5
 #: Rows of a verification group, and of a block of the exact rest.
 GROUP, BLOCK = 256, 512
-#: Words of a distance sketch at most: bucket rows of long texts stay short; a narrow sketch is a lower bound too.
+#: Rows of a bucket that gives all its pairs; larger ones matter only to sets that have no margin beside them.
+HOT = 16
+#: Pairs a row of a bucket block up to which all go on at once.
+DENSE = 4
+#: Bucket rows that a task should hold.
+TASK_ROWS = 2_000_000
+#: Words of a distance sketch at most: a narrow sketch is a lower bound too.
 WIDEST = 64
 _SEED = np.uint64(0x5DEECE66D1234567)
 
@@ -53,20 +73,19 @@ def bound(percent: int, a: int, b: int) -> int:
     return (100 - percent) * (a + b) // (100 + percent)
 
 
-def levels(n: int, percent: int) -> list[tuple[int, int]]:
-    """(band, sketch words) of each size band that a set of size n joins in.
-
-    A pair joins in the band of its larger set. The words of a band suffice for its largest pair.
-    """
+@functools.lru_cache(100_000)
+def levels(n: int, percent: int) -> tuple[tuple[int, int, int], ...]:
+    """(band, words needed, words) of each size band that a set of size n joins in: its own, and those of smaller partners."""
     band = int(math.floor(math.log(n) / math.log(BAND) + 1e-9))
     out = []
-    while True:
-        low, high = math.ceil(BAND**band - 1e-9), math.ceil(BAND ** (band + 1) - 1e-9) - 1
-        if n < low and 100 * n < percent * low:
-            return out
-        if n <= high:
-            out.append((band, bound(percent, high, high) + 1))
-        band += 1
+    while band >= 0:
+        high = math.ceil(BAND ** (band + 1) - 1e-9) - 1
+        if 100 * high < percent * n:
+            break
+        apart = bound(percent, high, 100 * high // percent)
+        out.append((band, apart + 1, apart + 1 + (apart and 2 + -(-apart // 5))))
+        band -= 1
+    return tuple(out)
 
 
 def parities(position: np.ndarray, n_words: int) -> np.ndarray:
@@ -91,176 +110,221 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+FACTS = "n long, words long, ident binary, keys array<long>, margin long, sketch binary"
+
+
 def _profile(k: int, percent: int):
-    """Per document: set size, 128-bit identity of the set, bucket keys, distance sketches."""
+    """Per document: set size, words, 128-bit identity of the set; for the first of equal sets in a task also bucket keys, margin and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             data, off = tk.utf8(batch.column(1))
             for lo, hi in tk.slices(off):
-                sets = tk.shingle_sets(*tk.words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *_facts(sets, percent)], names=["id", "n", "ident", "keys", "sketch"])
+                hashes, at = tk.words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                n, *facts = _facts(tk.shingle_sets(hashes, at, k), percent, seen)
+                own = [batch.column(c).slice(lo, hi - lo) for c in range(batch.num_columns) if c != 1]
+                names = [x for x in batch.schema.names if x != "text"] + [x.split()[0] for x in FACTS.split(", ")]
+                yield pa.RecordBatch.from_arrays([*own, n, pa.array(np.diff(at)), *facts], names=names)
 
     return run
 
 
-def _facts(sets: list[np.ndarray], percent: int) -> list[pa.Array]:
-    size = np.array([len(s) for s in sets])
-    h = tk.mix(np.concatenate([*sets, np.zeros(0, np.uint64)]) ^ _SEED)
+def _facts(sets: list[np.ndarray], percent: int, seen: set[bytes]) -> list[pa.Array]:
+    size = np.array([len(s) for s in sets], np.int64)
+    raw = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    h = tk.mix(raw ^ _SEED)
     again = tk.mix(h + tk.MIX[4])
     at = np.r_[0, np.cumsum(size)]
     ident: list[bytes | None] = [None] * len(sets)
-    keys: list[list[bytes]] = [[] for _ in sets]
-    sketches: list[list[bytes]] = [[] for _ in sets]
-    # one (document, band) entry for each band that a set joins in
-    doc, band, n_words = np.array([(i, b, w) for i, n in enumerate(size.tolist()) if n for b, w in levels(n, percent)], np.int64).reshape(-1, 3).T
+    own = np.zeros(len(sets), bool)
     for i in np.flatnonzero(size):
         ident[i] = np.array([h[at[i] : at[i + 1]].sum(dtype=np.uint64), again[at[i] : at[i + 1]].sum(dtype=np.uint64)]).tobytes()
+        own[i] = ident[i] not in seen
+        seen.add(ident[i])
+    # one entry for each band that a set joins in
+    doc, band, need, n_words = np.array([(i, *x) for i in np.flatnonzero(own).tolist() for x in levels(int(size[i]), percent)], np.int64).reshape(-1, 4).T
+    key, owner, margin = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.full(len(sets), 2**31)
+    sketch: list[bytes | None] = [None] * len(sets)
     if len(doc):
         item = np.repeat(at[doc] - np.r_[0, np.cumsum(size[doc])[:-1]], size[doc]) + np.arange(size[doc].sum())
         of = np.repeat(np.arange(len(doc)), size[doc])
-        hs = h[item]
         slot = np.r_[0, np.cumsum(n_words)]
-        word = ((hs >> np.uint64(32)) * n_words[of].astype(np.uint64)) >> np.uint64(32)
-        words = parities((word.astype(np.int64) + slot[of]) * 64 + (hs & np.uint64(63)).astype(np.int64), int(slot[-1]))
-        number = (np.arange(slot[-1]) - np.repeat(slot[:-1], n_words)).astype(np.uint64) + (np.repeat(band, n_words).astype(np.uint64) << np.uint64(40))
-        key = tk.mix(words * tk.MIX[5] + tk.mix(number * tk.MIX[6]))
-        width = distance_words(band)
+        # sets are sorted, so their words come in order too
+        word = (((raw[item] >> np.uint64(32)) * n_words[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64) + slot[of]
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        entry = of[first]
+        number = (word[first] - slot[entry] + (band[entry] << 40)).astype(np.uint64)
+        key = tk.mix(np.bitwise_xor.reduceat(h[item], first) * tk.MIX[5] + tk.mix(number * tk.MIX[6]))
+        owner = doc[entry]
+        np.minimum.at(margin, doc, np.bincount(entry, minlength=len(doc)) - need)
+        short = np.repeat(margin < 0, size)
+        if short.any():
+            key, owner = np.r_[key, tk.mix(h[short] ^ tk.MIX[7])], np.r_[owner, np.repeat(np.arange(len(sets)), size)[short]]
+            order = np.argsort(owner, kind="stable")
+            key, owner = key[order], owner[order]
+        width = np.where(own, sketch_words(np.maximum(size, 1)), 0)
         place = np.r_[0, np.cumsum(width)]
-        bit = (((hs >> np.uint64(6)) & np.uint64(0x3FFFFFF)) * (width[of] * 64).astype(np.uint64)) >> np.uint64(26)
-        far = parities(bit.astype(np.int64) + place[of] * 64, int(place[-1]))
-        for e, i in enumerate(doc.tolist()):
-            keys[i].append(key[slot[e] : slot[e + 1]].tobytes())
-            sketches[i].append(np.array([band[e], width[e]], np.uint64).tobytes() + far[place[e] : place[e + 1]].tobytes())
-    blob = lambda xs: pa.array([b"".join(x) if x else None for x in xs], pa.binary())
-    return [pa.array(size, pa.int64()), pa.array(ident, pa.binary()), blob(keys), blob(sketches)]
-
-
-def distance_words(band: np.ndarray) -> np.ndarray:
-    """Words of the sketches that bound distances: two bits for each member of the band's largest set, up to WIDEST."""
-    return np.minimum(np.ceil(BAND ** (band + 1.0) / 32), WIDEST).astype(np.int64)
-
-
-def unpack(blob: bytes) -> dict[int, np.ndarray]:
-    """Distance sketch by band."""
-    raw, out, at = np.frombuffer(blob, np.uint64), {}, 0
-    while at < len(raw):
-        out[int(raw[at])] = raw[at + 2 : at + 2 + int(raw[at + 1])]
-        at += 2 + int(raw[at + 1])
+        mine = np.repeat(own, size)
+        bit = (h & (np.repeat(width, size) * 64 - 1).astype(np.uint64)).astype(np.int64) + np.repeat(place[:-1], size) * 64
+        far = parities(bit[mine], int(place[-1]))
+        for i in np.flatnonzero(own):
+            sketch[i] = far[place[i] : place[i + 1]].tobytes()
+    keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(owner, minlength=len(sets)))], pa.int32()), pa.array(key.view(np.int64)))
+    return [pa.array(size), pa.array(ident, pa.binary()), keys, pa.array(margin, pa.int64()), pa.array(sketch, pa.binary())]
+
+
+def sketch_words(n: np.ndarray) -> np.ndarray:
+    """Words of a distance sketch: a power of two with about two bits for each member, WIDEST at most. A sketch folds to a narrower one."""
+    return np.minimum(2 ** np.ceil(np.log2(np.maximum(n / 32, 1))).astype(np.int64), WIDEST)
+
+
+def folded_together(sketches: list[bytes]) -> np.ndarray:
+    """One row for each sketch, all of the narrowest one's width."""
+    size = np.array([len(s) // 8 for s in sketches])
+    out = np.zeros((len(sketches), size.min()), np.uint64)
+    for width in np.unique(size):
+        own = np.flatnonzero(size == width)
+        words = np.frombuffer(b"".join(sketches[i] for i in own), np.uint64).reshape(len(own), -1, out.shape[1])
+        out[own] = np.bitwise_xor.reduce(words, axis=1)
     return out
 
 
-def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        step = 2000
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
-            raw = part.column(1).to_pylist()
-            times = np.array([len(x) // 8 for x in raw])
-            key = np.frombuffer(b"".join(raw), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(part.column(0).to_numpy(), times))], names=["key", "id"])
-
-
-def unpack_ints(blob: bytes) -> dict[int, int]:
-    """Distance sketch by band, as one integer each."""
-    out, at = {}, 0
-    while at < len(blob):
-        band, width = (int.from_bytes(blob[at + 8 * i : at + 8 * i + 8], "little") for i in (0, 1))
-        out[band] = int.from_bytes(blob[at + 16 : at + 16 + 8 * width], "little")
-        at += 16 + 8 * width
-    return out
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over the (key, id) rows of a range of keys: (a, b) for each pair of a small bucket, (key, id) for the rows of others."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not got:
+        return
+    key, i = (np.concatenate(c) for c in zip(*got, strict=True))
+    order = np.argsort(key)
+    key, i = key[order], i[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[start, len(key)])
+    large = size > HOT
+    large[[0, -1]] = True  # may go on in another task
+    rows = np.repeat(large, size)
+    yield _met(None, None, key[rows], i[rows])
+    rows = np.repeat(~large & (size > 1), size)
+    key, i = key[rows], i[rows]
+    for gap in range(1, HOT):
+        same = np.flatnonzero(key[gap:] == key[:-gap])
+        if not len(same):
+            break
+        a, b = i[same], i[same + gap]
+        yield _met(np.minimum(a, b)[a != b], np.maximum(a, b)[a != b], None, None)
+
+
+def _met(*columns) -> pa.RecordBatch:
+    n = max(len(c) for c in columns if c is not None)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], names=["a", "b", "key", "id"])
+
+
+def survivors(rows: list[tuple], percent: int, forest: bool) -> tuple[set[tuple[int, int]], bool]:
+    """Pairs of different components in a bucket block that size and sketch distance allow, and whether these are all.
+
+    rows: id, n, comp, side, sketch; side: 0, 1 or 2 (within one block). forest: of more than
+    DENSE pairs a row only as many as connect the components that they connect.
+    """
+    comp = np.array([r[2] for r in rows])
+    values, counts = np.unique(comp, return_counts=True)
+    if len(values) == 1:
+        return set(), True
+    ids, n, side = (np.array([r[c] for r in rows]) for c in (0, 1, 3))
+    table = folded_together([r[4] for r in rows])
+    # pairs with at least one row outside the most frequent component
+    few = comp != values[counts.argmax()]
+    at = []
+    for x in np.flatnonzero(few):
+        ok = (comp != comp[x]) & ((side != side[x]) | (side[x] == 2)) & (percent * n <= 100 * n[x]) & (100 * n >= percent * n[x])
+        ok[:x] &= ~few[:x]
+        j = np.flatnonzero(ok)
+        if len(j):
+            apart = np.bitwise_count(table[j] ^ table[x]).sum(axis=1, dtype=np.int64)
+            at += [(x, y) for y in j[apart <= (100 - percent) * (n[j] + n[x]) // (100 + percent)]]
+    whole = not forest or len(at) <= DENSE * len(rows)
+    if not whole:
+        parent: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while parent.setdefault(c, c) != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        def joins(x: int, y: int) -> bool:
+            p, q = find(int(comp[x])), find(int(comp[y]))
+            parent[max(p, q)] = min(p, q)
+            return p != q
 
+        at = [(x, y) for x, y in at if joins(x, y)]
+    return {(min(a, b), max(a, b)) for a, b in ((int(ids[x]), int(ids[y])) for x, y in at)}, whole
 
-def survivors(rows: list[tuple], percent: int, forest: bool) -> set[tuple[int, int]]:
-    """Pairs of a bucket block that size and sketch distance allow; rows: id, n, comp, side, sketch.
 
-    side: 0, 1 or 2 (within one block). forest: only as many pairs as connect
-    what they connect; else all pairs of different components.
-    """
-    parent: dict[int, int] = {}
-    out: set[tuple[int, int]] = set()
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    def keep(a: int, b: int) -> None:
-        if forest:
-            p, q = find(a), find(b)
-            if p == q:
-                return
-            parent[max(p, q)] = min(p, q)
-        out.add((min(a, b), max(a, b)))
-
-    low, high = percent, 100 - percent
-    if len(rows) <= 24:
-        sketches = [unpack_ints(r[4]) for r in rows]
-        for x, (a, n, comp, side, _) in enumerate(rows):
-            for y in range(x):
-                b, m, other, at, _ = rows[y]
-                if comp == other or (side == at and side != 2) or low * n > 100 * m or low * m > 100 * n:
-                    continue
-                limit = high * (n + m) // (100 + percent)
-                if any((sketches[x][band] ^ sketches[y][band]).bit_count() <= limit for band in sketches[x].keys() & sketches[y].keys()):
-                    keep(a, b)
-        return out
-    ids, n, comp, side = (np.array([r[c] for r in rows]) for c in range(4))
-    tables = [unpack(r[4]) for r in rows]
-    for band in {b for t in tables for b in t}:
-        own = np.array([i for i, t in enumerate(tables) if band in t])
-        matrix = np.stack([tables[i][band] for i in own])
-        for p, i in enumerate(own):
-            q = np.arange(p + 1, len(own))
-            j = own[q]
-            ok = (comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] == 2))
-            ok &= (100 * n[j] >= low * n[i]) & (100 * n[i] >= low * n[j])
-            q, j = q[ok], j[ok]
-            if len(j):
-                apart = np.bitwise_count(matrix[q] ^ matrix[p]).sum(axis=1, dtype=np.int64)
-                for x in j[apart <= high * (n[j] + n[i]) // (100 + percent)]:
-                    keep(int(ids[i]), int(ids[x]))
-    return out
+def _allowed(percent: int):
+    """The pairs whose sizes and sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(c).to_numpy() for c in range(4))
+            ok = (percent * n <= 100 * m) & (percent * m <= 100 * n)
+            limit = (100 - percent) * (n + m) // (100 + percent)
+            s, t = (batch.column(c).to_pylist() for c in (4, 5))
+            for x in np.flatnonzero(ok):
+                both = folded_together([s[x], t[x]])
+                ok[x] = np.bitwise_count(both[0] ^ both[1]).sum(dtype=np.int64) <= limit[x]
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+
+    return run
 
 
 def _scan_buckets(percent: int, forest: bool):
-    """Over rows sorted by bucket block: one pass, one block in memory at a time."""
+    """Over rows sorted by bucket block: (a, b) of pairs, (key) of blocks with more; one block in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        mark, found = None, set()
+        mark, found, left = None, set(), set()
+
+        def close() -> None:
+            if len(held) > 1:
+                pairs, whole = survivors(held, percent, forest)
+                found.update(pairs)
+                if not whole:
+                    left.add(mark[0])
 
         def send() -> pa.RecordBatch:
-            a, b = zip(*sorted(found), strict=True) if found else ((), ())
+            rows = [(a, b, None) for a, b in sorted(found)] + [(None, None, key) for key in sorted(left)]
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            left.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], names=["a", "b", "key"])
 
         for batch in batches:
             for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if mark != (key, i, j):
-                    if len(held) > 1:
-                        found |= survivors(held, percent, forest)
+                    close()
                     held, mark = [], (key, i, j)
                 held.append(tuple(row))
             if len(found) > 10_000:
                 yield send()
-        if len(held) > 1:
-            found |= survivors(held, percent, forest)
+        close()
         yield send()
 
     return run
 
 
 def _verify(k: int, percent: int):
-    """Exact similarity of a hub's text with those of its partners."""
+    """Exact similarity of a hub's text with those of its partners, over rows in order: the hub's own come first."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hub = pdf["hub"].iloc[0]
-        sets = list(sets_of(pa.array(pdf["text"], pa.large_string()), k))
-        ids = pdf["id"].to_numpy()
-        hubs = [s for s, i in zip(sets, ids, strict=True) if i == hub]
-        near = {int(i) for s, i in zip(sets, ids, strict=True) if i != hub and any(similar(h, s, percent) for h in hubs)}
-        return pd.DataFrame({"a": np.full(len(near), hub, np.int64), "b": np.array(sorted(near), np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark, hubs = None, []
+        for batch in batches:
+            near = []
+            for hub, part, i, own in zip(*(batch.column(c).to_pylist() for c in range(3)), sets_of(batch.column(3), k), strict=True):
+                if mark != (hub, part):
+                    mark, hubs = (hub, part), []
+                if i == hub:
+                    hubs.append(own)
+                elif any(similar(h, own, percent) for h in hubs):
+                    near.append((hub, i))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in near], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -272,60 +336,121 @@ def surrogate(text: str) -> Column:
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_shingles and component_id: components of links at Jaccard similarity percent / 100 or more of k-word shingles."""
-    if not 1 <= percent <= 100:
-        raise ValueError("percent must be from 1 to 100")
     docs = docs.drop("n_shingles", "component_id")
     own = F.col(key).cast("long")
-    plain = docs.select(own.alias("id"), F.col(text).alias("text"))
-    plain = plain.where("id is not null").union(plain.where("id is null").distinct().select(surrogate("text"), "text"))
-    profile = materialise(plain.mapInArrow(_profile(k, percent), "id long, n long, ident binary, keys binary, sketch binary"), "profile")
-    some = profile.where("n > 0")
-    # equal sets hang from the smallest id that has the set
-    reps = some.groupBy("ident").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last")
-    copies = materialise(some.select("id", "ident").join(reps, "ident").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"), "ident").distinct(), "copies")
-    alone = some.join(copies.select(F.col("a").alias("id"), "ident").hint("merge"), ["id", "ident"], "left_anti")
-    copies = copies.select("a", "b")
-    keyed = alone.select("id", "keys").mapInArrow(_expand, "key long, id long")
-    bucket = Window.partitionBy("key")
-    shared = keyed.select("key", "id", F.min("id").over(bucket).alias("low"), F.max("id").over(bucket).alias("high")).where("low <> high").select("key", "id")
-    buckets = materialise(shared, "buckets")
-    # most documents share no bucket; the others' sketches are used twice
-    sketches = materialise(alone.select("id", "n", "sketch").join(buckets.select("id").distinct().hint("merge"), "id", "left_semi"), "sketches")
-    tried = materialise(_pairs(buckets.withColumn("comp", F.col("id")), sketches, percent, forest=True), "pairs")
-    links = materialise(_links(tried, plain, k, percent), "links")
-    found = copies.union(links)
-    comps = connected_components(found)
-    # buckets that lie in several components still: every pair between these is looked at
-    now = buckets.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    rest = _pairs(now, sketches, percent, forest=False).join(tried, ["a", "b"], "left_anti")
-    rest = materialise(rest, "rest")
-    if not rest.isEmpty():
-        comps = connected_components(found.union(_links(rest, plain, k, percent)))
-    facts = profile.groupBy("id").agg(F.max("n").alias("n")).join(comps.withColumnRenamed("node", "id"), "id", "left")
-    facts = facts.select(F.col("id").alias("__key"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    out = docs.withColumn("__own", F.coalesce(own, surrogate(text))).join(facts, F.col("__own") == F.col("__key"), "left").drop("__key", "__own")
+    found = components_of(docs, k=k, percent=percent, key=key, text=text)
+    found = found.select(F.col("id").alias("__key"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    out = docs.withColumn("__own", F.coalesce(own, surrogate(text))).join(found, F.col("__own") == F.col("__key"), "left").drop("__key", "__own")
     return out.withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long")))
 
 
+def components_of(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
+    """(id, n, rows, component) of each document of the graph: its set size, its rows and the smallest id that links reach.
+
+    With carry: (id, words, component and these columns) of each row of docs.
+    """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    plain = docs.select(F.coalesce(F.col(key).cast("long"), surrogate(text)).alias("id"), F.col(text).alias("text"), *[F.col(c).alias(f"__{c}") for c in carry or ()])
+    kept = [f"__{c}" for c in carry or ()]
+    schema = ", ".join(["id long", *[f"{f.name} {f.dataType.simpleString()}" for f in plain.select(kept).schema], FACTS]) if kept else f"id long, {FACTS}"
+    profile = materialise(plain.mapInArrow(_profile(k, percent), schema), "profile")
+    plain = plain.select("id", "text")
+    lengths = materialise(profile.select("id", "words", *kept), "lengths") if carry is not None else None
+    facts = profile.groupBy("id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("margin").alias("margin"), (F.min("ident") != F.max("ident")).alias("several"))
+    facts = materialise(facts, "facts")
+    some = profile.where("n > 0")
+    # equal sets hang from the smallest id that has the set; the graph needs only those that make bucket rows or have several sets
+    reps = materialise(some.groupBy("ident").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select("ident", "rep"), "reps")
+    copies = some.select("id", "ident", F.col("sketch").isNotNull().alias("first")).join(reps, "ident").where("id <> rep").select("id", "rep", "first")
+    copies = copies.join(facts.where("several").select("id", F.lit(True).alias("several")), "id", "left")
+    copies = materialise(copies.withColumn("node", F.col("first") | F.coalesce("several", F.lit(False))), "copies")
+    tasks = max(shuffle_width(docs.sparkSession), (some.agg(F.sum(F.size("keys"))).first()[0] or 0) // TASK_ROWS)
+    keyed = some.select(F.explode("keys").alias("key"), "id")
+    met = materialise(keyed.repartitionByRange(tasks, "key", "id").mapInArrow(_meet, "a long, b long, key long, id long"), "met")
+    sketches = materialise(some.where("sketch is not null").select("id", "n", "sketch"), "sketches")
+    discard(profile)
+    # how often a set must meet a partner in small buckets
+    large = met.where("key is not null").groupBy("id").agg(F.count(F.lit(1)).alias("large"))
+    demand = facts.where("n > 0").join(large, "id", "left").select("id", (F.col("margin") + 1 - F.coalesce("large", F.lit(0))).alias("least"))
+    demand = materialise(demand, "demand")
+    pairs = met.where("a is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
+    for c in ("a", "b"):
+        pairs = pairs.join(demand.select(F.col("id").alias(c), "least"), c).where("times >= least").drop("least")
+    # large buckets, for the sets that need them
+    members = materialise(met.where("key is not null").select("key", "id").join(demand.where("least <= 0").select("id"), "id", "left_semi"), "members")
+    lows = materialise(members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a"), "lows")
+    stars = members.join(lows, "key").select("a", F.col("id").alias("b")).where("a <> b")
+    tried = materialise(_allow(pairs.select("a", "b").union(stars).distinct(), sketches, percent), "tried")
+    edges = copies.where("node").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    links = _links(tried, plain, k, percent)
+    comps = connected_components(edges.union(links))
+    discard(met, demand, lows)
+    staged = [members, sketches, tried, links, reps]
+    # where a bucket has many pairs, a forest first, so that few of them remain
+    for forest in (True, False):
+        rest = _rest(members, comps)
+        if rest is None:
+            break
+        scanned = materialise(_pairs(rest, sketches, percent, forest), "scanned")
+        more = materialise(scanned.where("a is not null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "more")
+        found = _links(more, plain, k, percent)
+        members = members.join(scanned.where("key is not null").select("key"), "key", "left_semi")
+        staged += [rest, scanned, more, found]
+        if not found.isEmpty():
+            old, comps = comps, connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+            discard(old)
+        tried = tried.union(more)
+    follow = copies.where("not node").select("id", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    placed = comps.withColumnRenamed("node", "id").union(follow)
+    rows = facts.select("id", "n", "rows") if carry is None else lengths
+    out = rows.join(placed, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    out = materialise(out.withColumnsRenamed({f"__{c}": c for c in carry or ()}), "near")
+    discard(facts, copies, comps, *staged, *([lengths] if carry is not None else []))
+    return out
+
+
+def _allow(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    of = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    return both.mapInArrow(_allowed(percent), "a long, b long").distinct()
+
+
+def _rest(members: DataFrame, comps: DataFrame) -> DataFrame | None:
+    """Bucket rows (key, id, comp, rows) of buckets that lie in several components; None if there are none."""
+    rows = members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    rows = materialise(rows, "placed")
+    sizes = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("rows")).where("low <> high").select("key", "rows")
+    sizes = materialise(sizes, "sizes")
+    rest = materialise(rows.join(sizes, "key"), "open")
+    discard(rows, sizes)
+    return None if rest.isEmpty() else rest
+
+
 def _pairs(rows: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Candidate pairs (a < b) of buckets with several components; large buckets are cut into blocks.
+    """Candidate pairs (a < b) of bucket rows of different components, and keys of buckets that have more; large buckets are cut into blocks.
 
     The sketches join last, so only one exchange carries them.
     """
-    sizes = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("low <> high").select("key", "blocks")
-    rows = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.withColumn("blocks", F.ceil(F.col("rows") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     spread = rows.select("key", "id", "comp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "comp", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
     spread = spread.join(sketches, "id").select("key", "i", "j", "id", "n", "comp", "side", "sketch")
     width = shuffle_width(rows.sparkSession)
-    return spread.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(_scan_buckets(percent, forest), "a long, b long").distinct()
+    return spread.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(_scan_buckets(percent, forest), "a long, b long, key long").distinct()
 
 
 def _links(pairs: DataFrame, plain: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that the texts confirm."""
+    if pairs.isEmpty():
+        return pairs
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = materialise(plain.join(wanted.hint("merge"), "id", "left_semi").distinct(), "texts")
-    chunks = pairs.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+    chunks = materialise(pairs.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts")), "chunks")
     members = pairs.select(F.col("a").alias("hub"), F.col("b").alias("id")).join(chunks, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id")
     hubs = chunks.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("hub").alias("id"))
-    return members.union(hubs).join(texts, "id").groupBy("hub", "part").applyInPandas(_verify(k, percent), "a long, b long")
+    rows = members.union(hubs).join(texts, "id").select("hub", "part", "id", "text").repartition(shuffle_width(plain.sparkSession), "hub", "part")
+    rows = rows.sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
+    links = materialise(rows.mapInArrow(_verify(k, percent), "a long, b long").distinct(), "links")
+    discard(texts, chunks)
+    return links

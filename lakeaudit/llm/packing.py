@@ -24,7 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard import near_duplicates
+from .common import materialise
+from .jaccard import components_of
 
 CAPACITY = 2048
 #: Pieces of a shard, on average.
@@ -103,41 +104,33 @@ def _pack(capacity: int):
     return run
 
 
-def normal(text: str) -> Column:
-    """The text in lower case with single blanks."""
-    return F.trim(F.regexp_replace(F.lower(F.col(text)), "\\s+", " "))
-
-
 def normal_form(text: str) -> Column:
     """The cluster of exact copies: hash of the text in lower case with single blanks."""
-    return F.md5(normal(text))
+    return F.md5(F.trim(F.regexp_replace(F.lower(F.col(text)), "\\s+", " ")))
 
 
-def near_clusters(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with __cluster: the component of near copies by k-word shingles of the normal form, so exact copies share one too.
+def pack(
+    docs: DataFrame, *, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", source: str = "source", cluster: Column | None = None, near: tuple[int, int] | None = None
+) -> DataFrame:
+    """One row for each piece: shard and bin (numbered within it), document, piece, its words start .. start + length, offset in the bin.
 
-    Rows without a key stand in the graph under a hash of their normal form.
+    cluster: the cluster of a document; by default that of its exact copies. near: (k, percent), clusters are instead
+    the components of near copies by k-word shingles of the text in lower case; exact copies share one too.
     """
-    rows = docs.withColumn("__node", F.coalesce(F.col(key).cast("long"), F.xxhash64(normal(text))))
-    nodes = rows.select("__node", normal(text).alias("__normal"), F.col(key).isNull().alias("__new"))
-    nodes = nodes.where("not __new").union(nodes.where("__new").distinct()).drop("__new")
-    found = near_duplicates(nodes, k=k, percent=percent, key="__node", text="__normal")
-    found = found.groupBy("__node").agg(F.min("component_id").alias("__cluster"))
-    return rows.join(found.hint("merge"), "__node").drop("__node")
-
-
-def pack(docs: DataFrame, *, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", source: str = "source", cluster: Column | None = None) -> DataFrame:
-    """One row for each piece: shard and bin (numbered within it), document, piece, its words start .. start + length, offset in the bin."""
-    words = F.size(F.filter(F.split(F.col(text), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != ""))
-    rows = docs.select(
-        F.col(key).cast("long").alias("doc_id"),
-        F.when(F.col(text).isNull(), F.lit(0)).otherwise(words).cast("long").alias("words"),
-        F.col(source).cast("string").alias("source"),
-        (normal_form(text) if cluster is None else cluster.cast("string")).alias("cluster"),
-    )
-    pieces = F.expr(f"sequence(cast(0 as bigint), greatest(ceil(words / {capacity}), 1) - 1)")
-    rows = rows.select("doc_id", "source", "cluster", "words", F.explode(pieces).alias("piece"))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"), *([] if cluster is None else [cluster.cast("string").alias("cluster")]))
+    if near:
+        # the join counts the words as it reads the texts
+        rows = docs.select(F.coalesce("doc_id", F.xxhash64(F.lower("text"))).alias("node"), F.lower("text").alias("text"), "doc_id", "source")
+        rows = components_of(rows, k=near[0], percent=near[1], key="node", carry=("doc_id", "source")).withColumn("cluster", F.col("component").cast("string"))
+    else:
+        words = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+", -1), lambda w: w != ""))
+        rows = docs.withColumn("words", F.when(F.col("text").isNull(), F.lit(0)).otherwise(words).cast("long"))
+        rows = rows if cluster is not None else rows.withColumn("cluster", normal_form("text"))
+        rows = materialise(rows.select("doc_id", "words", "source", "cluster"), "lengths")
+    n = F.greatest(F.ceil(F.col("words") / capacity), F.lit(1))
+    shards = max(1, -(-(rows.agg(F.sum(n)).first()[0] or 0) // SHARD))
+    rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     rows = rows.withColumn("start", F.col("piece") * capacity).withColumn("length", F.least(F.lit(capacity), F.col("words") - F.col("start"))).drop("words")
-    shards = max(1, -(-docs.select(key).count() // SHARD))
+    rows = rows.select("doc_id", "source", "cluster", "piece", "start", "length")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "source", "cluster"), F.lit(shards)))
     return rows.groupBy("shard").applyInPandas(_pack(capacity), SCHEMA)

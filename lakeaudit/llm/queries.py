@@ -55,8 +55,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = packing.near_clusters(table(spark, sf_dir, "documents"))
-    return packing.pack(docs, cluster=F.col("__cluster"))
+    return packing.pack(table(spark, sf_dir, "documents"), near=(5, 80))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
