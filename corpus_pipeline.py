@@ -31,9 +31,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: that with the smallest id."""
-    found = jaccard.near_duplicates(docs, k=5, percent=80)
-    kept = found.where(F.col("component_id") == F.coalesce(F.col("doc_id").cast("long"), jaccard.surrogate("text")))
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    found = jaccard.components_of(docs, k=5, percent=80)
+    own = F.coalesce(F.col("doc_id").cast("long"), jaccard.surrogate("text"))
+    rows = docs.withColumn("__own", own)
+    gone = found.where("component <> id").select(F.col("id").alias("__own"))
+    twice = found.where("component = id and rows > 1").select(F.col("id").alias("__own"))
+    kept = rows.join(gone, "__own", "left_anti")
+    # only rows whose id occurs again are compared by text
+    if not twice.isEmpty():
+        again = kept.join(twice, "__own", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(twice, "__own", "left_anti").unionByName(again)
+    return kept.select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
