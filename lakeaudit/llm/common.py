@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,12 @@ def discard(*staged: DataFrame) -> None:
         staged[0].sparkSession._jvm.System.gc()
 
 
+def shielded(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """df with its columns under reserved names (__x0, __x1, ...), and the columns that give the old names back."""
+    names = [f"__x{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,8 @@ def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = quotes.link_quotes(table(spark, sf_dir, "conversations"))
+    # the table holds no quotes: replies with known quotes are derived from all of it and stand beside its rows
+    linked = quotes.link_quotes(quotes.quoted_replies(table(spark, sf_dir, "conversations")))
     return linked.select("conv_id", "turn", "role", "own_text", "n_passages", "n_linked", "max_level", "reply_to", "depth", "reply_path")
 
 
@@ -83,4 +84,21 @@ r(a, b) as (select doc_id, doc_id from w union select r.a, e.b from r join e on
 select w.doc_id, coalesce(max(n.n), 0) as n_shingles, min(r.b) as component_id from w join r on r.a = w.doc_id left join n on n.doc_id = w.doc_id group by w.doc_id
 """
 
-ORACLES = {"op4_parity_jaccard": OP4_SQL, "op5_line_chunks": linedup.ORACLE}
+#: The links that quotes.quoted_replies plants. Blanks are those of the query's pattern.
+OP2_SQL = f"""
+with rows as (select conv_id, cast(turn as bigint) as turn, role, text from conversations),
+one as (select conv_id, turn, min({{'text': text, 'role': role}}) as m from rows where text is not null group by conv_id, turn),
+says as (select conv_id, turn, m.role as role, 'Re ' || turn || ': ' || m.text as says from one),
+linked as (select a.conv_id, a.turn, a.role, a.says, b.turn is not null and a.turn % {quotes.THREAD} >= 1 as near, c.turn is not null and a.turn % {quotes.THREAD} >= 2 as far
+  from says a left join says b on b.conv_id = a.conv_id and b.turn = a.turn - 1 left join says c on c.conv_id = a.conv_id and c.turn = a.turn - 2),
+threads as (select *, case when near then {quotes.LATER} + turn - 1 when far then {quotes.LATER} + turn - 2 end as up from linked),
+plain as (select conv_id, turn, role, regexp_replace(text, '^\n+|\n+$', '', 'g') as own_text, 0::bigint as n_passages, 0::bigint as n_linked, 0::bigint as max_level, cast(null as bigint) as reply_to, 0::bigint as depth, lpad(cast(turn as varchar), 19, '0') as reply_path from rows),
+paths as (with recursive p(conv_id, turn, depth, path) as (
+  select conv_id, turn, 0::bigint, lpad(cast({quotes.LATER} + turn as varchar), 19, '0') from threads where up is null
+  union all select t.conv_id, t.turn, p.depth + 1, p.path || '/' || lpad(cast({quotes.LATER} + t.turn as varchar), 19, '0') from threads t join p on p.conv_id = t.conv_id and t.up = {quotes.LATER} + p.turn) select * from p)
+select * from plain union all
+select conv_id, {quotes.LATER} + turn, role, regexp_replace(says, '^\n+|\n+$', '', 'g'), near::bigint + far::bigint, near::bigint + far::bigint,
+  case when far then 2 when near then 1 else 0 end, up, depth, path from threads join paths using (conv_id, turn)
+"""
+
+ORACLES = {"op2_quotation_links": OP2_SQL, "op4_parity_jaccard": OP4_SQL, "op5_line_chunks": linedup.ORACLE}
