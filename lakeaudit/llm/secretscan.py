@@ -11,7 +11,8 @@ kind, so a cell holds a bounded number of parts and so does the join.
 Spans come from one split and one extraction for each kind; positions are code
 points, ends exclusive. Defined results: null text counts as empty and has no
 span; repeated rows stay, each with its own result; an empty table gives an
-empty table. Extra columns pass through, but for those named like a result column.
+empty table. Extra columns pass through, but for those named like a result
+column (scan; redact has none); other names never clash.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shielded
 
 #: Characters between the parts of one credential.
 SCOPE = 400
@@ -58,15 +59,14 @@ def _spans(docs: DataFrame, kind: str, spec: tuple, text: str) -> DataFrame:
 
 def _with_parts(docs: DataFrame, text: str) -> DataFrame:
     docs = functools.reduce(lambda d, k: _spans(d, k, (BASE | WEAK)[k], text), ORDER, docs)
-    docs = docs.withColumn("base", F.array_sort(F.concat("__assign", "__access", "__hex")))
-    clear = F.expr("filter(concat(__identifier, __key, __endpoint), w -> not exists(base, b -> b.start < w.end and w.start < b.end))")
-    return docs.withColumn("weak", clear).drop("__identifier", "__key", "__endpoint")
+    docs = docs.withColumn("__base", F.array_sort(F.concat("__assign", "__access", "__hex")))
+    clear = F.expr("filter(concat(__identifier, __key, __endpoint), w -> not exists(__base, b -> b.start < w.end and w.start < b.end))")
+    return docs.withColumn("__weak", clear).drop("__identifier", "__key", "__endpoint")
 
 
 def _linked(parts: DataFrame) -> DataFrame:
     """(row, added): the weak parts whose complements are near. parts: row, base, weak."""
-    able = parts.where("size(weak) > 0")
-    each = able.select("row", F.explode(F.concat("base", "weak")).alias("s")).select("row", "s", F.expr(f"s.start div {SCOPE}").alias("cell"))
+    each = parts.select("row", F.explode(F.concat("base", "weak")).alias("s")).select("row", "s", F.expr(f"s.start div {SCOPE}").alias("cell"))
     ids = each.where("s.kind in ('access', 'identifier')").select("row", "cell", F.col("s").alias("i"))
     keys = each.where("s.kind in ('assign', 'hex', 'key')").select("row", "s", F.explode(F.expr("array(cell - 1, cell, cell + 1)")).alias("cell"))
     pairs = ids.join(keys, ["row", "cell"]).where(f"abs(i.start - s.start) <= {SCOPE} and (i.end <= s.start or s.end <= i.start)")
@@ -80,17 +80,28 @@ def _named(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')")
 
 
+def _scanned(docs: DataFrame, text: str) -> DataFrame:
+    """docs with __assign, __access, __hex, __base, __found; each pattern runs over a text once."""
+    parts = _with_parts(docs, text)
+    parts = materialise(parts.withColumn("__row", F.monotonically_increasing_id()), "parts")
+    # only rows with weak parts join
+    able = parts.where("size(__weak) > 0")
+    added = _linked(able.select(F.col("__row").alias("row"), F.col("__base").alias("base"), F.col("__weak").alias("weak")))
+    found = able.join(added.withColumnsRenamed({"row": "__row", "added": "__added"}), "__row", "left")
+    found = found.withColumn("__found", F.when(F.col("__added").isNull(), F.col("__base")).otherwise(F.array_sort(F.concat("__base", "__added")))).drop("__added")
+    return parts.where("size(__weak) = 0").withColumn("__found", F.col("__base")).unionByName(found)
+
+
 def scan(docs: DataFrame, *, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """columns of docs (all by default) with base and found: arrays of spans (start, kind, end, value), and counts."""
     docs = docs.drop(*RESULTS)
-    columns = docs.columns if columns is None else columns
-    parts = _with_parts(docs, text)
-    parts = materialise(parts.select(*columns, "__assign", "__access", "__hex", "base", "weak").withColumn("row", F.monotonically_increasing_id()), "parts")
-    added = _linked(parts.select("row", "base", "weak"))
-    out = parts.join(added, "row", "left")
-    out = out.withColumn("found", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added"))))
+    shown = docs.select(*(docs.columns if columns is None else columns))
+    # the scanned text beside the columns to keep
+    rows, _ = shielded(docs.select(*[F.col(c).alias(f"{i}") for i, c in enumerate(shown.columns)], F.col(text).alias("body")))
+    body = rows.columns[-1]
+    out = _scanned(rows, body)
     counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in BASE]
-    return out.select(*columns, *counts, "base", "found")
+    return out.select(*[F.col(f"__x{i}").alias(c) for i, c in enumerate(shown.columns)], *counts, F.col("__base").alias("base"), F.col("__found").alias("found"))
 
 
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -99,12 +110,10 @@ def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """docs with every found span replaced by MARK; overlapping spans are replaced as one."""
-    columns = docs.columns
-    any_ = functools.reduce(lambda a, b: a | b, [F.col(text).rlike(spec[3]) for spec in (BASE | WEAK).values()])
-    any_ = F.coalesce(any_, F.lit(False))
-    hot = scan(docs.where(any_), text=text)
-    body = f"""aggregate(found, named_struct('at', 0, 'out', ''), (a, x) -> if(x.start < a.at,
+    rows, restore = shielded(docs)
+    at = docs.columns.index(text)
+    body = f"""if(size(__found) = 0, __x{at}, aggregate(__found, named_struct('at', 0, 'out', ''), (a, x) -> if(x.start < a.at,
       named_struct('at', greatest(a.at, x.end), 'out', a.out),
-      named_struct('at', x.end, 'out', concat(a.out, substring({text}, a.at + 1, x.start - a.at), '{MARK}'))),
-      a -> concat(a.out, substring({text}, a.at + 1)))"""
-    return docs.where(~any_).unionByName(hot.withColumn(text, F.expr(body)).select(*columns))
+      named_struct('at', x.end, 'out', concat(a.out, substring(__x{at}, a.at + 1, x.start - a.at), '{MARK}'))),
+      a -> concat(a.out, substring(__x{at}, a.at + 1))))"""
+    return _scanned(rows, f"__x{at}").withColumn(f"__x{at}", F.expr(body)).select(*restore)
