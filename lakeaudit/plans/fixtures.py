@@ -35,10 +35,8 @@ TRACE = """select concat('ord_', lpad(cast(o_orderkey as string),8,'0')) as even
   '. Service date: ', cast(cast(o_orderdate as date) as string), ' callback 555-013-', lpad(cast(o_orderkey % 10000 as string),4,'0'), '.') as content from orders"""
 FAULTY = """select case when event_no % 10 = 2 then null else event_id end as event_id, event_no, timestamp,
  case when event_no % 10 = 0 then 'external_vendor' else layer end as layer, case when event_no % 10 = 1 then null else content end as content from ({trace}) f1""".replace("{trace}", TRACE)
-#: All orders, as the queries read them; JSON_CONTENT is F3, a fifth of them, as the registered SQL has it.
 JSON_ORDERS = """select concat('js_', cast(o_orderkey as string)) as event_id, cast(o_orderkey as bigint) as event_no, concat('{"member_id":"Member ID: MBR-SYN-', lpad(cast(o_custkey as string),8,'0'),
  '","tool":{"response":{"claim_id":"CLM-SYN-', lpad(cast(o_orderkey as string),8,'0'), '"}},"messages":[{"role":"user","content":"Service date ', cast(cast(o_orderdate as date) as string), '"}],"n":', cast(o_orderkey % 7 as string), ',"ok":true,"gap":null,"empty":""}') as content from orders"""
-JSON_CONTENT = f"{JSON_ORDERS} where o_orderkey % 5 = 0"
 OVERLAP = """select concat('ov_', cast(c_custkey as string)) as event_id, cast(c_custkey as bigint) as event_no, concat('URL https://portal.example.test/member/MBR-SYN-', lpad(cast(c_custkey as string),8,'0'), ' fax=555-013-', lpad(cast(c_custkey % 10000 as string),4,'0'), ' IP 192.0.2.', cast(c_custkey % 256 as string), ' mail c', cast(c_custkey as string), '@example.org end') as content from customer"""
 REQUESTS = """select cast(o_orderkey as bigint) as request_id, case o_orderkey % 2 when 0 then 'model_input' else 'debug_log' end as layer,
  case when o_orderkey % 4 = 0 then 'No identifiers here.' else concat('claim_id=CLM-SYN-', lpad(cast(o_orderkey as string),8,'0')) end as text,

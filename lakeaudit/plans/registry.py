@@ -75,7 +75,7 @@ def trace_validate_errors(spark, sf_dir):
     return parse(rows.withColumn("line_no", F.col("event_no")).select("line_no", "event_no", "value")).select("event_no", "error")
 
 
-_LEAVES = f"""with j as ({fx.JSON_CONTENT}), o as (select cast(o_orderkey as bigint) as event_no, o_orderkey, o_custkey, cast(cast(o_orderdate as date) as varchar) as day from orders where o_orderkey % 5 = 0),
+_LEAVES = f"""with o as (select cast(o_orderkey as bigint) as event_no, o_orderkey, o_custkey, cast(cast(o_orderdate as date) as varchar) as day from orders),
 l as (select event_no, 0 as seg_no, '$.member_id' as content_path, 'Member ID: MBR-SYN-' || lpad(cast(o_custkey as varchar), 8, '0') as text from o
  union all select event_no, 1, '$.tool.response.claim_id', 'CLM-SYN-' || lpad(cast(o_orderkey as varchar), 8, '0') from o
  union all select event_no, 2, '$.messages[0].role', 'user' from o union all select event_no, 3, '$.messages[0].content', 'Service date ' || day from o
@@ -103,13 +103,13 @@ def detect_url(spark, sf_dir):
     return _one_category(spark.read.parquet(f"{sf_dir}/pages.parquet"), "url", "page_id", "url")
 
 
-@query("select doc_id, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b')) as m from documents where lang = 'en') group by doc_id")
+@query("select doc_id, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b')) as m from documents) group by doc_id")
 def detect_email(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return _one_category(docs, "text", "doc_id", "email").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select doc_id, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '\\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\b')) as m from documents where lang = 'en') group by doc_id")
+@query("select doc_id, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '\\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\b')) as m from documents) group by doc_id")
 def detect_ip(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return _one_category(docs, "text", "doc_id", "ip_address").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
