@@ -1,123 +1,138 @@
 """Line dedup by content-defined line chunks, in DataFrame operations only.
 
-A text's lines are hashed; a rolling hash over the last two line hashes ends a
-chunk where it is divisible by ``MODULUS``, so boundaries depend on nearby lines
-alone and move with them. A line of ``LONG`` or more words is a chunk of its own:
-it is a passage by itself. Chunks of several lines, and such long lines, that
-occur more than once in the table are removed but for the first occurrence (by
-doc_id, then position), after the bytes of all occurrences were compared.
-
-Boundaries cut through a passage's first and last lines, so passages are also
-found without them: a span is a shortest run of whole lines of over ``LONG`` words,
-from each line on and back from each line. Every run of over ``LONG`` words is
-covered by its spans, and two equal runs have equal spans, so removing all spans
-that occur before removes all such runs, whatever the boundaries. Spans meet by
-SHA-256 of their bytes. One that overlaps its own first occurrence stays.
-
-All joins are merge joins at every size: their small sides grow with the table.
-Chunks meet by 128-bit hash with partial aggregation, so a chunk that a third
-of all documents hold stays one row per task; texts are rebuilt from a list of
-line ranges for each document.
+A text's lines are hashed; a rolling hash over the last ``WINDOW`` line hashes
+ends a chunk where it is divisible by ``MODULUS``, so boundaries depend on nearby
+lines alone and move with them. Chunks of several lines that occur more than once
+in the table are removed but for the first occurrence (by doc_id, then position),
+after the bytes of all occurrences were compared.
+
+Boundaries cut through a passage's first and last lines, and a passage of few
+lines may have no whole chunk. So long passages are also found without
+boundaries: a span is a shortest run of whole lines of over ``LONG`` words, from
+each line on and back from each line. Every run of over ``LONG`` words is covered
+by its spans, and two equal runs have equal spans, so removing all spans that
+occur before removes all such runs. Spans meet by SHA-256 of their bytes. One that
+overlaps its own first occurrence stays.
+
+One pass over the texts finds all chunks and spans and writes their places and
+hashes; only texts that hold a repeated one are read again for their bytes. All
+joins are merge joins at every size: their small sides grow with the table. Hashes
+are counted with partial aggregation, so a chunk that a third of all documents
+hold stays one row per task.
 
 Defined results: n_removed counts the chunks that lost a line; null text stays null; a text whose chunks all go becomes empty;
 rows with equal doc_id and text count as one document; chunks of equal hash but
 different bytes stay; an empty table gives an empty table. Extra columns pass
-through, but for those named like a result column.
+through, but for those named like a result column; other names never clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise, shielded
 
-MODULUS = 4
+MODULUS, WINDOW = 4, 3
 LONG = 50
 RESULTS = ("n_chunks", "n_removed")
+WORD = "[^\\x20\\x09-\\x0D]+"
+FIRST, LAST = "shiftright({0}, 32)", "({0} & 4294967295)"
+_HASH = "transform(ls, l -> cast(conv(substr(md5(l), 1, 8), 16, 10) as bigint))"
+_ROLLED = " + ".join(f"{31**g} * if(i < {g}, 0, h[greatest(i - {g}, 0)])" for g in range(WINDOW))
+#: Numbers of the last line of each chunk; ls and h are lambda variables.
+_ENDS = f"filter(sequence(0, size(ls) - 1), i -> i = size(ls) - 1 or ({_ROLLED}) % {MODULUS} = 0)"
 
 
-def _chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """docs with __lines and __ends: the lines of a text, and the number of the last line of each chunk."""
-    hashes = "transform(__lines, l -> cast(conv(substr(md5(l), 1, 8), 16, 10) as bigint))"
-    long_ = f"transform(__lines, l -> length(l) - length(replace(l, ' ', '')) >= {LONG - 1})"
-    ends = f"""filter(sequence(0, size(__lines) - 1), i -> i = size(__lines) - 1 or __long[i] or __long[i + 1]
-        or (__h[i] + 31 * if(i = 0, 0, __h[i - 1])) % {MODULUS} = 0)"""
-    rowkey = F.concat(F.hex(F.xxhash64(F.col(key), F.col(text))), F.hex(F.hash(F.col(text), F.col(key))))
-    out = docs.withColumn("__row", rowkey).withColumn("__lines", F.split(F.col(text), "\n", -1))
-    out = out.withColumn("__h", F.expr(hashes)).withColumn("__long", F.expr(long_))
-    return out.withColumn("__ends", F.expr(ends))
+def _packed(first: str, last: str) -> str:
+    return f"shiftleft(cast({first} as bigint), 32) + {last}"
 
 
-_PIECE = "slice(__lines, if(j = 0, 0, __ends[j - 1] + 1) + 1, __ends[j] - if(j = 0, -1, __ends[j - 1]))"
+def _let(name: str, value: str, body: str) -> str:
+    """body with name bound to value, which is computed once wherever the optimiser puts the expression."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row for each chunk that may go: document, lines (packed), bytes and hash."""
-    rows = _chunked(docs.where(F.col(text).isNotNull()), key, text)
-    wanted = "filter(sequence(0, size(__ends) - 1), j -> __ends[j] > if(j = 0, -1, __ends[j - 1]) + 1 or __long[__ends[j]])"
-    picked = rows.select("__row", F.col(key).cast("long").alias("__id"), F.explode(F.expr(f"transform({wanted}, j -> named_struct('at', {_packed('if(j = 0, 0, __ends[j - 1] + 1)', '__ends[j]')}, 'body', array_join({_PIECE}, '\n')))")).alias("c"))
-    return picked.select("__row", "__id", F.col("c.at").alias("at"), F.unhex(F.md5(F.col("c.body"))).alias("chunk"), F.col("c.body").alias("body"))
+def _body(w: str) -> str:
+    return f"array_join(slice(ls, cast({FIRST.format(w)} as int) + 1, cast({LAST.format(w)} - {FIRST.format(w)} as int) + 1), '\\n')"
 
 
-def _packed(first: str, last: str) -> str:
-    return f"shiftleft(cast({first} as bigint), 32) + {last}"
+def _places(text: str) -> Column:
+    """n_chunks, and place and hash of each chunk of several lines and of each span. of holds the line of each word."""
+    chunks = f"filter(transform(ends, (e, j) -> {_packed('if(j = 0, 0, ends[j - 1] + 1)', 'e')}), w -> {FIRST.format('w')} < {LAST.format('w')})"
+    many = f"if(size(of) > {LONG}, sequence({LONG}, size(of) - 1), cast(array() as array<int>))"
+    edge = f"k = {LONG} or of[k - {LONG}] <> of[k - {LONG + 1}] or k = size(of) - 1 or of[k] <> of[k + 1]"
+    spans = f"array_distinct(transform(filter({many}, k -> {edge}), k -> {_packed(f'of[k - {LONG}]', 'of[k]')}))"
+    pattern = WORD.replace("\\", "\\\\")
+    found = f"""named_struct('n', size(ends),
+      'chunks', transform({chunks}, w -> named_struct('at', w, 'h', unhex(md5({_body('w')})))),
+      'spans', {_let('of', f"flatten(transform(ls, (l, i) -> array_repeat(i, regexp_count(l, '{pattern}'))))", f"transform({spans}, w -> named_struct('at', w, 'h', unhex(sha2({_body('w')}, 256))))")})"""
+    return F.expr(_let("ls", f"split({text}, '\\n', -1)", _let("h", _HASH, _let("ends", _ENDS, found))))
 
 
-def _spans(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row for each span: document, lines (packed) and hash. __of holds the line of each word."""
-    rows = _chunked(docs.where(F.col(text).isNotNull()), key, text)
-    rows = rows.withColumn("__of", F.flatten(F.transform("__lines", lambda line, i: F.array_repeat(i, F.regexp_count(line, F.lit(WORD))))))
-    ends = f"if(size(__of) > {LONG}, sequence({LONG}, size(__of) - 1), cast(array() as array<int>))"
-    edge = f"k = {LONG} or __of[k - {LONG}] <> __of[k - {LONG + 1}] or k = size(__of) - 1 or __of[k] <> __of[k + 1]"
-    packed = f"array_distinct(transform(filter({ends}, k -> {edge}), k -> {_packed(f'__of[k - {LONG}]', '__of[k]')}))"
-    rows = rows.withColumn("__at", F.expr(packed))
-    body = f"array_join(slice(__lines, cast({FIRST.format('w')} as int) + 1, cast({LAST.format('w')} - {FIRST.format('w')} as int) + 1), '\n')"
-    wanted = f"filter(__at, w -> {FIRST.format('w')} < {LAST.format('w')} or not __long[cast({FIRST.format('w')} as int)])"
-    picked = rows.select("__row", F.col(key).cast("long").alias("__id"), F.explode(F.expr(f"transform({wanted}, w -> named_struct('at', w, 'span', unhex(sha2({body}, 256))))")).alias("c"))
-    return picked.select("__row", "__id", F.col("c.at").alias("at"), F.col("c.span").alias("span"))
+def _row(key: str, text: str) -> Column:
+    return F.concat(F.hex(F.xxhash64(F.col(key), F.col(text))), F.hex(F.hash(F.col(text), F.col(key))))
 
 
-FIRST, LAST = "shiftright({0}, 32)", "({0} & 4294967295)"
-WORD = "[^\\x20\\x09-\\x0D]+"
+def _again(found: DataFrame) -> DataFrame:
+    """(h, first) of the hashes that occur in more than one place."""
+    first = F.min(F.struct("__id", "__row", "at")).alias("first")
+    return found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("h", "first")
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the remaining text, n_chunks and n_removed."""
     docs = docs.drop(*RESULTS)
-    found = _occurrences(docs, key, text)
-    first = F.min(F.struct("__id", "__row", "at")).alias("first")
-    repeated = found.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("body").alias("low"), F.max("body").alias("high"), first)
-    repeated = materialise(repeated.where("n > 1 and low = high").select("chunk", "first"), "repeated")
-    at = found.select("__row", "__id", "at", "chunk").join(repeated.hint("merge"), "chunk").where("not (first.__row = __row and first.at = at)")
-    spans = materialise(_spans(docs, key, text), "spans")
-    again = spans.groupBy("span").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("span", "first")
-    over = spans.select("__row", "at", "span").join(again.hint("merge"), "span").where(f"not (first.__row = __row and {FIRST.format('at')} <= {LAST.format('first.at')})")
-    gone = at.select("__row", "at").union(over.select("__row", "at")).groupBy("__row").agg(F.collect_set("at").alias("__gone"))
+    rows, restore = shielded(docs)
+    key, text = (f"__x{docs.columns.index(c)}" for c in (key, text))
+    rows = rows.withColumn("__row", _row(key, text))
+    facts = rows.where(F.col(text).isNotNull()).select("__row", F.col(key).cast("long").alias("__id"), _places(text).alias("f"))
+    facts = materialise(facts.select("__row", "__id", "f.chunks", "f.spans"), "places")
+    each = {c: facts.select("__row", "__id", F.explode(c).alias("c")).select("__row", "__id", "c.at", "c.h") for c in ("chunks", "spans")}
+    # written before they join, so that the planner can split the places of a hash that many texts hold
+    again = {c: materialise(_again(each[c]), "again") for c in each}
+    met = {c: materialise(each[c].join(again[c].hint("merge"), "h"), c) for c in each}
+    # the bytes of repeated chunks, from the texts that hold one
+    holders = met["chunks"].groupBy("__row").agg(F.collect_set(F.struct("at", "h")).alias("cs"))
+    bodies = rows.select("__row", text).join(holders.hint("merge"), "__row")
+    bodies = bodies.select(F.explode(F.expr(_let("ls", f"split({text}, '\\n', -1)", f"transform(cs, c -> named_struct('h', c.h, 'body', {_body('c.at')}))"))).alias("b"))
+    differ = bodies.groupBy("b.h").agg(F.min("b.body").alias("low"), F.max("b.body").alias("high")).where("low <> high").select("h")
+    differ = materialise(differ, "differ")
+    chunks = met["chunks"].join(differ, "h", "left_anti").where("not (first.__row = __row and first.at = at)")
+    spans = met["spans"].where(f"not (first.__row = __row and {FIRST.format('at')} <= {LAST.format('first.at')})")
+    gone = chunks.select("__row", "at").union(spans.select("__row", "at")).groupBy("__row").agg(F.collect_set("at").alias("__gone"))
     gone = materialise(gone, "gone")
-    rows = docs.withColumn("__row", F.concat(F.hex(F.xxhash64(F.col(key), F.col(text))), F.hex(F.hash(F.col(text), F.col(key)))))
-    rows = rows.join(gone.hint("merge"), "__row", "left").drop("__row")
-    rows = _chunked(rows, key, text).drop("__row")
-    rows = rows.withColumn("__out", F.expr(f"array_distinct(flatten(transform(__gone, w -> sequence(cast({FIRST.format('w')} as int), cast({LAST.format('w')} as int)))))"))
-    chunk = "flatten(transform(__ends, (e, j) -> array_repeat(j, e - if(j = 0, -1, __ends[j - 1]))))"
-    lost = f"transform(array({chunk}), of -> size(array_distinct(transform(__out, i -> of[i]))))[0]"
-    kept = "array_join(transform(array_except(sequence(0, size(__lines) - 1), __out), i -> __lines[i]), '\n')"
-    rows = rows.withColumn("n_removed", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.expr(lost)).cast("long"))
-    rows = rows.withColumn("n_chunks", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.coalesce(F.size("__ends"), F.lit(0))).cast("long"))
-    rows = rows.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.expr(kept)))
-    return rows.select(*docs.columns, *RESULTS)
-
-
+    discard(facts, differ, *again.values(), *met.values())
+    rows = rows.join(gone.hint("merge"), "__row", "left")
+    out = f"array_distinct(flatten(transform(__gone, w -> sequence(cast({FIRST.format('w')} as int), cast({LAST.format('w')} as int)))))"
+    kept = "array_join(transform(array_except(sequence(0, size(ls) - 1), lines), i -> ls[i]), '\\n')"
+    chunk = "flatten(transform(ends, (e, j) -> array_repeat(j, e - if(j = 0, -1, ends[j - 1]))))"
+    lost = _let("of", chunk, "size(array_distinct(transform(lines, i -> of[i])))")
+    done = f"if(__gone is null, named_struct('n', size(ends), 'lost', 0, 'text', {text}), {_let('lines', out, f"named_struct('n', size(ends), 'lost', {lost}, 'text', {kept})")})"
+    done = _let("ls", f"split({text}, '\\n', -1)", _let("h", _HASH, _let("ends", _ENDS, done)))
+    rows = rows.withColumn("__done", F.when(F.col(text).isNotNull(), F.expr(done))).withColumn(text, F.col("__done.text"))
+    counts = [F.coalesce(F.col(f"__done.{c}"), F.lit(0)).cast("long").alias(r) for c, r in (("n", "n_chunks"), ("lost", "n_removed"))]
+    return rows.select(*restore, *counts)
+
+
+_SQL_ROLLED = " + ".join(f"{31**g} * (case when i < {g} then 0 else h[i + 1 - {g}] end)" for g in range(WINDOW))
 ORACLE = f"""
 with lines as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
-hashed as (select *, list_transform(ls, lambda l: cast('0x' || substr(md5(l), 1, 8) as bigint)) as h,
-  list_transform(ls, lambda l: length(l) - length(replace(l, ' ', '')) >= {LONG - 1}) as lg from lines),
-ended as (select *, list_filter(range(len(ls)), lambda i: i = len(ls) - 1 or lg[i + 1] or lg[i + 2]
-  or (h[i + 1] + 31 * (case when i = 0 then 0 else h[i] end)) % {MODULUS} = 0) as ends from hashed),
-cut as (select doc_id, unnest(range(len(ends))) as j, ends, ls, lg from ended),
-chunks as (select doc_id, j, array_to_string(ls[(case when j = 0 then 1 else ends[j] + 2 end):(ends[j + 1] + 1)], chr(10)) as body,
-  ends[j + 1] > (case when j = 0 then -1 else ends[j] end) + 1 or lg[ends[j + 1] + 1] as able from cut),
-ranked as (select *, able and row_number() over (partition by body, able order by doc_id, j) > 1 as gone from chunks)
-select doc_id, count(*) as n_chunks, count(*) filter (where gone) as n_removed,
-  coalesce(string_agg(body, chr(10) order by j) filter (where not gone), '') as text from ranked group by doc_id
+hashed as (select *, list_transform(ls, lambda l: cast('0x' || substr(md5(l), 1, 8) as bigint)) as h, list_transform(ls, lambda l: len(regexp_extract_all(l, '{WORD}'))) as ws from lines),
+ended as (select *, list_filter(range(len(ls)), lambda i: i = len(ls) - 1 or ({_SQL_ROLLED}) % {MODULUS} = 0) as ends from hashed),
+cut as (select doc_id, ls, unnest(range(len(ends))) as j, ends from ended),
+chunks as (select doc_id, j, case when j = 0 then 0 else ends[j] + 1 end as a, ends[j + 1] as z, ls from cut),
+counted as (select doc_id, ls, unnest(ws) as w, unnest(range(len(ls))) as i from hashed),
+summed as (select doc_id, ls, w, i, sum(w) over (partition by doc_id order by i) as upto from counted),
+worded as (select * from summed where w > 0),
+spans as (select distinct x.doc_id, x.i as a, y.i as z, x.ls from worded x join worded y on x.doc_id = y.doc_id and x.i <= y.i
+  and y.upto - x.upto + x.w > {LONG} and (y.upto - y.w - x.upto + x.w <= {LONG} or y.upto - x.upto <= {LONG})),
+pieces as (select doc_id, a, z, 'chunk' as kind, array_to_string(ls[a + 1:z + 1], chr(10)) as body from chunks where z > a
+  union all select doc_id, a, z, 'span', array_to_string(ls[a + 1:z + 1], chr(10)) from spans),
+ranked as (select *, first_value(doc_id) over same as d, first_value(a) over same as fa, first_value(z) over same as fz from pieces window same as (partition by kind, body order by doc_id, a, z)),
+gone as (select distinct doc_id, unnest(range(a, z + 1)) as i from ranked where not (doc_id = d and case kind when 'chunk' then a = fa and z = fz else a <= fz end)),
+lost as (select c.doc_id, count(distinct c.j) as n from chunks c join gone g on g.doc_id = c.doc_id and g.i between c.a and c.z group by c.doc_id),
+kept as (select n.doc_id, string_agg(n.ls[n.i + 1], chr(10) order by n.i) as text from counted n left join gone g on g.doc_id = n.doc_id and g.i = n.i where g.i is null group by n.doc_id)
+select e.doc_id, coalesce(cast(len(e.ends) as bigint), 0) as n_chunks, coalesce(lost.n, 0) as n_removed, case when e.text is not null then coalesce(kept.text, '') end as text
+from ended e left join lost on lost.doc_id = e.doc_id left join kept on kept.doc_id = e.doc_id
 """
