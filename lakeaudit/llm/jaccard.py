@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import discard, materialise, shuffle_width
+from .common import discard, materialise, shielded, shuffle_width
 from .components import connected_components
 
 #: Ratio of the sizes at the ends of a size band.
@@ -337,11 +337,12 @@ def surrogate(text: str) -> Column:
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_shingles and component_id: components of links at Jaccard similarity percent / 100 or more of k-word shingles."""
     docs = docs.drop("n_shingles", "component_id")
-    own = F.col(key).cast("long")
-    found = components_of(docs, k=k, percent=percent, key=key, text=text)
-    found = found.select(F.col("id").alias("__key"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    out = docs.withColumn("__own", F.coalesce(own, surrogate(text))).join(found, F.col("__own") == F.col("__key"), "left").drop("__key", "__own")
-    return out.withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0).cast("long")))
+    rows, restore = shielded(docs)
+    key, text = (f"__x{docs.columns.index(c)}" for c in (key, text))
+    found = components_of(rows, k=k, percent=percent, key=key, text=text)
+    found = found.select(F.col("id").alias("__id"), F.coalesce("n", F.lit(0).cast("long")).alias("n_shingles"), F.col("component").alias("component_id"))
+    out = rows.withColumn("__id", F.coalesce(F.col(key).cast("long"), surrogate(text))).join(found, "__id", "left")
+    return out.select(*restore, "n_shingles", "component_id")
 
 
 def components_of(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
@@ -362,7 +363,7 @@ def components_of(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str =
     some = profile.where("n > 0")
     # equal sets hang from the smallest id that has the set; the graph needs only those that make bucket rows or have several sets
     reps = materialise(some.groupBy("ident").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select("ident", "rep"), "reps")
-    copies = some.select("id", "ident", F.col("sketch").isNotNull().alias("first")).join(reps, "ident").where("id <> rep").select("id", "rep", "first")
+    copies = some.select("id", "ident", F.col("sketch").isNotNull().alias("first")).join(reps, "ident").where("id <> rep").groupBy("id", "rep").agg(F.max("first").alias("first"))
     copies = copies.join(facts.where("several").select("id", F.lit(True).alias("several")), "id", "left")
     copies = materialise(copies.withColumn("node", F.col("first") | F.coalesce("several", F.lit(False))), "copies")
     tasks = max(shuffle_width(docs.sparkSession), (some.agg(F.sum(F.size("keys"))).first()[0] or 0) // TASK_ROWS)
