@@ -2,18 +2,20 @@
 
 Terms (words in lower case) whose document frequency lies in a band of inverse
 document frequency form the lexicon. A fingerprint hashes the sorted distinct
-lexicon terms of a text: once over the whole lexicon, and once for each of
-several randomised subsets of it, which change less often with an edit.
-Subsets come at several sampling rates, so that texts of a few and of thousands
-of terms both find subsets that hold about one or two of their terms.
+lexicon terms of a text: over the whole lexicon, over several randomised
+lexicons that each keep most of it, and over many sparse ones. Two texts that
+agree in one of the large ones are duplicates in the sense of I-Match (duplicates).
+These all change when a third of a text does, so likeness reads the sparse ones,
+which come at several rates: a subset agrees if all of its terms that either
+text holds are common, so the share of agreeing subsets gives the share of common
+terms (likeness).
 
 Document frequencies are counted over all distinct texts, so that copies push no
 term out of the band. The band's lower end is a share of these, so the lexicon has
 at most (mean distinct terms of a text) / RARE terms however large the table is;
-that bounded list alone goes to every task. Each text is hashed over all of its
-terms too; where one of two texts has fewer than FEW lexicon terms, these hashes
-are compared, so both sides always stand for the same kind of terms and short
-texts do not fall together.
+that bounded list alone goes to every task. Each text is also hashed over sparse
+subsets of all of its terms, which always count with the small weight PLAIN, so
+texts without lexicon terms still differ and no text changes its kind by an edit.
 
 Defined results: null text counts as empty; texts with the same set of terms,
 and so equal texts, have equal fingerprints; likeness is 1 for equal
@@ -36,11 +38,15 @@ from .common import materialise
 
 #: The band: least and largest share of the documents that hold a term.
 RARE, COMMON = 1 / 1000, 1 / 4
-FEW = 5
-#: A hash of a term picks one of so many subsets of the lexicon; the first EACH of each kind are used.
-KINDS, EACH = (16, 64, 256, 1024), 16
-#: Hashes of a text over one kind of terms.
-BLOCK = 1 + len(KINDS) * EACH
+#: Randomised lexicons that keep three quarters of the terms.
+LARGE = 4
+#: A hash of a term picks one of so many subsets; the first EACH of each kind are used.
+KINDS, EACH = (16, 64, 256, 1024, 4096), 16
+SPARSE = len(KINDS) * EACH
+#: Hashes of a text: over the lexicon, over all terms.
+BLOCK, PLAIN_BLOCK = 1 + LARGE + SPARSE, 1 + SPARSE
+#: Weight of the subsets of all terms beside those of the lexicon.
+PLAIN = 0.05
 #: Bytes of text that a task of the neighbour pass should hold.
 CHUNK_BYTES = 32_000_000
 
@@ -95,9 +101,9 @@ class Fingerprints:
         self.bits[terms >> np.uint64(42)] = True
 
     def parts(self, texts: pa.Array) -> np.ndarray:
-        """For each text: hash over the whole lexicon, then over each subset, all 0 below FEW terms; then the same over all terms; 0: no term."""
+        """For each text: hash over the whole lexicon, over large and sparse subsets of it; then over all terms and sparse subsets of these; 0: no term."""
         out = [self._run(*run) for run in term_sets(texts)]
-        return np.concatenate(out) if out else np.zeros((0, 2 * BLOCK), np.uint64)
+        return np.concatenate(out) if out else np.zeros((0, BLOCK + PLAIN_BLOCK), np.uint64)
 
     def _run(self, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
         n = len(counts)
@@ -106,39 +112,60 @@ class Fingerprints:
         if len(self.terms):
             at = np.searchsorted(self.terms, own[inside])
             inside[inside] = self.terms[np.minimum(at, len(self.terms) - 1)] == own[inside]
-        inside &= (np.bincount(owner[inside], minlength=n) >= FEW)[owner]
-        out = np.zeros((n, 2 * BLOCK), np.uint64)
-        self._add(out, 0, own[inside], owner[inside])
-        self._add(out, BLOCK, own, owner)
-        return out
-
-    @staticmethod
-    def _add(out: np.ndarray, at: int, own: np.ndarray, owner: np.ndarray) -> None:
-        # a sum of mixed hashes stands for the sorted distinct terms: equal sets, and only these, agree
-        h = tk.mix(own * tk.MIX[2])
-        np.add.at(out[:, at], owner, h)
-        flat, pick = out.reshape(-1), tk.mix(own ^ tk.MIX[6])
-        for k, of in enumerate(KINDS):
-            subset = (pick >> np.uint64(12 * k)) & np.uint64(of - 1)
-            chosen = np.flatnonzero(subset < EACH)
-            np.add.at(flat, owner[chosen] * out.shape[1] + at + 1 + k * EACH + subset[chosen].astype(np.int64), h[chosen])
+        return np.hstack([hashes(own[inside], owner[inside], n, LARGE), hashes(own, owner, n, 0)])
+
+
+def hashes(own: np.ndarray, owner: np.ndarray, n: int, large: int) -> np.ndarray:
+    """Hash of the sequence of each text's terms, sorted and distinct: whole, large subsets, sparse subsets."""
+    out = np.zeros((n, 1 + large + SPARSE), np.uint64)
+    pick, again = tk.mix(own ^ tk.MIX[6]), tk.mix(own ^ tk.MIX[5])
+    rows, columns = [np.arange(len(own))], [np.zeros(len(own), np.int64)]
+    for c in range(large):
+        rows.append(np.flatnonzero((again >> np.uint64(2 * c)) & np.uint64(3)))
+        columns.append(np.full(len(rows[-1]), 1 + c))
+    for k, of in enumerate(KINDS):
+        subset = (pick >> np.uint64(12 * k)) & np.uint64(of - 1)
+        rows.append(np.flatnonzero(subset < EACH))
+        columns.append(1 + large + k * EACH + subset[rows[-1]].astype(np.int64))
+    row = np.concatenate(rows)
+    if len(row):
+        flat = owner[row] * out.shape[1] + np.concatenate(columns)
+        order = np.argsort(flat, kind="stable")
+        row, flat = row[order], flat[order]
+        start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        place = np.arange(len(flat)) - np.repeat(start, np.diff(np.r_[start, len(flat)]))
+        value = tk.mix(own[row] * tk.MIX[2]) * tk.powers(int(place.max()) + 1)[0][place]
+        out.reshape(-1)[flat[start]] = tk.mix(np.add.reduceat(value, start)) | np.uint64(1)
+    return out
+
+
+def duplicates(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two texts agree over the lexicon or one of its large subsets."""
+    return bool(((a[: 1 + LARGE] == b[: 1 + LARGE]) & (a[: 1 + LARGE] != 0)).any())
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The best share of equal subsets of one rate, among those that hold a term of either text; over all terms where one text lacks lexicon terms."""
-    a, b = (a[:BLOCK], b[:BLOCK]) if a[0] and b[0] else (a[BLOCK:], b[BLOCK:])
+    """Estimated share of common terms among those of either text.
+
+    If subsets hold a mean of m terms of either text, a share e^-m of them holds none; with a share j of
+    common terms a used subset agrees with probability (e^(m j) - 1) / (e^m - 1). Rates count by the subsets that
+    the text with fewer terms fills, and by unused ones, without which m is unknown; so a text
+    without lexicon terms is compared over all terms.
+    """
     if (a == b).all():
         return 1.0
-    x, y = a[1:].reshape(len(KINDS), EACH), b[1:].reshape(len(KINDS), EACH)
+    x, y = (np.concatenate([v[1 + LARGE : BLOCK], v[BLOCK + 1 :]]).reshape(-1, EACH) for v in (a, b))
     used = ((x != 0) | (y != 0)).sum(axis=1)
     same = ((x == y) & (x != 0)).sum(axis=1)
-    enough = used >= EACH // 4
-    return float((same[enough] / used[enough]).max()) if enough.any() else 0.0
+    m = -np.log(1 - np.minimum(used, EACH - 0.5) / EACH)
+    filled = np.minimum((x != 0).sum(axis=1), (y != 0).sum(axis=1))
+    weight = filled * (EACH + 0.05 - used) * np.repeat([1, PLAIN], len(KINDS))
+    share = np.log1p(same / np.maximum(used, 1) * np.expm1(m)) / np.maximum(m, 1e-9)
+    return float(min(1.0, (share * weight).sum() / max(weight.sum(), 1e-9)))
 
 
 def render(parts: np.ndarray) -> str:
-    used = parts[:BLOCK] if parts[0] else parts[BLOCK:]
-    return hashlib.sha256(used.tobytes()).hexdigest()[:32] + np.delete(parts, [0, BLOCK]).astype(">u2").tobytes().hex()
+    return hashlib.sha256(parts.tobytes()).hexdigest()[:32] + parts.astype(">u2").tobytes().hex()
 
 
 def edited(text: str, following: str) -> str:
@@ -172,7 +199,8 @@ def compare_with_next(docs: DataFrame, terms: np.ndarray, *, key: str = "doc_id"
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     facts = rows.agg(F.sum(F.octet_length("text").cast("double")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     spark = docs.sparkSession
-    n = max(1, min(int((facts["bytes"] or 0) / CHUNK_BYTES) + 1, facts["n"] or 1), spark.sparkContext.defaultParallelism)
+    # as many ranges as the bytes ask for, and one for each core of a small table
+    n = max(1, min(max(int((facts["bytes"] or 0) / CHUNK_BYTES) + 1, spark.sparkContext.defaultParallelism), facts["n"] or 1))
     bounds = sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
     cuts = spark.sparkContext.broadcast(np.array(bounds, np.int64))
 
@@ -192,7 +220,7 @@ def compare_with_next(docs: DataFrame, terms: np.ndarray, *, key: str = "doc_id"
     keyed = dealt.withColumn("i", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("h", F.xxhash64("text"))
     copies = keyed.join(F.broadcast(guests), ["i", "h"]).dropDuplicates(["to"]).select(F.col("to").alias("part"), "doc_id", "text", "i", "h", F.lit(1).alias("guest"))
     both = keyed.select("part", "doc_id", "text", "i", "h", F.lit(0).alias("guest")).unionByName(copies)
-    ordered = both.repartition(n, "part").sortWithinPartitions(F.col("part"), F.col("guest"), F.col("i").desc(), F.col("h").desc(), F.col("text"))
+    ordered = both.repartitionByRange(n, "part").sortWithinPartitions(F.col("part"), F.col("guest"), F.col("i").desc(), F.col("h").desc(), F.col("text"))
     return ordered.select("part", "guest", "doc_id", "text").mapInArrow(_compare(spark.sparkContext.broadcast(terms)), COMPARED)
 
 
