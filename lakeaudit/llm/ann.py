@@ -168,7 +168,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 20, key: str = "v
 
     asked = queries.select(F.col(key).cast("long").alias("id")).distinct()
     # a query walks hundreds of centroid pairs in Python: spread them
-    visits = rows.join(asked, "id", "left_semi").repartition(shuffle_width(spark), "id").mapInArrow(visit, "block long, query long, v binary, cells binary")
+    visits = rows.join(asked, "id", "left_semi").repartition(shuffle_width(spark), F.xxhash64("id")).mapInArrow(visit, "block long, query long, v binary, cells binary")
     visits = materialise(visits, "visits")
     groups = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("groups"))
     left = visits.join(groups, "block").select("block", F.pmod(F.xxhash64("query"), "groups").alias("g"), "query", "v", "cells")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, imatch, jaccard, langid, linedup, packing, quality, quotes, secretscan, segmentation
-from .common import fold, table
+from .common import fold, materialise, table
 
 #: The vocabulary that op7 uses; any SentencePiece model file does.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -21,7 +21,7 @@ def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the table holds no quotes: replies with known quotes are derived from all of it and stand beside its rows
-    linked = quotes.link_quotes(quotes.quoted_replies(table(spark, sf_dir, "conversations")))
+    linked = quotes.link_quotes(materialise(quotes.quoted_replies(table(spark, sf_dir, "conversations")), "messages"))
     return linked.select("conv_id", "turn", "role", "own_text", "n_passages", "n_linked", "max_level", "reply_to", "depth", "reply_path")
 
 
