@@ -1,12 +1,11 @@
-"""Candidate detection: spans found in Arrow batches, overlaps settled in the JVM."""
+"""Candidate detection: spans found and overlaps settled in one pass over Arrow batches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .rules import NER_CATEGORIES, RULES
@@ -45,28 +44,26 @@ def ner_spans(text: str, results: list) -> list[dict]:
     return out
 
 
-def with_raw(df: DataFrame, text: str, out: str = "raw", analyzer: Callable[[], object] | None = None) -> DataFrame:
-    """df with all rule matches of a text column; analyzer: makes an entity recogniser once in each worker."""
+def detect(df: DataFrame, text: str = "content", out: str = "candidates", analyzer: Callable[[], object] | None = None) -> DataFrame:
+    """df with the candidates of a text column, in order of their place; analyzer: makes an entity recogniser once in each worker. Null text: none."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(RAW))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = analyzer() if analyzer else None
         for b in batches:
             texts = b.column(text).to_pylist()
-            hits = [[] if t is None else spans(t) + (ner_spans(t, engine.analyze(text=t, language="en", entities=list(NER_CATEGORIES))) if engine else []) for t in texts]
+            hits = [[] if t is None else settled(spans(t) + (ner_spans(t, engine.analyze(text=t, language="en", entities=list(NER_CATEGORIES))) if engine else [])) for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, _ARROW)], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, schema)
 
 
-def merged(raw: str) -> Column:
+def settled(found: list[dict]) -> list[dict]:
     """Greedy selection without overlaps: earliest start first, then rules before recognisers, confidence, length, category."""
-    order = f"""transform({raw}, c -> named_struct('start', c.start, 'p', if(c.detector = 'regex', 0, 1), 'f', -c.confidence, 'l', c.start - c.end, 'category', c.category, 'c', c))"""
-    fold = f"""aggregate(array_sort({order}), named_struct('upto', -1, 'kept', cast(array() as {RAW})),
-        (a, x) -> if(x.start < a.upto, a, named_struct('upto', x.c.end, 'kept', concat(a.kept, array(x.c)))), a -> a.kept)"""
-    return F.expr(fold)
-
-
-def detect(df: DataFrame, text: str = "content", out: str = "candidates", analyzer: Callable[[], object] | None = None) -> DataFrame:
-    """df with the candidates of a text column, in order of their place. Null text: none."""
-    return with_raw(df, text, "__raw", analyzer).withColumn(out, merged("__raw")).drop("__raw")
+    found = sorted(found, key=lambda c: (c["start"], c["detector"] != "regex", -c["confidence"], c["start"] - c["end"], c["category"]))
+    kept, upto = [], -1
+    for c in found:
+        if c["start"] >= upto:
+            kept.append(c)
+            upto = c["end"]
+    return kept

@@ -14,3 +14,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{where}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of input that are worth a core.
+SHARE = 1 << 24
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as the session has cores, where its input is too small for so many splits.
+
+    A pass in Python keeps one core busy for each task. Large inputs have enough splits and stay as they are.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SHARE else df

@@ -13,6 +13,8 @@ from ..functions.stage import staged
 from ..sources.policy import Policy
 from .segments import external_path, segments
 
+#: Parts of a value in which its findings are reduced first.
+SALT = 32
 ORDER = ["event_no", "seg_no", "start", "end", "category"]
 
 
@@ -70,19 +72,27 @@ def display(mode: str) -> Column:
 def exposures(findings: DataFrame, *, number: bool = True) -> DataFrame:
     """One row for each (category, value); lists keep the order in which things were first seen.
 
-    Distinct members with their first finding are aggregated first, so a value
-    seen in a third of all events gathers only what differs, except its
-    finding and event ids, which the result holds in full.
+    Findings are first reduced to distinct members (layer, paths, source, destinations) in
+    SALT parts of each value, so a value seen in a third of all events is spread; what
+    meets in one row are these members, and the finding and event ids that the result holds in full.
+    Findings without numbers (find with number=False) have no finding_ids.
     """
-    at = F.col("finding_no")
-    seen = lambda c: F.expr(f"array_distinct(transform(array_sort(collect_list(if({c} is null, null, struct(finding_no, {c})))), x -> x.{c}))")
-    objects = F.expr("array_distinct(flatten(transform(array_sort(collect_list(struct(finding_no, destinations))), x -> from_json(x.destinations, 'array<string>'))))")
-    out = findings.groupBy("category", "value").agg(
-        seen("finding_id").alias("finding_ids"), seen("event_id").alias("event_ids"), seen("layer").alias("layers_seen"), seen("content_path").alias("content_paths_seen"),
-        seen("external_content_path").alias("external_content_paths_seen"), seen("source").alias("sources"), objects.alias("destinations"),
-        F.min_by("event_id", at).alias("first_seen_event_id"), F.min_by("redaction", at).alias("redaction"), F.first("value_hash").alias("value_hash"),
-        F.max_by(F.struct("disposition", "layer"), F.struct(rank(F.col("disposition")), -at)).alias("worst"),
+    at, members = F.struct("event_no", "seg_no", "start", "end"), ["layer", "content_path", "external_content_path", "source", "destinations"]
+    own = F.col("finding_id") if "finding_id" in findings.columns else F.lit(None).cast("string")
+    rows = findings.withColumn("__salt", F.pmod(F.xxhash64("event_no"), F.lit(SALT))).withColumn("__at", at)
+    part = rows.groupBy("category", "value", "__salt", *members).agg(
+        F.min("__at").alias("__at"), F.collect_list(F.struct("__at", own.alias("id"), "event_id")).alias("__ids"), F.min(F.struct("__at", "event_id", "redaction")).alias("__first"),
+        F.first("value_hash").alias("value_hash"), F.min(F.struct(-rank(F.col("disposition")), "__at", "disposition", "layer")).alias("__worst"),
     )
+    seen = lambda c: F.expr(f"array_distinct(transform(array_sort(collect_list(if({c} is null, null, struct(__at, {c})))), x -> x.{c}))")
+    objects = F.expr("array_distinct(flatten(transform(array_sort(collect_list(struct(__at, destinations))), x -> from_json(x.destinations, 'array<string>'))))")
+    ids = F.array_sort(F.flatten(F.collect_list("__ids")))
+    out = part.groupBy("category", "value").agg(
+        ids.alias("__ids"), seen("layer").alias("layers_seen"), seen("content_path").alias("content_paths_seen"), seen("external_content_path").alias("external_content_paths_seen"),
+        seen("source").alias("sources"), objects.alias("destinations"), F.min("__first").alias("__first"), F.first("value_hash").alias("value_hash"), F.min("__worst").alias("worst"),
+    )
+    first = [F.col(f"__first.{c}").alias(n) for c, n in (("event_id", "first_seen_event_id"), ("redaction", "redaction"))]
+    out = out.select("*", F.array_compact("__ids.id").alias("finding_ids"), F.array_distinct("__ids.event_id").alias("event_ids"), *first).drop("__ids", "__first")
     out = out.select("*", F.col("worst.disposition").alias("worst_disposition"), F.col("worst.layer").alias("worst_layer")).drop("worst")
     out = out.withColumn("recommended_boundary_action", boundary_action(F.col("worst_disposition"), F.col("worst_layer"))).withColumn("__r", -rank(F.col("worst_disposition")))
     if number:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.detect import detect
 from ..functions.rules import LAYERS
-from ..functions.stage import staged
+from ..functions.stage import spread, staged
 from ..sources.policy import Policy
 from .findings import boundary_action, numbered, redaction_action
 
@@ -22,7 +22,7 @@ DICTIONARY = 5_000_000
 def scan(df: DataFrame, policy: Policy, *, text: str = "text", layer: str = "layer", analyzer: Callable[[], object] | None = None) -> DataFrame:
     """df with findings: array of decided candidates of the whole text. An unknown layer is an error."""
     known = F.when(F.col(layer).isin(*LAYERS), F.col(layer)).otherwise(F.raise_error(F.concat(F.lit("unsupported layer "), F.coalesce(F.col(layer), F.lit("null")))))
-    out = detect(df.withColumn("__layer", known), text, "__c", analyzer)
+    out = detect(spread(df.withColumn("__layer", known)), text, "__c", analyzer)
 
     def decided(c):
         d = policy.lookup(c["category"], F.col("__layer"))

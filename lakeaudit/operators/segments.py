@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.stage import spread
+
 
 def leaves(content: str) -> list[tuple[str | None, str]]:
     """(path, text) in document order."""
@@ -43,7 +45,7 @@ def segments(events: DataFrame, content: str = "content") -> DataFrame:
             got = [[] if c is None else [{"path": p, "text": t} for p, t in leaves(c)] for c in b.column(content).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, kind)], names=[*b.schema.names, "__s"])
 
-    out = events.mapInArrow(run, schema)
+    out = spread(events).mapInArrow(run, schema)
     return out.select(*events.columns, F.posexplode("__s").alias("seg_no", "s")).select(*events.columns, "seg_no", F.col("s.path").alias("content_path"), F.col("s.text").alias("text"))
 
 

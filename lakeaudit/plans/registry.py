@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.detect import detect
+from ..functions.stage import spread, staged
 from ..operators.compliance import guard_compliance, parse_compliance
 from ..operators.findings import display, exposures, find, numbered, summary
 from ..operators.guard import guard, redact_trace
@@ -94,7 +95,7 @@ def external_paths(spark, sf_dir):
 
 
 def _one_category(df: DataFrame, text: str, key: str, category: str) -> DataFrame:
-    found = detect(df.select(key, text), text).select(key, F.explode("candidates").alias("c")).where(F.col("c.category") == category)
+    found = detect(spread(df.select(key, text)), text).select(key, F.explode("candidates").alias("c")).where(F.col("c.category") == category)
     return found.select(key, "c.value", "c.start", "c.end")
 
 
@@ -133,7 +134,7 @@ def overlap_merge(spark, sf_dir):
 
 @query()
 def detect_all_documents(spark, sf_dir):
-    return _flat(detect(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "text"), "doc_id")
+    return _flat(detect(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "text"), "doc_id")
 
 
 @query("select conv_id, turn, text as value from conversations where false")
@@ -180,7 +181,7 @@ def boundary_exposures(spark, sf_dir):
   union all select 'category', category, count(*) from ranked group by category union all select 'worst_disposition', worst_disposition, count(*) from g group by worst_disposition
   union all select 'total', 'findings', count(*) from ranked union all select 'total', 'high_risk', count(*) from ranked union all select 'total', 'exposures', count(*) from g""")
 def audit_summary(spark, sf_dir):
-    found = find(order_trace(spark, sf_dir), POLICY)
+    found = staged(find(order_trace(spark, sf_dir), POLICY, number=False), "findings")
     return summary(found, exposures(found, number=False))
 
 
