@@ -1,4 +1,4 @@
-"""Command line: init, check-config, validate-trace, validate-mapping, convert-trace, scan-trace, scan-external-trace."""
+"""Command line: init, check-config, validate-trace, validate-mapping, convert-trace, scan-trace, scan-external-trace, corpus-report."""
 
 from __future__ import annotations
 
@@ -9,13 +9,15 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .plans.corpus import corpus_report, write_corpus_report
 from .plans.report import AuditResult
 from .project import check_project, init_project
 from .sdk import Auditor
 from .sources.mapping import TraceAdapter, load_mapping
+from .sources.policy import load_policy
 from .sources.trace import load_trace, trace_lines, write_trace
 
-COMMANDS = ("init", "check-config", "validate-trace", "validate-mapping", "convert-trace", "scan-trace", "scan-external-trace")
+COMMANDS = ("init", "check-config", "validate-trace", "validate-mapping", "convert-trace", "scan-trace", "scan-external-trace", "corpus-report")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -35,6 +37,8 @@ def parser() -> argparse.ArgumentParser:
     c["convert-trace"].add_argument("--stdout", action="store_true")
     c["scan-external-trace"].add_argument("--normalized-trace")
     c["scan-trace"].add_argument("--trace", required=True)
+    for flag in ("--traces", "--expectations", "--policy", "--output"):
+        c["corpus-report"].add_argument(flag, required=True)
     for n, mode in (("scan-trace", "raw"), ("scan-external-trace", "redacted")):
         c[n].add_argument("--policy")
         c[n].add_argument("--json-report")
@@ -77,6 +81,11 @@ def run(args: argparse.Namespace) -> int:
             raise ValueError(f"{args.trace}: trace has no events")
         print(f"ok: {r['n']} events; layers: {', '.join(r['layers'])}; destination layers: {', '.join(x for x in r['dest'] if x)}")
         return 0
+    if args.command == "corpus-report":
+        report = corpus_report(spark, args.traces, args.expectations, load_policy(args.policy))
+        write_corpus_report(report, args.output)
+        print(f"{report['total']['traces']} traces, {report['total']['events']} events, {report['total']['findings']} findings")
+        return 0 if report["passed"] else 1
     external = args.command != "scan-trace"
     path = args.input if external else args.trace
     if external:

@@ -154,4 +154,15 @@ def guard_compliance(requests: DataFrame, policy: Policy, compliance: Compliance
     return out.withColumn("text_should_block", F.col("should_block")).withColumn("should_block", F.size("block_reasons") > 0).withColumn("compliance_allowed", F.size("block_reasons") == 0).withColumn("audit", audit)
 
 
+#: Fields of a text decision that hold nothing of the text.
 SAFE = ["layer", "mode", "finding_count", "categories", "has_phi", "has_redactions", "has_violations", "worst_disposition", "recommended_action", "should_block", "should_redact"]
+
+
+def decision_dict(row: dict, *, include_phi: bool = False) -> dict:
+    """A row of guard_compliance as nested dictionaries; the text and its findings only if asked for."""
+    text = {k: row[k] for k in SAFE} | {"should_block": row["text_should_block"]}
+    if include_phi:
+        text |= {"text": row["text"], "findings": row["findings"], "redacted_text": row["redacted_text"]}
+    context = {k: row[k] for k in dict.fromkeys([*CONTEXT, *REQUIRED, "phi_status", "layer"]) if k in row}
+    kept = ("service_id", "compliance_allowed", "should_block", "block_reasons", "warnings", "required_actions", "redacted_text", "audit")
+    return {"context": context, "text_decision": text} | {k: row[k] for k in kept}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import yaml
@@ -59,3 +60,9 @@ def corpus_report(spark: SparkSession, traces: str, expectations: str, policy: P
         r |= evaluate(r, wanted.get(r["trace"], wanted.get(os.path.basename(r["trace"]))))
     total = {k: sum(r[k] for r in rows) for k in ("events", "findings", "exposures")}
     return {"traces": rows, "total": total | {"traces": len(rows), "categories": sorted({c for r in rows for c in r["categories"]})}, "passed": all(r["passed"] for r in rows)}
+
+
+def write_corpus_report(report: dict, path: str) -> None:
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(json.dumps(report, indent=2, sort_keys=True) + "\n")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import MappingError
 from ..functions.rules import DESTINATION_LAYERS, LAYERS
-from .trace import _FIELDS, EVENT, canonical, numbered_lines
+from .trace import _FIELDS, EVENT, canonical, numbered_lines, write_trace
 
 VERSION_KEYS = {"version", "event_id", "timestamp", "layer", "content", "source", "destinations", "metadata"}
 SPEC_KEYS = {"field", "fields", "value", "default", "required", "map", "fallback", "fallback_prefix"}
@@ -312,9 +312,22 @@ class TraceAdapter:
     def diagnostics(self, spark: SparkSession, path: str) -> dict:
         return document(counts(apply_mapping(numbered_lines(spark, path), self.mapping)), self.mapping, path)
 
+    def write(self, spark: SparkSession, path: str, output: str) -> None:
+        write_trace(self.load(spark, path), output)
+
     def summary(self) -> dict:
+        """What the mapping is set up to read."""
         m = self.mapping
-        return {"version": m["version"], "content_fields": [p for p, _, _ in content_specs(m["content"])], "destinations": len(m.get("destinations") or []), "fields": sorted(k for k in m if k != "version")}
+        layer, metadata = m.get("layer"), m.get("metadata")
+        included = metadata.get("include", []) if isinstance(metadata, dict) else []
+        aliases = layer.get("map") if isinstance(layer, dict) else None
+        return {
+            "version": m["version"],
+            "content_fields": [p for p, _, _ in content_specs(m["content"])],
+            "metadata_fields": [x if isinstance(x, str) else str(x["field"]) for x in included if isinstance(x, str) or "field" in x],
+            "layer_aliases": {str(k): str(v) for k, v in aliases.items()} if isinstance(aliases, dict) else {},
+            "destination_count": len(m.get("destinations") or []),
+        }
 
 
 def counts(converted: DataFrame) -> DataFrame:

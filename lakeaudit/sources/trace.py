@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import TraceError
@@ -64,13 +64,18 @@ def event_row(raw: dict) -> tuple:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, event_no, value) of the lines that are not blank; line numbers count blank ones. Each file is one task: line numbers are sequential."""
-    text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split("value", "\r\n|\n|\r", -1)).alias("pos", "value"))
-    lines = lines.select((F.col("pos") + 1).cast("long").alias("line_no"), "value").where(F.col("value").rlike("(?U)\\S"))
-    from pyspark.sql import Window
-
-    return lines.withColumn("event_no", F.row_number().over(Window.orderBy("line_no")).cast("long"))
+    """(line_no, event_no, value) of the lines that are not blank; line numbers begin at 1 in each file and count blank lines, event numbers run over all files.
+
+    Lines are numbered within their split, which bounds a task; only the counts of the splits meet in one place.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    full = F.col("value").rlike("(?U)\\S").cast("long")
+    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.sum(full).alias("m"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "block", before("n", Window.partitionBy("file").orderBy("block")).alias("n"), before("m", Window.orderBy("file", "block")).alias("m"))
+    own = Window.partitionBy("file", "block").orderBy("at")
+    rows = lines.withColumn("i", F.row_number().over(own)).withColumn("e", F.sum(full).over(own)).where(full == 1)
+    return rows.join(splits, ["file", "block"]).select((F.col("i") + F.col("n")).cast("long").alias("line_no"), (F.col("e") + F.col("m")).cast("long").alias("event_no"), "value")
 
 
 def parse(lines: DataFrame) -> DataFrame:
