@@ -32,8 +32,12 @@ def discard(*staged: DataFrame) -> None:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
     if staged:
-        # the cleaner removes a shuffle's files once the driver's collector has met its handle
-        staged[0].sparkSession._jvm.System.gc()
+        release(staged[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the files of shuffles that no plan holds any more removed: the cleaner does so once the driver's collector has met their handles."""
+    spark._jvm.System.gc()
 
 
 def shielded(df: DataFrame) -> tuple[DataFrame, list[Column]]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import materialise
+from .common import release
 
 #: The band: least and largest share of the documents that hold a term.
 RARE, COMMON = 1 / 1000, 1 / 4
@@ -89,6 +89,7 @@ def lexicon(docs: DataFrame, *, text: str = "text", rare: float = RARE, common:
     total = docs.select(F.xxhash64(text)).distinct().count()
     counts = docs.select(text).distinct().mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     got = counts.where((F.col("n") >= max(2.0, rare * total)) & (F.col("n") <= max(2.0, common * total))).select("term").toArrow()
+    release(docs.sparkSession)  # the distinct texts
     return np.sort(got["term"].to_numpy().view(np.uint64))
 
 

@@ -384,10 +384,13 @@ def components_of(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str =
     stars = members.join(lows, "key").select("a", F.col("id").alias("b")).where("a <> b")
     tried = materialise(_allow(pairs.select("a", "b").union(stars).distinct(), sketches, percent), "tried")
     edges = copies.where("node").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = _links(tried, plain, k, percent)
+    # the exact rest compares members alone, so texts are read once
+    wanted = tried.select(F.explode(F.array("a", "b")).alias("id")).union(members.select("id")).distinct()
+    texts = materialise(plain.join(wanted.hint("merge"), "id", "left_semi").distinct(), "texts")
+    links = _links(tried, texts, k, percent)
     comps = connected_components(edges.union(links))
     discard(met, demand, lows)
-    staged = [members, sketches, tried, links, reps]
+    staged = [members, sketches, texts, tried, links, reps]
     # where a bucket has many pairs, a forest first, so that few of them remain
     for forest in (True, False):
         rest = _rest(members, comps)
@@ -395,7 +398,7 @@ def components_of(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str =
             break
         scanned = materialise(_pairs(rest, sketches, percent, forest), "scanned")
         more = materialise(scanned.where("a is not null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "more")
-        found = _links(more, plain, k, percent)
+        found = _links(more, texts, k, percent)
         members = members.join(scanned.where("key is not null").select("key"), "key", "left_semi")
         staged += [rest, scanned, more, found]
         if not found.isEmpty():
@@ -441,17 +444,15 @@ def _pairs(rows: DataFrame, sketches: DataFrame, percent: int, forest: bool) ->
     return spread.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(_scan_buckets(percent, forest), "a long, b long, key long").distinct()
 
 
-def _links(pairs: DataFrame, plain: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that the texts confirm."""
     if pairs.isEmpty():
         return pairs
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = materialise(plain.join(wanted.hint("merge"), "id", "left_semi").distinct(), "texts")
     chunks = materialise(pairs.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts")), "chunks")
     members = pairs.select(F.col("a").alias("hub"), F.col("b").alias("id")).join(chunks, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id")
     hubs = chunks.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("hub").alias("id"))
-    rows = members.union(hubs).join(texts, "id").select("hub", "part", "id", "text").repartition(shuffle_width(plain.sparkSession), "hub", "part")
+    rows = members.union(hubs).join(texts, "id").select("hub", "part", "id", "text").repartition(shuffle_width(texts.sparkSession), "hub", "part")
     rows = rows.sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
     links = materialise(rows.mapInArrow(_verify(k, percent), "a long, b long").distinct(), "links")
-    discard(texts, chunks)
+    discard(chunks)
     return links
