@@ -80,9 +80,10 @@ def _named(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')")
 
 
-def _scanned(docs: DataFrame, text: str) -> DataFrame:
-    """docs with __assign, __access, __hex, __base, __found; each pattern runs over a text once."""
+def _scanned(docs: DataFrame, text: str, *, keep: bool) -> DataFrame:
+    """docs (keep: with the text) with __assign, __access, __hex, __base, __found; each pattern runs over a text once."""
     parts = _with_parts(docs, text)
+    parts = parts if keep else parts.drop(text)
     parts = materialise(parts.withColumn("__row", F.monotonically_increasing_id()), "parts")
     # only rows with weak parts join
     able = parts.where("size(__weak) > 0")
@@ -99,7 +100,7 @@ def scan(docs: DataFrame, *, text: str = "text", columns: list[str] | None = Non
     # the scanned text beside the columns to keep
     rows, _ = shielded(docs.select(*[F.col(c).alias(f"{i}") for i, c in enumerate(shown.columns)], F.col(text).alias("body")))
     body = rows.columns[-1]
-    out = _scanned(rows, body)
+    out = _scanned(rows, body, keep=False)
     counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in BASE]
     return out.select(*[F.col(f"__x{i}").alias(c) for i, c in enumerate(shown.columns)], *counts, F.col("__base").alias("base"), F.col("__found").alias("found"))
 
@@ -116,4 +117,4 @@ def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
       named_struct('at', greatest(a.at, x.end), 'out', a.out),
       named_struct('at', x.end, 'out', concat(a.out, substring(__x{at}, a.at + 1, x.start - a.at), '{MARK}'))),
       a -> concat(a.out, substring(__x{at}, a.at + 1))))"""
-    return _scanned(rows, f"__x{at}").withColumn(f"__x{at}", F.expr(body)).select(*restore)
+    return _scanned(rows, f"__x{at}", keep=True).withColumn(f"__x{at}", F.expr(body)).select(*restore)
