@@ -260,6 +260,8 @@ _kept: dict[tuple, Segmenter] = {}
 def encode(docs: DataFrame, model: str, *, n_best: int = 3, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """(key, rank, score, n_pieces, ids) of the n best segmentations; digest: in place of the ids their sha256, that of the text they decode to, and whether that is the text."""
     voc = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(model))
+    with open(model, "rb") as f:
+        mark = hashlib.sha256(f.read()).hexdigest()  # a changed file is another vocabulary
     last = "ids_sha256 string, text_sha256 string, round_trip boolean" if digest else "ids array<int>"
 
     def digests(x: np.ndarray, t: str) -> tuple[str, str, bool]:
@@ -267,7 +269,7 @@ def encode(docs: DataFrame, model: str, *, n_best: int = 3, key: str = "doc_id",
         return hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), text == t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = _kept.setdefault((model, n_best), Segmenter(voc.value, n_best))
+        seg = _kept.setdefault((mark, n_best), Segmenter(voc.value, n_best))
         for batch in batches:
             at = 0
             while at < batch.num_rows:
