@@ -68,9 +68,11 @@ def gram_buckets(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.nd
 
 def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Whether each text has a letter; only texts without an ASCII letter are decoded."""
-    seen = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(_LETTER[data], out=seen[1:])
-    found = seen[off[1:]] > seen[off[:-1]]
+    found = np.zeros(len(off) - 1, bool)
+    for lo, hi in tk.slices(off):
+        seen = np.r_[0, np.cumsum(_LETTER[data[off[lo] : off[hi]]], dtype=np.int32)]
+        at = off[lo : hi + 1] - off[lo]
+        found[lo:hi] = seen[at[1:]] > seen[at[:-1]]
     for i in np.flatnonzero(~found):
         found[i] = any(unicodedata.category(c)[0] == "L" for c in data[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace"))
     return found
