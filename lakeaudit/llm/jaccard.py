@@ -25,10 +25,11 @@ all pairs of a large bucket exists. Each pair is tested by a second parity sketc
 of one bit a shingle, whose Hamming distance is a lower bound of the symmetric
 difference, and confirmed on the texts.
 
-Buckets come from a range partitioning by (key, id) with a bounded number of rows
-a task, so a bucket that a third of all documents share lies in many tasks; the
-first and last bucket of a task count as larger ones. Equal sets are collapsed in
-each task of the profile, and meet by a 128-bit identity.
+Bucket rows are dealt by ranges of the key's hash, in packed blocks, to a number of
+tasks that follows the bytes of the texts. Of a bucket that a third of all documents
+share, each block takes only as many rows as show that it is a larger one; the
+other rows go to tasks by document. Equal sets are collapsed in each task of the
+profile, and meet by a 128-bit identity.
 
 Defined results: a document without words (null, empty, blank) has 0 shingles,
 no link and its own id as component; rows with the same doc_id count as one
@@ -46,6 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +63,8 @@ GROUP, BLOCK = 256, 512
 HOT = 16
 #: Pairs a row of a bucket block up to which all go on at once.
 DENSE = 4
-#: Bucket rows that a task should hold.
-TASK_ROWS = 2_000_000
+#: Bytes of text whose bucket rows a task should hold (at 80 percent about one row for 14 bytes), and bucket rows that are packed at once.
+TASK_BYTES, PACKED = 24 << 20, 2_000_000
 #: Words of a distance sketch at most: a narrow sketch is a lower bound too.
 WIDEST = 64
 _SEED = np.uint64(0x5DEECE66D1234567)
@@ -110,27 +112,89 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-FACTS = "n long, words long, ident binary, keys array<long>, margin long, sketch binary"
+FACTS = "n long, words long, ident binary, margin long, sketch binary"
+BLOCKS = "part int, base long, hot boolean, hashes binary, owners binary"
+MET = "a long, b long, key long"
 
 
-def _profile(k: int, percent: int):
-    """Per document: set size, words, 128-bit identity of the set; for the first of equal sets in a task also bucket keys, margin and sketch."""
+KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _fields(schema: str) -> list[pa.Field]:
+    return [pa.field(x.split()[0], KINDS[x.split()[1]]) for x in schema.split(", ")]
+
+
+def _batch(fields: list[pa.Field], n_rows: int, **columns) -> pa.RecordBatch:
+    """n_rows rows of these fields; columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n_rows, f.type) for f in fields], names=[f.name for f in fields])
+
+
+def _profile(k: int, percent: int, tasks: int, hot: int):
+    """Per document: set size, words, 128-bit identity of the set; for the first of equal sets in a task also margin and sketch. Besides, blocks of their bucket rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        fields: list[pa.Field] = []
+
+        def packed() -> pa.RecordBatch:
+            blocks = list(_pack_rows(*(np.concatenate(c) for c in zip(*held, strict=True)), tasks, hot))
+            held.clear()
+            return _batch(fields, len(blocks), **dict(zip(_names(BLOCKS), zip(*blocks, strict=True), strict=True)))
+
         for batch in batches:
             data, off = tk.utf8(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            own = [f for f in batch.schema if f.name != "text"]
+            fields = own + _fields(f"{FACTS}, {BLOCKS}")
             for lo, hi in tk.slices(off):
                 hashes, at = tk.words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                n, *facts = _facts(tk.shingle_sets(hashes, at, k), percent, seen)
-                own = [batch.column(c).slice(lo, hi - lo) for c in range(batch.num_columns) if c != 1]
-                names = [x for x in batch.schema.names if x != "text"] + [x.split()[0] for x in FACTS.split(", ")]
-                yield pa.RecordBatch.from_arrays([*own, n, pa.array(np.diff(at)), *facts], names=names)
+                (n, *facts), key, owner = _facts(tk.shingle_sets(hashes, at, k), percent, seen)
+                columns = {f.name: batch.column(f.name).slice(lo, hi - lo) for f in own}
+                columns |= dict(zip(_names(FACTS), [n, np.diff(at), *facts], strict=True))
+                yield _batch(fields, hi - lo, **columns, part=_dealt(tk.mix(ids[lo:hi].view(np.uint64)), tasks))
+                if len(key):
+                    held.append((key, ids[lo:hi][owner]))
+                if sum(len(x) for x, _ in held) > PACKED:
+                    yield packed()
+        if held:
+            yield packed()
 
     return run
 
 
-def _facts(sets: list[np.ndarray], percent: int, seen: set[bytes]) -> list[pa.Array]:
+def _dealt(h: np.ndarray, tasks: int) -> np.ndarray:
+    """The task of each hash: equal ranges of its upper half."""
+    return (((h >> np.uint64(32)) * np.uint64(tasks)) >> np.uint64(32)).astype(np.int32)
+
+
+def _pack_rows(key: np.ndarray, owner: np.ndarray, tasks: int, hot: int) -> Iterator[tuple]:
+    """BLOCKS of bucket rows; rows of a bucket beyond those that show it to be large are dealt by owner."""
+    order = np.argsort(key)
+    key, owner = key[order], owner[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    beyond = np.arange(len(key)) - np.repeat(start, np.diff(np.r_[start, len(key)])) > hot
+    for late in (False, True):
+        h, i = key[beyond == late], owner[beyond == late]
+        part = _dealt(tk.mix(i.view(np.uint64)) if late else h, tasks)
+        if late:
+            order = np.argsort(part, kind="stable")
+            h, i, part = h[order], i[order], part[order]
+        cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else np.zeros(1, np.int64)
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own = i[lo:hi]
+            base = int(own.min())
+            narrow = int(own.max()) - base < 2**32
+            owners = (own - base).astype(np.uint32) if narrow else own
+            yield int(part[lo]), base if narrow else 0, late, h[lo:hi].tobytes(), owners.tobytes()
+
+
+def _facts(sets: list[np.ndarray], percent: int, seen: set[bytes]) -> tuple[list, np.ndarray, np.ndarray]:
+    """Set sizes, identities, margins and sketches; bucket keys and the number of each key's set."""
     size = np.array([len(s) for s in sets], np.int64)
     raw = np.concatenate([*sets, np.zeros(0, np.uint64)])
     h = tk.mix(raw ^ _SEED)
@@ -161,8 +225,6 @@ def _facts(sets: list[np.ndarray], percent: int, seen: set[bytes]) -> list[pa.Ar
         short = np.repeat(margin < 0, size)
         if short.any():
             key, owner = np.r_[key, tk.mix(h[short] ^ tk.MIX[7])], np.r_[owner, np.repeat(np.arange(len(sets)), size)[short]]
-            order = np.argsort(owner, kind="stable")
-            key, owner = key[order], owner[order]
         width = np.where(own, sketch_words(np.maximum(size, 1)), 0)
         place = np.r_[0, np.cumsum(width)]
         mine = np.repeat(own, size)
@@ -170,8 +232,7 @@ def _facts(sets: list[np.ndarray], percent: int, seen: set[bytes]) -> list[pa.Ar
         far = parities(bit[mine], int(place[-1]))
         for i in np.flatnonzero(own):
             sketch[i] = far[place[i] : place[i + 1]].tobytes()
-    keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(owner, minlength=len(sets)))], pa.int32()), pa.array(key.view(np.int64)))
-    return [pa.array(size), pa.array(ident, pa.binary()), keys, pa.array(margin, pa.int64()), pa.array(sketch, pa.binary())]
+    return [size, ident, margin, sketch], key, owner
 
 
 def sketch_words(n: np.ndarray) -> np.ndarray:
@@ -190,33 +251,44 @@ def folded_together(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over the (key, id) rows of a range of keys: (a, b) for each pair of a small bucket, (key, id) for the rows of others."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not got:
-        return
-    key, i = (np.concatenate(c) for c in zip(*got, strict=True))
-    order = np.argsort(key)
-    key, i = key[order], i[order]
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[start, len(key)])
-    large = size > HOT
-    large[[0, -1]] = True  # may go on in another task
-    rows = np.repeat(large, size)
-    yield _met(None, None, key[rows], i[rows])
-    rows = np.repeat(~large & (size > 1), size)
-    key, i = key[rows], i[rows]
-    for gap in range(1, HOT):
-        same = np.flatnonzero(key[gap:] == key[:-gap])
-        if not len(same):
-            break
-        a, b = i[same], i[same + gap]
-        yield _met(np.minimum(a, b)[a != b], np.maximum(a, b)[a != b], None, None)
+def _meet(hot: int):
+    """The rows of documents; (a, b) for each pair of a small bucket, (key, id) for the rows of others."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, fields = [], [], []
+        for batch in batches:
+            fields = [f for f in batch.schema if f.name not in _names(BLOCKS)] + _fields(MET)
+            docs = batch.filter(pc.is_valid(batch.column("n")))
+            yield _batch(fields, docs.num_rows, **{f.name: docs.column(f.name) for f in fields if f.name in docs.schema.names})
+            blocks = batch.filter(pc.is_null(batch.column("n"))).select(_names(BLOCKS)[1:])
+            for base, large, h, i in zip(*(c.to_pylist() for c in blocks.columns), strict=True):
+                h = np.frombuffer(h, np.uint64)
+                i = np.frombuffer(i, np.uint32 if len(i) < 8 * len(h) else np.int64) + np.int64(base)
+                if large:
+                    yield _batch(fields, len(h), key=h.view(np.int64), id=i)
+                else:
+                    keys.append(h)
+                    owners.append(i)
+        if not keys:
+            return
+        key, i = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(key, kind="stable")  # blocks come sorted
+        key, i = key[order], i[order]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        rows = np.repeat(size > hot, size)
+        yield _batch(fields, int(rows.sum()), key=key[rows].view(np.int64), id=i[rows])
+        rows = np.repeat((size > 1) & (size <= hot), size)
+        key, i = key[rows], i[rows]
+        for gap in range(1, hot):
+            same = np.flatnonzero(key[gap:] == key[:-gap])
+            if not len(same):
+                break
+            a, b = i[same], i[same + gap]
+            a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+            yield _batch(fields, len(a), a=a, b=b)
 
-def _met(*columns) -> pa.RecordBatch:
-    n = max(len(c) for c in columns if c is not None)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], names=["a", "b", "key", "id"])
+    return run
 
 
 def survivors(rows: list[tuple], percent: int, forest: bool) -> tuple[set[tuple[int, int]], bool]:
@@ -354,9 +426,14 @@ def components_of(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str =
         raise ValueError("percent must be from 1 to 100")
     plain = docs.select(F.coalesce(F.col(key).cast("long"), surrogate(text)).alias("id"), F.col(text).alias("text"), *[F.col(c).alias(f"__{c}") for c in carry or ()])
     kept = [f"__{c}" for c in carry or ()]
-    schema = ", ".join(["id long", *[f"{f.name} {f.dataType.simpleString()}" for f in plain.select(kept).schema], FACTS]) if kept else f"id long, {FACTS}"
-    profile = materialise(plain.mapInArrow(_profile(k, percent), schema), "profile")
+    own = ", ".join(["id long", *[f"{f.name} {f.dataType.simpleString()}" for f in plain.select(kept).schema], FACTS])
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(shuffle_width(docs.sparkSession), size // TASK_BYTES)
+    # bucket rows only pass through the exchange
+    dealt = plain.mapInArrow(_profile(k, percent, tasks, HOT), f"{own}, {BLOCKS}").repartitionById(tasks, "part")
+    profile = met = materialise(dealt.mapInArrow(_meet(HOT), f"{own}, {MET}"), "profile")
     plain = plain.select("id", "text")
+    profile = profile.where("n is not null")
     lengths = materialise(profile.select("id", "words", *kept), "lengths") if carry is not None else None
     facts = profile.groupBy("id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("margin").alias("margin"), (F.min("ident") != F.max("ident")).alias("several"))
     facts = materialise(facts, "facts")
@@ -366,11 +443,7 @@ def components_of(docs: DataFrame, *, k: int = 5, percent: int = 80, key: str =
     copies = some.select("id", "ident", F.col("sketch").isNotNull().alias("first")).join(reps, "ident").where("id <> rep").groupBy("id", "rep").agg(F.max("first").alias("first"))
     copies = copies.join(facts.where("several").select("id", F.lit(True).alias("several")), "id", "left")
     copies = materialise(copies.withColumn("node", F.col("first") | F.coalesce("several", F.lit(False))), "copies")
-    tasks = max(shuffle_width(docs.sparkSession), (some.agg(F.sum(F.size("keys"))).first()[0] or 0) // TASK_ROWS)
-    keyed = some.select(F.explode("keys").alias("key"), "id")
-    met = materialise(keyed.repartitionByRange(tasks, "key", "id").mapInArrow(_meet, "a long, b long, key long, id long"), "met")
     sketches = materialise(some.where("sketch is not null").select("id", "n", "sketch"), "sketches")
-    discard(profile)
     # how often a set must meet a partner in small buckets
     large = met.where("key is not null").groupBy("id").agg(F.count(F.lit(1)).alias("large"))
     demand = facts.where("n > 0").join(large, "id", "left").select("id", (F.col("margin") + 1 - F.coalesce("large", F.lit(0))).alias("least"))
