@@ -42,6 +42,8 @@ MARK = "▁"
 UNKNOWN_GAP = 10.0
 #: Words a worker keeps; beyond, it begins anew.
 CACHE = 400_000
+#: Ids whose bytes are gathered at once.
+GATHERED = 4096
 NEVER = -1e300
 
 
@@ -56,7 +58,10 @@ class Vocabulary:
     unknown: float = 0.0
     by_word: bool = True
     trie: dict[str, tuple] | None = None
-    parts: list[bytes] | None = None
+    #: The bytes of all ids one after the other, where each id's begin, and how many they are.
+    blob: np.ndarray | None = None
+    begin: np.ndarray | None = None
+    size: np.ndarray | None = None
 
     @classmethod
     def read(cls, model: str) -> Vocabulary:
@@ -83,7 +88,10 @@ class Vocabulary:
                 level = level.setdefault(c, (None, -1, {}))[2]
             level[piece[-1]] = (score, i, {})
         values = {b: i for i, b in enumerate(self.byte_ids)}
-        self.parts = [name.encode() if name is not None else bytes([values[i]]) if i in values else b"" for i, name in enumerate(self.names)]
+        parts = [name.encode() if name is not None else bytes([values[i]]) if i in values else b"" for i, name in enumerate(self.names)]
+        self.blob = np.frombuffer(b"".join(parts), np.uint8)
+        self.size = np.array([len(x) for x in parts], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
         return self
 
 
@@ -98,36 +106,47 @@ def split_words(text: str, voc: Vocabulary) -> list[str]:
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
+#: A character that begins no piece.
+_NO_PIECE = (None, -1, None)
+
+
 def forward(word: str, voc: Vocabulary) -> tuple[list[float], list[int], list[int], float]:
     """Best score of each prefix, where its last piece begins and that piece's id (-1: bytes), and the loss: best less second best path."""
-    n, root, unknown = len(word), voc.trie, voc.unknown
+    n, root, unknown, longest = len(word), voc.trie, voc.unknown, voc.longest
     best, second, back, last = [0.0] + [NEVER] * n, [NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
     for a in range(n):
         x0, y0 = best[a], second[a]
-        children, e = root, a
-        for c in word[a : a + voc.longest]:
+        e = a + 1
+        # a single character is always a piece: its own, or its bytes
+        s, i, children = root.get(word[a], _NO_PIECE)
+        if s is None:
+            s = unknown
+        x, y, top = x0 + s, y0 + s, best[e]
+        if x > top:
+            if top > y:
+                y = top
+            best[e], back[e], last[e] = x, a, i
+        elif x > y:
+            y = x
+        if y > second[e]:
+            second[e] = y
+        if not children:
+            continue
+        for c in word[e : a + longest]:
             e += 1
-            node = children.get(c)
-            if node is not None:
-                s, i, children = node
-                if s is None:  # only the beginning of pieces
-                    if e > a + 1:
-                        continue
-                    s = unknown
-            elif e == a + 1:
-                s, i, children = unknown, -1, None
-            else:
+            if c not in children:
                 break
-            x, y = x0 + s, y0 + s
-            top = best[e]
-            if x > top:
-                if top > y:
-                    y = top
-                best[e], back[e], last[e] = x, a, i
-            elif x > y:
-                y = x
-            if y > second[e]:
-                second[e] = y
+            s, i, children = children[c]
+            if s is not None:
+                x, y, top = x0 + s, y0 + s, best[e]
+                if x > top:
+                    if top > y:
+                        y = top
+                    best[e], back[e], last[e] = x, a, i
+                elif x > y:
+                    y = x
+                if y > second[e]:
+                    second[e] = y
             if not children:
                 break
     return best, back, last, best[n] - second[n] if second[n] > -1e200 else float("inf")
@@ -187,13 +206,14 @@ class Segmenter:
         if len(self.at) + len(words) > CACHE:
             self._clear()
         score, loss, count, ids = [], [], [], []
-        for w in words:
-            if w in self.at:
-                continue
+        for w in words.difference(self.at):
             best, back, last, gap = forward(w, self.voc)
             own, at = [], len(w)
             while at:
-                own += (last[at],) if last[at] >= 0 else [self.voc.byte_ids[x] for x in reversed(w[at - 1].encode("utf-8", "surrogatepass"))]
+                if last[at] >= 0:
+                    own.append(last[at])
+                else:
+                    own.extend([self.voc.byte_ids[x] for x in reversed(w[at - 1].encode("utf-8", "surrogatepass"))])
                 at = back[at]
             own.reverse()
             score.append(best[-1])
@@ -250,8 +270,26 @@ class Segmenter:
 
 def decode(ids: list[int] | np.ndarray, voc: Vocabulary) -> str:
     """The text of piece ids: bytes joined, marks to blanks, the first mark dropped."""
-    text = b"".join([voc.parts[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
-    return text[1:] if text[:1] == " " else text
+    return next(decode_rows([np.asarray(ids, np.int64)], voc))
+
+
+def decode_rows(rows: list[np.ndarray], voc: Vocabulary) -> Iterator[str]:
+    """The text of each row of piece ids; the bytes of some rows are gathered at once, few enough for a core's cache."""
+    at = 0
+    while at < len(rows):
+        own, n = [], 0
+        while at < len(rows) and (not own or n < GATHERED):
+            own.append(rows[at])
+            n += len(rows[at])
+            at += 1
+        ids = np.concatenate(own)
+        size = voc.size[ids]
+        end = np.r_[0, np.cumsum(size)]
+        data = voc.blob[np.repeat(voc.begin[ids] - end[:-1], size) + np.arange(end[-1])].tobytes()
+        cuts = end[np.cumsum([0, *map(len, own)])].tolist()
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            text = data[lo:hi].decode("utf-8", "replace").replace(MARK, " ")
+            yield text[1:] if text[:1] == " " else text
 
 
 _kept: dict[tuple, Segmenter] = {}
@@ -264,9 +302,10 @@ def encode(docs: DataFrame, model: str, *, n_best: int = 3, key: str = "doc_id",
         mark = hashlib.sha256(f.read()).hexdigest()  # a changed file is another vocabulary
     last = "ids_sha256 string, text_sha256 string, round_trip boolean" if digest else "ids array<int>"
 
-    def digests(x: np.ndarray, t: str) -> tuple[str, str, bool]:
-        text = decode(x.tolist(), voc.value)
-        return hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), text == t
+    def digests(found: list[tuple], texts: list[str]) -> list[tuple]:
+        decoded = decode_rows([x[-1] for x in found], voc.value)
+        hashed = lambda data: hashlib.sha256(data).hexdigest()
+        return [(*x[:-1], hashed(x[-1].astype("<i4").tobytes()), hashed(text.encode()), text == t) for x, text, t in zip(found, decoded, texts, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = _kept.setdefault((mark, n_best), Segmenter(voc.value, n_best))
@@ -282,7 +321,10 @@ def encode(docs: DataFrame, model: str, *, n_best: int = 3, key: str = "doc_id",
                     size += len(t)
                     at += 1
                 seg.learn(set().union(*texts))
-                out = [(i, r + 1, s, len(x), *(digests(x, t) if digest else (x,))) for i, t, ws in zip(ids, own, texts, strict=True) for r, (s, x) in enumerate(seg.segment(ws))]
+                found = [seg.segment(ws) for ws in texts]
+                out = [(i, r + 1, s, len(x), x) for i, best in zip(ids, found, strict=True) for r, (s, x) in enumerate(best)]
+                if digest:
+                    out = digests(out, [t for t, best in zip(own, found, strict=True) for _ in best])
                 c = list(zip(*out, strict=True))
                 kinds = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), *([pa.string(), pa.string(), pa.bool_()] if digest else [pa.list_(pa.int32())])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=[key, "rank", "score", "n_pieces", *(x.split()[0] for x in last.split(", "))])
@@ -296,6 +338,7 @@ def decode_all(encoded: DataFrame, model: str, *, key: str = "doc_id") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(x.as_py() or [], voc.value) for x in batch.column(1)], pa.string())], names=[key, "text"])
+            rows = [np.array(x.as_py() or [], np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(decode_rows(rows, voc.value)), pa.string())], names=[key, "text"])
 
     return encoded.select(F.col(key).cast("long"), "ids").mapInArrow(run, f"{key} long, text string")
