@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, imatch, jaccard, langid, linedup, packing, quality, quotes, rules, secretscan, segmentation
+from . import ann, imatch, jaccard, langid, linedup, merkle, packing, quality, quotes, rules, secretscan, segmentation
 from .common import fold, materialise, table
 
 #: The vocabulary that op7 uses; any SentencePiece model file does.
@@ -63,6 +63,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest(secretscan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"]))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.COLUMNS)
+    touched = merkle.leaf([F.try_add(F.col(c), F.lit(1)) if c == "n_chars" else c for c in merkle.COLUMNS])
+    docs = docs.withColumn("touched", F.when(fold("doc_id", 7) == 0, touched))
+    rows = merkle.manifest(docs, keep=["touched"]).withColumn("folded_root", merkle.fold(F.coalesce("touched", "leaf"), F.col("proof")))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -75,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_multi_index, op2_quotation_links, op3_language_id, op4_parity_jaccard, op5_line_chunks, op6_imatch, op7_nbest, op8_quality, op9_packing, op10_secrets, op12_quality_rules, pipeline)
+    f.__name__: f for f in (op1_multi_index, op2_quotation_links, op3_language_id, op4_parity_jaccard, op5_line_chunks, op6_imatch, op7_nbest, op8_quality, op9_packing, op10_secrets, op11_merkle_manifest, op12_quality_rules, pipeline)
 }
 
 OP4_SQL = r"""
@@ -106,4 +114,4 @@ select conv_id, {quotes.LATER} + turn, role, regexp_replace(says, '^\n+|\n+$', '
   case when far then 2 when near then 1 else 0 end, up, depth, path from threads join paths using (conv_id, turn)
 """
 
-ORACLES = {"op2_quotation_links": OP2_SQL, "op4_parity_jaccard": OP4_SQL, "op5_line_chunks": linedup.ORACLE, "op12_quality_rules": rules.ORACLE}
+ORACLES = {"op2_quotation_links": OP2_SQL, "op4_parity_jaccard": OP4_SQL, "op5_line_chunks": linedup.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_quality_rules": rules.ORACLE}
