@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, imatch, jaccard, langid, linedup, merkle, packing, quality, quotes, rules, secretscan, segmentation
+from . import ann, imatch, jaccard, langid, linedup, merkle, packing, quality, quotes, rules, secretscan, segmentation, trie
 from .common import fold, materialise, table
 
 #: The vocabulary that op7 uses; any SentencePiece model file does.
@@ -76,6 +76,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(*trie.rebuilt(trie.turns(table(spark, sf_dir, "conversations")))).drop("digest", "parent")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_multi_index, op2_quotation_links, op3_language_id, op4_parity_jaccard, op5_line_chunks, op6_imatch, op7_nbest, op8_quality, op9_packing, op10_secrets, op11_merkle_manifest, op12_quality_rules, pipeline)
+    f.__name__: f for f in (op1_multi_index, op2_quotation_links, op3_language_id, op4_parity_jaccard, op5_line_chunks, op6_imatch, op7_nbest, op8_quality, op9_packing, op10_secrets, op11_merkle_manifest, op12_quality_rules, op13_prefix_trie, pipeline)
 }
 
 OP4_SQL = r"""
@@ -114,4 +118,4 @@ select conv_id, {quotes.LATER} + turn, role, regexp_replace(says, '^\n+|\n+$', '
   case when far then 2 when near then 1 else 0 end, up, depth, path from threads join paths using (conv_id, turn)
 """
 
-ORACLES = {"op2_quotation_links": OP2_SQL, "op4_parity_jaccard": OP4_SQL, "op5_line_chunks": linedup.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_quality_rules": rules.ORACLE}
+ORACLES = {"op2_quotation_links": OP2_SQL, "op4_parity_jaccard": OP4_SQL, "op5_line_chunks": linedup.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_quality_rules": rules.ORACLE, "op13_prefix_trie": trie.ORACLE}
