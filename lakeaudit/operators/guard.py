@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.detect import detect
 from ..functions.rules import LAYERS
+from ..functions.spans import replaced
 from ..functions.stage import spread, staged
 from ..sources.policy import Policy
 from .findings import boundary_action, numbered, redaction_action
@@ -31,18 +32,12 @@ def scan(df: DataFrame, policy: Policy, *, text: str = "text", layer: str = "lay
     return out.withColumn("findings", F.transform("__c", decided)).drop("__c", "__layer")
 
 
-def redacted(text: str, findings: str = "findings"):
-    """The text with every finding replaced, whatever its disposition."""
-    order = f"array_sort(transform({findings}, f -> named_struct('start', f.start, 'l', f.start - f.end, 'end', f.end, 'redaction', f.redaction)))"
-    return F.expr(f"""aggregate({order}, named_struct('at', 0, 'out', ''), (a, x) -> if(x.start < a.at, a,
-        named_struct('at', x.end, 'out', concat(a.out, substring({text}, a.at + 1, x.start - a.at), x.redaction))), a -> concat(a.out, substring({text}, a.at + 1)))""")
-
-
 def guard(df: DataFrame, policy: Policy, mode: str = "report_only", *, text: str = "text", layer: str = "layer", analyzer: Callable[[], object] | None = None) -> DataFrame:
     """df with findings, redacted_text and the decision's flags."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of: {', '.join(MODES)}")
-    out = scan(df, policy, text=text, layer=layer, analyzer=analyzer).withColumn("redacted_text", redacted(text))
+    out = scan(df, policy, text=text, layer=layer, analyzer=analyzer)
+    out = replaced(out, text, "findings", lambda f: f["redaction"], "redacted_text")
     out = out.withColumn("has_phi", F.size("findings") > 0).withColumn("has_redactions", F.col("redacted_text") != F.col(text)).withColumn("has_violations", F.exists("findings", lambda f: f["disposition"] == "violation"))
     worst = F.when(F.col("has_violations"), "violation").when(F.exists("findings", lambda f: f["disposition"] == "redact"), "redact").otherwise("allowed")
     out = out.withColumn("worst_disposition", worst)
