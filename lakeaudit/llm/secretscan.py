@@ -22,6 +22,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import replaced, running
 from .common import materialise, shielded
 
 #: Characters between the parts of one credential.
@@ -50,18 +51,27 @@ def _spans(docs: DataFrame, kind: str, spec: tuple, text: str) -> DataFrame:
     docs = docs.withColumn("__b", body)
     docs = docs.withColumn("__m", F.regexp_extract_all("__b", F.lit(pattern), F.lit(0))).withColumn("__g", F.split("__b", pattern, -1))
     docs = docs.withColumn("__v", F.regexp_extract_all("__b", F.lit(pattern), F.lit(group)) if group else F.col("__m"))
-    empty = f"cast(array() as array<{_SPAN}>)"
-    fold = f"""aggregate(arrays_zip(__m, __v, slice(__g, 1, size(__m))), named_struct('at', 0, 'out', {empty}),
-      (a, x) -> named_struct('at', a.at + length(x['2']) + length(x.__m), 'out', if(length(x.__v) < {least}, a.out,
-        concat(a.out, array(named_struct('start', a.at + length(x['2']), 'ord', {ORDER[kind]}, 'kind', '{kind}', 'end', a.at + length(x['2']) + length(x.__m), 'value', x.__m))))), a -> a.out)"""
-    return docs.withColumn(f"__{kind}", F.when(F.size("__m") > 0, F.expr(fold)).otherwise(F.expr(empty))).drop("__b", "__m", "__g", "__v")
+    empty = F.expr(f"cast(array() as array<{_SPAN}>)")
+    # each match ends where the gaps and matches so far do: a running sum, so that thousands of spans don't copy one another
+    sizes = F.zip_with("__m", F.slice("__g", F.lit(1), F.size("__m")), lambda m, g: F.length(m) + F.length(g))
+    docs = docs.withColumn("__e", F.when(F.size("__m") > 0, running(sizes, lambda x, y: x + y)))
+    each = F.transform("__m", lambda m, i: F.struct((F.get("__e", i) - F.length(m)).alias("start"), F.lit(ORDER[kind]).alias("ord"), F.lit(kind).alias("kind"), F.get("__e", i).alias("end"), F.when(F.length(F.get("__v", i)) >= least, m).alias("value")))
+    found = F.filter(each, lambda x: x["value"].isNotNull()).cast(f"array<{_SPAN}>")
+    return docs.withColumn(f"__{kind}", F.when(F.size("__m") > 0, found).otherwise(empty)).drop("__b", "__m", "__g", "__v", "__e")
 
 
 def _with_parts(docs: DataFrame, text: str) -> DataFrame:
     docs = functools.reduce(lambda d, k: _spans(d, k, (BASE | WEAK)[k], text), ORDER, docs)
     docs = docs.withColumn("__base", F.array_sort(F.concat("__assign", "__access", "__hex")))
-    clear = F.expr("filter(concat(__identifier, __key, __endpoint), w -> not exists(__base, b -> b.start < w.end and w.start < b.end))")
-    return docs.withColumn("__weak", clear).drop("__identifier", "__key", "__endpoint")
+    # a weak part is clear of the base if the base spans before it end in time and the next one begins in time
+    some = F.size("__identifier") + F.size("__key") + F.size("__endpoint") > 0
+    docs = docs.withColumn("__all", F.when(some, F.array_sort(F.concat("__base", "__identifier", "__key", "__endpoint"))))
+    before = running(F.transform("__all", lambda x: F.when(x["ord"] <= 2, x["end"]).otherwise(-1)), F.greatest)
+    after = F.reverse(running(F.reverse(F.transform("__all", lambda x: F.when(x["ord"] <= 2, x["start"]).otherwise(2**31 - 1))), F.least))
+    docs = docs.withColumn("__before", before).withColumn("__after", after)
+    clear = F.filter("__all", lambda x, i: (x["ord"] > 2) & (F.get("__before", i) <= x["start"]) & (F.get("__after", i) >= x["end"]))
+    docs = docs.withColumn("__weak", F.when(some, clear).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)")))
+    return docs.drop("__identifier", "__key", "__endpoint", "__all", "__before", "__after")
 
 
 def _linked(parts: DataFrame) -> DataFrame:
@@ -113,8 +123,4 @@ def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """docs with every found span replaced by MARK; overlapping spans are replaced as one."""
     rows, restore = shielded(docs)
     at = docs.columns.index(text)
-    body = f"""if(size(__found) = 0, __x{at}, aggregate(__found, named_struct('at', 0, 'out', ''), (a, x) -> if(x.start < a.at,
-      named_struct('at', greatest(a.at, x.end), 'out', a.out),
-      named_struct('at', x.end, 'out', concat(a.out, substring(__x{at}, a.at + 1, x.start - a.at), '{MARK}'))),
-      a -> concat(a.out, substring(__x{at}, a.at + 1))))"""
-    return _scanned(rows, f"__x{at}", keep=True).withColumn(f"__x{at}", F.expr(body)).select(*restore)
+    return replaced(_scanned(rows, f"__x{at}", keep=True), f"__x{at}", "__found", lambda x: F.lit(MARK), f"__x{at}").select(*restore)
