@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +12,10 @@ from ..functions.rules import LAYERS
 from ..functions.spans import replaced
 from ..functions.stage import spread, staged
 from ..sources.policy import Policy
-from .findings import boundary_action, numbered, redaction_action
+from .dictionary import replace_values
+from .findings import boundary_action, redaction_action
 
 MODES = ("report_only", "redact", "block_on_violation")
-#: Entries of a trace-wide dictionary that go to every task at a time.
-DICTIONARY = 5_000_000
 
 
 def scan(df: DataFrame, policy: Policy, *, text: str = "text", layer: str = "layer", analyzer: Callable[[], object] | None = None) -> DataFrame:
@@ -47,51 +45,19 @@ def guard(df: DataFrame, policy: Policy, mode: str = "report_only", *, text: str
     return out.withColumn("finding_count", F.size("findings").cast("long")).withColumn("categories", F.array_sort(F.array_distinct(F.col("findings.category"))))
 
 
-def replace_all(text: str, entries: list[tuple[str, str]], automaton) -> str:
-    """Replace every entry in order; the automaton finds which of them occur, again after each change."""
-    at = 0
-    while True:
-        due = min((i for _, i in automaton.iter(text) if i >= at), default=None)
-        if due is None:
-            return text
-        text, at = text.replace(*entries[due]), due + 1
-
-
 def redact_trace(events: DataFrame, policy: Policy, *, analyzer: Callable[[], object] | None = None) -> DataFrame:
     """events with redacted_content: spans replaced, then every value found anywhere in the trace.
 
-    The dictionary (value: redaction of its first finding; longer values first,
-    ties by first finding) is a stored table, numbered in order. Parts of at most
-    DICTIONARY entries go to every task one after the other, each over the texts
-    that the part before left, so its size has no limit.
+    The dictionary (value: redaction of its first finding; longer values first, ties by first
+    finding) stays a table. Texts meet it by the hashes of their windows (see ``dictionary``), so neither the
+    driver nor a task holds it, and a text is read against the values that it may hold alone. event_no is unique.
     """
     done = staged(guard(events, policy, text="content", analyzer=analyzer).select(*events.columns, "findings", "redacted_text"), "guarded")
     found = done.select("event_no", F.posexplode("findings").alias("i", "f")).groupBy("f.value").agg(F.min(F.struct("event_no", "i", F.col("f.redaction").alias("redaction"))).alias("first"))
-    ranked = found.select("value", F.col("first.redaction").alias("redaction"), (-F.length("value")).alias("short"), F.col("first.event_no").alias("event"), F.col("first.i").alias("i"))
-    entries = staged(numbered(ranked, ["short", "event", "i"], "no"), "dictionary")
-    out = done.withColumn("redacted_content", F.col("redacted_text")).select(*events.columns, "redacted_content")
-    count = entries.count()
-    for at in range(0, count, DICTIONARY):
-        part = entries.where(F.col("no").between(at + 1, at + DICTIONARY)).orderBy("no").select("value", "redaction").collect()
-        out = _replaced(out, [(r["value"], r["redaction"]) for r in part])
-        if at + DICTIONARY < count:
-            out = staged(out, "redacted")
-    return out
-
-
-def _replaced(df: DataFrame, entries: list[tuple[str, str]]) -> DataFrame:
-    """df with one part of the dictionary applied to redacted_content, its last column."""
-    import ahocorasick
-
-    shared = df.sparkSession.sparkContext.broadcast(entries)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = ahocorasick.Automaton()
-        for i, (v, _) in enumerate(shared.value):
-            a.add_word(v, i)
-        a.make_automaton()
-        for b in batches:
-            texts = [t if t is None else replace_all(t, shared.value, a) for t in b.column("redacted_content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=b.schema.names)
-
-    return df.mapInArrow(run, df.schema)
+    rank = F.struct((-F.length("value")).alias("short"), F.col("first.event_no").alias("event"), F.col("first.i").alias("i"))
+    texts = done.select("event_no", F.col("redacted_text").alias("text")).where("text is not null")
+    again = replace_values(texts, found.select("value", F.col("first.redaction").alias("redaction"), rank.alias("rank")))
+    if again is None:
+        return done.select(*events.columns, F.col("redacted_text").alias("redacted_content"))
+    out = done.join(again.withColumnRenamed("text", "__again"), "event_no", "left")
+    return out.select(*events.columns, F.coalesce("__again", "redacted_text").alias("redacted_content"))
