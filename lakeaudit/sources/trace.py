@@ -66,16 +66,18 @@ def event_row(raw: dict) -> tuple:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, event_no, value) of the lines that are not blank; line numbers begin at 1 in each file and count blank lines, event numbers run over all files.
 
-    Lines are numbered within their split, which bounds a task; only the counts of the splits meet in one place.
+    No line moves: a line's place in its split is told by ids that grow with the rows of a
+    task, taken before and after blank lines go, and what stands before a split by one row
+    of counts for each. Any store that Spark reads will do, compressed files too.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    full = F.col("value").rlike("(?U)\\S").cast("long")
-    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.sum(full).alias("m"))
+    rows = lines.where(F.col("value").rlike("(?U)\\S")).withColumn("own", F.monotonically_increasing_id())
+    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    full = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("m"), F.min("own").alias("own"))
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    splits = splits.select("file", "block", before("n", Window.partitionBy("file").orderBy("block")).alias("n"), before("m", Window.orderBy("file", "block")).alias("m"))
-    own = Window.partitionBy("file", "block").orderBy("at")
-    rows = lines.withColumn("i", F.row_number().over(own)).withColumn("e", F.sum(full).over(own)).where(full == 1)
-    return rows.join(splits, ["file", "block"]).select((F.col("i") + F.col("n")).cast("long").alias("line_no"), (F.col("e") + F.col("m")).cast("long").alias("event_no"), "value")
+    line, event = before("n", Window.partitionBy("file").orderBy("block")) - F.col("at"), before("m", Window.orderBy("file", "block")) - F.col("own")
+    starts = splits.join(full, ["file", "block"], "left").select("file", "block", line.alias("line"), event.alias("event"))
+    return rows.join(starts, ["file", "block"]).select((F.col("at") + F.col("line") + 1).cast("long").alias("line_no"), (F.col("own") + F.col("event") + 1).cast("long").alias("event_no"), "value")
 
 
 def parse(lines: DataFrame) -> DataFrame:
@@ -115,17 +117,42 @@ def from_columns(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c) if c in have else extra[c].alias(c) for c in _FIELDS])
 
 
-def trace_lines(events: DataFrame, *, always: bool = False, content: str = "content") -> Iterator[str]:
-    """JSON lines in order; empty source, destinations and metadata are left out (always: only metadata)."""
-    for r in events.orderBy("event_no").toLocalIterator():
-        row = {k: r[k] for k in ("event_id", "timestamp", "layer")} | {"content": r[content]}
-        for k in ("source", "destinations", "metadata"):
-            value = json.loads(r[k])
-            if value or (always and k != "metadata"):
-                row[k] = value
-        yield canonical(row)
+def json_lines(events: DataFrame, *, always: bool = False, content: str = "content") -> DataFrame:
+    """(event_no, value): the JSON line of every event; empty source, destinations and metadata are left out (always: only metadata)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = []
+            for r in b.to_pylist():
+                row = {k: r[k] for k in ("event_id", "timestamp", "layer", "content")}
+                for k in ("source", "destinations", "metadata"):
+                    value = json.loads(r[k])
+                    if value or (always and k != "metadata"):
+                        row[k] = value
+                lines.append(canonical(row))
+            yield pa.RecordBatch.from_arrays([b.column("event_no"), pa.array(lines, pa.string())], names=["event_no", "value"])
+
+    rows = events.select("event_no", "event_id", "timestamp", "layer", F.col(content).alias("content"), "source", "destinations", "metadata")
+    return rows.mapInArrow(run, "event_no long, value string")
+
+
+def write_trace_parts(events: DataFrame, path: str, **how) -> None:
+    """Events as JSON lines in a folder: tasks write ranges of events, and the parts' names follow the events' order.
+
+    Spark's commit puts the parts of finished tasks in place at the end, so a lost executor leaves no half of
+    one. The folder must be new; load_trace reads it back in the same order.
+    """
+    width = max(1, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    json_lines(events, **how).repartitionByRange(width, "event_no").sortWithinPartitions("event_no").select("value").write.text(path)
+
+
+def trace_lines(events: DataFrame, **how) -> Iterator[str]:
+    """The JSON lines in order, a range of events at a time; tasks make them."""
+    for r in json_lines(events, **how).orderBy("event_no").select("value").toLocalIterator():
+        yield r["value"]
 
 
 def write_trace(events: DataFrame, path: str, **how) -> None:
+    """Events as one local file of JSON lines, streamed through the driver: for traces that one file can hold. Larger ones: write_trace_parts."""
     with open(path, "w", encoding="utf-8") as f:
         f.writelines(x + "\n" for x in trace_lines(events, **how))
