@@ -41,14 +41,14 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _widths(codes: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(k, hashes of the windows of 2**k characters at every place) for k up to top."""
+    """(k, hashes of the windows of 2**k characters at every place of the last axis) for k up to top."""
     h = _mix(codes.astype(np.uint64), np.uint64(1), 0)
     for k in range(top + 1):
         if k:
             half = 1 << (k - 1)
-            if len(h) <= half:
+            if h.shape[-1] <= half:
                 return
-            h = _mix(h[:-half], h[half:], k)
+            h = _mix(h[..., :-half], h[..., half:], k)
         yield k, h
 
 
@@ -56,12 +56,16 @@ def _key(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
     return _mix(first, last, 1000 + n)
 
 
-def key_of(value: str) -> tuple[int, int]:
-    """(hash of the first window, key) of a value, as signed numbers."""
-    codes, k = _codes(value), len(value).bit_length() - 1
-    *_, (_, h) = _widths(codes, k)
-    pair = np.array([_mix(h[:1], np.uint64(2), 900 + k)[0], _key(h[:1], h[-1:], len(value))[0]], np.uint64)
-    return tuple(pair.view(np.int64).tolist())
+def keys_of(values: list[str]) -> np.ndarray:
+    """Per value, the hash of its first window and its key, as signed numbers; values of one length are hashed together."""
+    out, sizes = np.zeros((2, len(values)), np.uint64), np.array([len(v) for v in values], np.int64)
+    for n in np.unique(sizes).tolist():
+        at, k = np.flatnonzero(sizes == n), n.bit_length() - 1
+        for step in range(0, len(at), max(1, CHUNK // n)):
+            part = at[step : step + max(1, CHUNK // n)]
+            *_, (_, h) = _widths(_codes("".join(values[i] for i in part)).reshape(len(part), n), k)
+            out[0, part], out[1, part] = _mix(h[:, 0], np.uint64(2), 900 + k), _key(h[:, 0], h[:, -1], n)
+    return out.view(np.int64)
 
 
 def keyed(entries: DataFrame) -> DataFrame:
@@ -70,8 +74,8 @@ def keyed(entries: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = b.column("value").to_pylist()
-            pairs = [key_of(v) for v in values]
-            new = [pa.array([len(v) for v in values], pa.int32()), pa.array([p for p, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.int64())]
+            prefixes, keys = keys_of(values)
+            new = [pa.array([len(v) for v in values], pa.int32()), pa.array(prefixes), pa.array(keys)]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, "n", "prefix", "key"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema)
@@ -139,9 +143,9 @@ def _met(texts: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for b in batches:
-            ids, rows = b.column("event_no").to_numpy(zero_copy_only=False), [_codes(t or "") for t in b.column("text").to_pylist()]
-            ends = np.cumsum([len(r) for r in rows])
-            places, keys = known.found(np.concatenate(rows)) if rows else (np.zeros(0, np.int64),) * 2
+            ids, rows = b.column("event_no").to_numpy(zero_copy_only=False), [t or "" for t in b.column("text").to_pylist()]
+            ends = np.cumsum([len(t) for t in rows])
+            places, keys = known.found(_codes("".join(rows)))
             pairs = np.unique(np.stack([ids[np.searchsorted(ends, places, side="right")], keys]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["event_no", "key"])
 

@@ -13,11 +13,16 @@ from ..functions.stage import staged
 from ..sources.policy import Policy
 from .segments import external_path, segments
 
-#: Parts of a value in which its findings are reduced first.
-SALT = 32
+#: Findings (or events) whose share of a value makes one row of its lists.
+PART = 4096
 ORDER = ["event_no", "seg_no", "start", "end", "category"]
 
 
+def _at() -> Column:
+    """Where a finding stands in the trace."""
+    return F.struct("event_no", "seg_no", "start", "end").alias("at")
+
+
 def rank(disposition: Column) -> Column:
     return F.when(disposition == "violation", RANK["violation"]).when(disposition == "redact", RANK["redact"]).otherwise(RANK["allowed"])
 
@@ -30,17 +35,18 @@ def redaction_action(disposition: Column) -> Column:
     return F.when(disposition == "violation", "remove_or_redact_before_this_layer").when(disposition == "redact", "redact_before_this_layer").otherwise("review")
 
 
-def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list, name: str, *, cheap: bool = False) -> DataFrame:
     """df with a running number from 1 in the given order, without gathering rows in one task.
 
     Rows are ranged by the order; each range counts its rows, and a range's
     numbers begin after those before it. Only the counts meet in one place. The rows
-    are written first, since ranging, counting and numbering each read them.
+    are written before they are ranged, since ranging samples them first (cheap: they
+    come from a shuffle, whose files serve both readings), and after, since the bounds are random.
     """
-    df = staged(df, name)
+    df = df if cheap else staged(df, name)
     width = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     ranged = df.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    ranged = staged(ranged, name)  # the bounds come from a random sample: both uses must see the same ranges
+    ranged = staged(ranged, name)
     starts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("low"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = starts.select("__p", (before - F.col("low")).alias("shift"))
@@ -69,43 +75,68 @@ def display(mode: str) -> Column:
     return F.col({"raw": "value", "redacted": "redaction", "hashed": "value_hash"}[mode])
 
 
-def exposures(findings: DataFrame, *, number: bool = True) -> DataFrame:
-    """One row for each (category, value); lists keep the order in which things were first seen.
+def exposure_parts(findings: DataFrame) -> DataFrame:
+    """What was seen of each (category, value), in rows of a bounded size: (category, value, part, and lists in the order of the findings).
 
-    Findings are first reduced to distinct members (layer, paths, source, destinations) in
-    SALT parts of each value, so a value seen in a third of all events is spread; what
-    meets in one row are these members, and the finding and event ids that the result holds in full.
-    Findings without numbers (find with number=False) have no finding_ids.
+    A part holds what PART consecutive findings (without numbers: the findings of PART
+    consecutive events) have of a value, so a value in a third of all findings
+    has many rows of one size and no task gathers it. Lists: finding_ids, event_ids, content_paths_seen,
+    external_content_paths_seen, sources, destinations (both as JSON); each thing once for a part.
     """
-    at, members = F.struct("event_no", "seg_no", "start", "end"), ["layer", "content_path", "external_content_path", "source", "destinations"]
-    own = F.col("finding_id") if "finding_id" in findings.columns else F.lit(None).cast("string")
-    rows = findings.withColumn("__salt", F.pmod(F.xxhash64("event_no"), F.lit(SALT))).withColumn("__at", at)
-    part = rows.groupBy("category", "value", "__salt", *members).agg(
-        F.min("__at").alias("__at"), F.collect_list(F.struct("__at", own.alias("id"), "event_id")).alias("__ids"), F.min(F.struct("__at", "event_id", "redaction")).alias("__first"),
-        F.first("value_hash").alias("value_hash"), F.min(F.struct(-rank(F.col("disposition")), "__at", "disposition", "layer")).alias("__worst"),
+    named = "finding_id" in findings.columns
+    part = F.floor(F.col("finding_no" if "finding_no" in findings.columns else "event_no") / PART).alias("part")
+    own = F.col("finding_id") if named else F.lit(None).cast("string")
+    seen = F.struct(_at(), own.alias("finding_id"), "event_id", "content_path", "external_content_path", "source", "destinations")
+    rows = findings.groupBy("category", "value", part).agg(F.array_sort(F.collect_list(seen)).alias("s"))
+    once = lambda c: F.array_compact(F.array_distinct(F.col(f"s.{c}")))
+    objects = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.col("s.destinations")), lambda d: F.from_json(d, "array<string>"))))
+    lists = {"finding_ids": F.array_compact("s.finding_id"), "event_ids": once("event_id"), "content_paths_seen": once("content_path"), "external_content_paths_seen": once("external_content_path"), "sources": once("source"), "destinations": objects}
+    return rows.select("category", "value", "part", *[c.alias(n) for n, c in lists.items()])
+
+
+def exposures(findings: DataFrame, *, number: bool = True, lists: bool = True) -> DataFrame:
+    """One row for each (category, value), with the worst finding, counts and what was seen, in the order in which it was first seen.
+
+    The rows come from one row for each value and layer, so a value in a third of all findings is reduced before it
+    moves, and are numbered without their lists. lists: the parts of a value's lists, joined as the
+    reports show them, in one row; without them (exposure_parts) every row is small. Findings without
+    numbers (find with number=False) have no finding_ids.
+    """
+    by = findings.groupBy("category", "value", "layer").agg(
+        F.count(F.lit(1)).alias("n"), F.min(_at()).alias("at"), F.min(F.struct(_at(), "event_id", "redaction", "value_hash")).alias("first"), F.min(F.struct((-rank(F.col("disposition"))).alias("r"), _at(), "disposition", "layer")).alias("worst"),
     )
-    seen = lambda c: F.expr(f"array_distinct(transform(array_sort(collect_list(if({c} is null, null, struct(__at, {c})))), x -> x.{c}))")
-    objects = F.expr("array_distinct(flatten(transform(array_sort(collect_list(struct(__at, destinations))), x -> from_json(x.destinations, 'array<string>'))))")
-    ids = F.array_sort(F.flatten(F.collect_list("__ids")))
-    out = part.groupBy("category", "value").agg(
-        ids.alias("__ids"), seen("layer").alias("layers_seen"), seen("content_path").alias("content_paths_seen"), seen("external_content_path").alias("external_content_paths_seen"),
-        seen("source").alias("sources"), objects.alias("destinations"), F.min("__first").alias("__first"), F.first("value_hash").alias("value_hash"), F.min("__worst").alias("worst"),
+    out = by.groupBy("category", "value").agg(F.sum("n").alias("n_findings"), F.transform(F.array_sort(F.collect_list(F.struct("at", "layer"))), lambda x: x["layer"]).alias("layers_seen"), F.min("first").alias("first"), F.min("worst").alias("worst"))
+    worst, layer = F.col("worst.disposition"), F.col("worst.layer")
+    out = out.select(
+        "category", "value", F.col("first.value_hash").alias("value_hash"), "n_findings", "layers_seen", F.col("first.event_id").alias("first_seen_event_id"), F.col("first.redaction").alias("redaction"),
+        worst.alias("worst_disposition"), layer.alias("worst_layer"), boundary_action(worst, layer).alias("recommended_boundary_action"), F.col("worst.r").alias("__r"),
     )
-    first = [F.col(f"__first.{c}").alias(n) for c, n in (("event_id", "first_seen_event_id"), ("redaction", "redaction"))]
-    out = out.select("*", F.array_compact("__ids.id").alias("finding_ids"), F.array_distinct("__ids.event_id").alias("event_ids"), *first).drop("__ids", "__first")
-    out = out.select("*", F.col("worst.disposition").alias("worst_disposition"), F.col("worst.layer").alias("worst_layer")).drop("worst")
-    out = out.withColumn("recommended_boundary_action", boundary_action(F.col("worst_disposition"), F.col("worst_layer"))).withColumn("__r", -rank(F.col("worst_disposition")))
     if number:
-        out = numbered(out, ["__r", "first_seen_event_id", "category", "value"], "exposure_no").withColumn("exposure_id", F.format_string("exposure-%03d", "exposure_no"))
-    return out.drop("__r")
-
-
-def summary(findings: DataFrame, exposed: DataFrame) -> DataFrame:
-    """(kind, key, n): total, high_risk, and counts by disposition, layer, category and worst_disposition."""
-    sets = findings.groupingSets([["disposition"], ["layer"], ["category"], []], "disposition", "layer", "category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("risk") == "high").alias("high"), F.grouping_id().alias("g"))
-    kind = F.when(F.col("g") == 3, "disposition").when(F.col("g") == 5, "layer").when(F.col("g") == 6, "category").otherwise("total")
-    by = sets.select(kind.alias("kind"), F.coalesce("disposition", "layer", "category", F.lit("findings")).alias("key"), "n")
-    high = sets.where("g = 7").select(F.lit("total").alias("kind"), F.lit("high_risk").alias("key"), F.col("high").alias("n"))
-    worst = exposed.groupBy("worst_disposition").count().select(F.lit("worst_disposition").alias("kind"), F.col("worst_disposition").alias("key"), F.col("count").alias("n"))
-    all_ = exposed.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("kind"), F.lit("exposures").alias("key"), "n")
+        out = numbered(out, ["__r", "first_seen_event_id", "category", "value"], "exposure_no", cheap=True).withColumn("exposure_id", F.format_string("exposure-%03d", "exposure_no"))
+    out = out.drop("__r")
+    if not lists:
+        return out
+    parts = exposure_parts(findings)
+    whole = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", c))), lambda x: x[c]))
+    names = [c for c in parts.columns if c not in ("category", "value", "part")]
+    joined = parts.groupBy("category", "value").agg(*[(whole(c) if c == "finding_ids" else F.array_distinct(whole(c))).alias(c) for c in names])
+    return out.join(joined, ["category", "value"])
+
+
+def summary(findings: DataFrame) -> DataFrame:
+    """(kind, key, n): total, high_risk, exposures, and counts by disposition, layer, category and worst_disposition.
+
+    One pass over the findings: a stored row for each value, layer and decision has all that the counts need.
+    """
+    tally = findings.groupBy("category", "value", "layer", "disposition", "risk").agg(F.count(F.lit(1)).alias("n"))
+    tally = staged(tally, "tally")
+    sets = tally.groupingSets([["disposition"], ["layer"], ["category"]], "disposition", "layer", "category").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
+    kind = F.when(F.col("g") == 3, "disposition").when(F.col("g") == 5, "layer").otherwise("category")
+    by = sets.select(kind.alias("kind"), F.coalesce("disposition", "layer", "category").alias("key"), "n")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    totals = F.array(F.struct(F.lit("findings").alias("key"), zero("n").alias("n")), F.struct(F.lit("high_risk").alias("key"), zero(F.when(F.col("risk") == "high", F.col("n"))).alias("n")))
+    high = tally.agg(totals.alias("t")).select(F.lit("total").alias("kind"), F.inline("t"))
+    values = tally.groupBy("category", "value").agg(F.max(F.struct(rank(F.col("disposition")).alias("r"), "disposition")).alias("w"))
+    worst = values.groupBy("w.disposition").count().select(F.lit("worst_disposition").alias("kind"), F.col("disposition").alias("key"), F.col("count").alias("n"))
+    all_ = values.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("kind"), F.lit("exposures").alias("key"), "n")
     return by.union(high).union(worst).union(all_)

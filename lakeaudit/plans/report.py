@@ -23,7 +23,7 @@ class AuditResult:
 
     def summary(self) -> dict:
         out = {"by_disposition": {}, "by_layer": {}, "by_category": {}, "by_worst_disposition": {}}
-        for r in summary(self.findings, self.exposures).collect():
+        for r in summary(self.findings).collect():
             if r["kind"] == "total":
                 out[{"findings": "total_findings", "exposures": "total_boundary_exposures", "high_risk": "high_risk_findings"}[r["key"]]] = r["n"]
             else:
