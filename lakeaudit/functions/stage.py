@@ -4,15 +4,26 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors can reach: spark.checkpoint.dir. Only a local session, which shares this machine's disk, may leave it unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "/tmp/checkpoints"
+    return where.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the folder that all executors share (spark.checkpoint.dir; a default only where unset), and read back."""
+    """df written as Parquet to the shared folder and read back; the files go when the application ends."""
     spark = df.sparkSession
-    where = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{where}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
