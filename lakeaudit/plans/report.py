@@ -11,6 +11,11 @@ from ..operators.findings import display, exposures, find, summary
 from ..sources.policy import Policy
 
 
+def escaped(value: str | None) -> str:
+    """Text for a cell of a Markdown table."""
+    return (value or "").replace("|", "\\|")
+
+
 @dataclass
 class AuditResult:
     """Findings and exposures as tables; documents on demand."""
@@ -78,7 +83,7 @@ def _table(head: list[str], rows: list[list[str]]) -> list[str]:
 
 
 def markdown(doc: dict) -> str:
-    s, cell = doc["summary"], lambda v: (v or "").replace("|", "\\|")
+    s, cell = doc["summary"], escaped
     top = [("Trace", f"`{doc['trace_path']}`"), ("Policy", f"`{doc['policy_path']}`"), ("Report value mode", f"`{doc['report_value_mode']}`"), ("Total PHI candidates", s["total_findings"]), ("Boundary exposures", s["total_boundary_exposures"]), ("Violations", s["by_disposition"].get("violation", 0)), ("Redaction required", s["by_disposition"].get("redact", 0)), ("High-risk candidates", s["high_risk_findings"])]
     out = ["# Trace Audit Report", "", *[f"- {k}: {v}" for k, v in top], "", "All findings are PHI candidates from a rule-based detector and require human review.", "", "## Boundary Exposures", ""]
     if not doc["boundary_exposures"]:

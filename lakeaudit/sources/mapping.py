@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -15,8 +15,7 @@ from ..errors import MappingError
 from ..functions.rules import DESTINATION_LAYERS, LAYERS
 from .trace import _FIELDS, EVENT, canonical, numbered_lines, write_trace
 
-VERSION_KEYS = {"version", "event_id", "timestamp", "layer", "content", "source", "destinations", "metadata"}
-SPEC_KEYS = {"field", "fields", "value", "default", "required", "map", "fallback", "fallback_prefix"}
+SPEC_KEYS = {"field", "fields", "value", "default", "required", "map"}
 
 
 class _Missing(Exception):
@@ -187,75 +186,132 @@ def selected(raw: dict, spec: object, label: str) -> str | None:
     return "<generated>" if label == "event_id" else None
 
 
-def check_mapping(m: object) -> dict:
-    """The mapping, if its shape is right."""
-
-    def must(ok: bool, what: str) -> None:
-        if not ok:
-            raise MappingError(what)
-
-    def path(x: object, label: str) -> None:
-        must(isinstance(x, str) and bool(x), f"{label} must be a non-empty string")
-        must("" not in x.split("."), f"{label}: empty path segment in {x!r}")
-
-    def value(spec: object, label: str, layers: list[str] | None = None) -> None:
-        if isinstance(spec, str):
-            return path(spec, label)
-        must(isinstance(spec, dict), f"{label} mapping must be a field string or object")
-        odd = sorted(set(spec) - SPEC_KEYS)
-        must(not odd, f"{label} has unknown key(s): {', '.join(odd)}")
-        must(not ("field" in spec and "fields" in spec), f"{label} must not define both field and fields")
-        must(any(k in spec for k in ("field", "fields", "value", "default")), f"{label} must define field, fields, value or default")
+# --- fixed values: what makes a mapping faulty is told in these words -----------
+_NO_STRING, _NO_BOOL, _NO_SPEC = "{0} must be a string", "{0} must be a boolean", "{0} must be a field string or object"
+_EMPTY, _SEGMENT, _REQUIRED = "{0} must not be empty", "{0} has an empty path segment", "{0} is required"
+_ODD_KEYS, _BOTH, _NO_FIELDS = "{0} has unsupported key(s): {1}", "{0} must not define both field and fields", "{0} must be a non-empty array"
+_NOTHING, _LAYER = "{0} must define field, fields, value, or default", "{0} maps to unsupported layer {1!r}; expected one of: {2}"
+# --- end of fixed values --------------------------------------------------------
+
+
+def _path(x: object, label: str) -> Iterator[str]:
+    if not isinstance(x, str):
+        yield _NO_STRING.format(label)
+    elif not x:
+        yield _EMPTY.format(label)
+    elif "" in x.split("."):
+        yield _SEGMENT.format(label)
+
+
+def _typed(spec: dict, names: Iterable[str], kind: type, label: str) -> Iterator[str]:
+    yield from ((_NO_BOOL if kind is bool else _NO_STRING).format(f"{label}.{n}") for n in names if n in spec and not isinstance(spec[n], kind))
+
+
+def _value(spec: object, label: str, *, bare: bool = False, more: tuple[str, ...] = (), layers: list[str] | None = None) -> Iterator[str]:
+    """Faults of one value spec. bare: it may be null or say nothing about where the value is; more: further keys; layers: what it may lead to."""
+    if spec is None and bare:
+        return
+    if spec is None:
+        yield _REQUIRED.format(label)
+    elif isinstance(spec, str):
+        yield from _path(spec, label)
+    elif not isinstance(spec, dict):
+        yield _NO_SPEC.format(label)
+    else:
+        if odd := sorted(set(spec) - SPEC_KEYS - set(more)):
+            yield _ODD_KEYS.format(label, ", ".join(odd))
+        if {"field", "fields"} <= set(spec):
+            yield _BOTH.format(label)
         if "field" in spec:
-            path(spec["field"], f"{label}.field")
-        if "fields" in spec:
-            must(isinstance(spec["fields"], list) and bool(spec["fields"]), f"{label}.fields must be a non-empty array")
-            for i, f in enumerate(spec["fields"]):
-                path(f, f"{label}.fields[{i}]")
-        for k in ("value", "default", "fallback", "fallback_prefix"):
-            must(spec.get(k) is None and k != "value" or isinstance(spec.get(k, ""), str), f"{label}.{k} must be a string")
-        must(isinstance(spec.get("required", True), bool), f"{label}.required must be a boolean")
-        must(isinstance(spec.get("map", {}), dict), f"{label}.map must be an object")
-        for v in spec.get("map", {}).values() if layers else ():
-            must(v in layers, f"{label}.map has unsupported layer {v!r}")
-
-    must(isinstance(m, dict), "mapping must be a YAML object")
-    odd = sorted(set(m) - VERSION_KEYS)
-    must(not odd, f"mapping has unknown key(s): {', '.join(odd)}")
-    must(m.get("version") == 1, "mapping version must be 1")
-    for k in ("timestamp", "layer", "content"):
-        must(m.get(k) is not None, f"mapping must define {k}")
-    if m.get("event_id") is not None:
-        value(m["event_id"], "event_id")
-    value(m["timestamp"], "timestamp")
-    value(m["layer"], "layer", LAYERS)
+            yield from _path(spec["field"], f"{label}.field")
+        many = spec.get("fields", [""])
+        if not isinstance(many, list) or not many:
+            yield _NO_FIELDS.format(f"{label}.fields")
+        elif "fields" in spec:
+            for i, x in enumerate(many):
+                yield from _path(x, f"{label}.fields[{i}]")
+        if not bare and not {"field", "fields", "value", "default"} & set(spec):
+            yield _NOTHING.format(label)
+        yield from _typed(spec, ("value", "default", "fallback_prefix", "fallback"), str, label)
+        yield from _typed(spec, ("required",), bool, label)
+        if layers:
+            yield from _layers(spec, label, layers)
+
+
+def _layers(spec: dict, label: str, layers: list[str]) -> Iterator[str]:
+    """Faults of the layers that a spec names."""
+    names = spec.get("map") or {}
+    if not isinstance(names, dict):
+        yield f"{label}.map must be an object"
+        names = {}
+    for where, x in [(label, spec[k]) for k in ("value",) if k in spec] + [(f"{label}.map[{k}]", v) for k, v in names.items()]:
+        if where != label and not all(isinstance(k, str) for k in names):
+            yield f"{label}.map keys must be strings"
+        elif not isinstance(x, str):
+            yield _NO_STRING.format(where)
+        elif x not in layers:
+            yield _LAYER.format(where, x, ", ".join(sorted(layers)))
+
+
+def _parts(items: object, label: str, text: str, required: bool) -> Iterator[str]:
+    """Faults of a list of paths, each a string or an object with a path, a text under some name and a required flag."""
+    for i, x in enumerate(items):
+        here = f"{label}[{i}]"
+        if isinstance(x, str):
+            yield from _path(x, here)
+        elif not isinstance(x, dict):
+            yield _NO_SPEC.format(here)
+        else:
+            yield from _path(x.get("field"), f"{here}.field")
+            if not isinstance(x.get(text, ""), (str, type(None))):
+                yield _NO_STRING.format(f"{here}.{text}")
+            yield from _typed({"required": x.get("required", required)}, ("required",), bool, here)
+
+
+def faults(m: object) -> Iterator[str]:
+    """What is wrong with a mapping, in the order in which it is told."""
+    if not isinstance(m, dict):
+        yield "mapping must be a YAML object"
+        return
+    if m.get("version") != 1:
+        yield "mapping version must be 1"
+    yield from (f"mapping must define {k}" for k in ("timestamp", "layer", "content") if k not in m)
+    yield from _value(m.get("event_id"), "event_id", bare=True, more=("fallback", "fallback_prefix"))
+    yield from _value(m["timestamp"], "timestamp")
+    yield from _value(m["layer"], "layer", layers=LAYERS)
     c = m["content"]
-    if isinstance(c, str):
-        path(c, "content")
+    if isinstance(c, str) or isinstance(c, dict) and "field" in c:
+        yield from _path(c, "content") if isinstance(c, str) else _path(c["field"], "content.field")
+        yield from _typed(c, ("required",), bool, "content") if isinstance(c, dict) else ()
+    elif not isinstance(c, dict):
+        yield _NO_SPEC.format("content")
+    elif not isinstance(c.get("fields"), list) or not c["fields"]:
+        yield "content must define field or non-empty fields"
     else:
-        must(isinstance(c, dict), "mapping content must be a field string or object")
-        must(("field" in c) != ("fields" in c), "mapping content must define field or non-empty fields")
-        must("field" in c or isinstance(c["fields"], list) and bool(c["fields"]), "mapping content must define field or non-empty fields")
-        for i, f in enumerate(c.get("fields", [])):
-            must(isinstance(f, (str, dict)), f"content.fields[{i}] must be a field string or object")
-            path(f if isinstance(f, str) else f.get("field"), f"content.fields[{i}].field")
-            if isinstance(f, dict):
-                must(isinstance(f.get("label", ""), (str, type(None))), f"content.fields[{i}].label must be a string")
-                must(isinstance(f.get("required", True), bool), f"content.fields[{i}].required must be a boolean")
-    must(isinstance(m.get("source") or {}, dict), "mapping source must be an object")
-    for k, s in (m.get("source") or {}).items():
-        must(k in ("type", "path"), f"source has unknown key(s): {k}")
-        value(s, f"source.{k}")
-    must(isinstance(m.get("destinations") or [], list), "mapping destinations must be an array")
+        yield from _parts(c["fields"], "content.fields", "label", True)
+    lists = {"source": (dict, "an object"), "destinations": (list, "an array"), "metadata": (dict, "an object")}
+    yield from (f"{k} must be {what}" for k, (kind, what) in lists.items() if not isinstance(m.get(k), (kind, type(None))))
+    for k in ("type", "path"):
+        yield from _value((m.get("source") or {}).get(k), f"source.{k}", bare=True)
     for i, d in enumerate(m.get("destinations") or []):
-        must(isinstance(d, dict), f"destinations[{i}] must be an object")
-        for k, s in d.items():
-            must(k in ("layer", "path"), f"destinations[{i}] has unknown key(s): {k}")
-            value(s, f"destinations[{i}].{k}", DESTINATION_LAYERS if k == "layer" else None)
+        here = f"destinations[{i}]"
+        if not isinstance(d, dict):
+            yield f"{here} must be an object"
+        else:
+            yield from _value(d["layer"], f"{here}.layer", layers=DESTINATION_LAYERS) if "layer" in d else ()
+            yield from _value(d.get("path"), f"{here}.path", bare=True)
     about = m.get("metadata") or {}
-    must(isinstance(about, dict), "mapping metadata must be an object")
-    must(isinstance(about.get("include", []), list), "metadata.include must be an array")
-    must(isinstance(about.get("constants", {}), dict), "metadata.constants must be an object")
+    if not isinstance(about.get("include", []), list):
+        yield "metadata.include must be an array"
+    yield from _parts(about.get("include", []), "metadata.include", "name", False)
+    if not isinstance(about.get("constants", {}), dict):
+        yield "metadata.constants must be an object"
+
+
+def check_mapping(m: object) -> dict:
+    """The mapping, if its shape is right; unknown keys beside those of value specs don't matter."""
+    for fault in faults(m):
+        raise MappingError(fault)
     return m
 
 
