@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,6 +30,35 @@ def spans(text: str) -> list[dict]:
     return list(found.values())
 
 
+#: Bytes from which a text is read in pieces.
+WINDOW = 1 << 20
+#: Where no match can go on: a blank is in no URL, and these signs are in no other match; neither side holds a letter or digit that a rule looks at.
+_SEAM = re.compile(rb"""[;!?|*"<>{}\[\]&$^~`\\][ \t\r\n]|[ \t\r\n][;!?|*"<>{}\[\]&$^~`\\]""")
+
+
+def pieces(body: memoryview, window: int) -> Iterator[str]:
+    """The UTF-8 text cut at seams, each piece ending at the first seam after window bytes."""
+    at = 0
+    while at < len(body):
+        seam = _SEAM.search(body, at + window)
+        end = seam.start() + 1 if seam else len(body)
+        yield str(body[at:end], "utf-8")
+        at = end
+
+
+def spans_in_pieces(body: memoryview, window: int) -> list[dict]:
+    """The settled rule matches of a text of any length, a piece at a time.
+
+    A match lies within one piece, so overlaps are settled there and only places are moved; nothing
+    but the matches is held for more than a piece. Between seams a piece is as long as it has to be.
+    """
+    out, at = [], 0
+    for piece in pieces(body, window):
+        out += [c | {"start": c["start"] + at, "end": c["end"] + at} for c in settled(spans(piece))]
+        at += len(piece)
+    return out
+
+
 def ner_spans(text: str, results: list) -> list[dict]:
     """Spans of an entity recogniser: known entities with sound bounds, trimmed."""
     out = []
@@ -45,14 +75,25 @@ def ner_spans(text: str, results: list) -> list[dict]:
 
 
 def detect(df: DataFrame, text: str = "content", out: str = "candidates", analyzer: Callable[[], object] | None = None) -> DataFrame:
-    """df with the candidates of a text column, in order of their place; analyzer: makes an entity recogniser once in each worker. Null text: none."""
+    """df with the candidates of a text column, in order of their place; analyzer: makes an entity recogniser once in each worker. Null text: none.
+
+    Long texts are read in pieces, unless a recogniser has to see them whole.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(RAW))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = analyzer() if analyzer else None
         for b in batches:
-            texts = b.column(text).to_pylist()
-            hits = [[] if t is None else settled(spans(t) + (ner_spans(t, engine.analyze(text=t, language="en", entities=list(NER_CATEGORIES))) if engine else [])) for t in texts]
+            hits = []
+            for t in b.column(text):
+                body = t.as_buffer()
+                if body is None:
+                    hits.append([])
+                elif engine is None and body.size > WINDOW:
+                    hits.append(spans_in_pieces(memoryview(body), WINDOW))
+                else:
+                    t = t.as_py()
+                    hits.append(settled(spans(t) + (ner_spans(t, engine.analyze(text=t, language="en", entities=list(NER_CATEGORIES))) if engine else [])))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, _ARROW)], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, schema)
