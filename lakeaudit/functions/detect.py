@@ -74,6 +74,18 @@ def ner_spans(text: str, results: list) -> list[dict]:
     return out
 
 
+def candidates_of(text: str, engine: object = None) -> list[dict]:
+    """The settled candidates of a text, of rules and of a recogniser."""
+    return settled(spans(text) + (ner_spans(text, engine.analyze(text=text, language="en", entities=list(NER_CATEGORIES))) if engine else []))
+
+
+def candidates(body: pa.Buffer | None, engine: object = None) -> list[dict]:
+    """The settled candidates of a text in UTF-8; null: none. A recogniser has to see long texts whole, rules read them in pieces."""
+    if body is None:
+        return []
+    return spans_in_pieces(memoryview(body), WINDOW) if engine is None and body.size > WINDOW else candidates_of(str(body, "utf-8"), engine)
+
+
 def detect(df: DataFrame, text: str = "content", out: str = "candidates", analyzer: Callable[[], object] | None = None) -> DataFrame:
     """df with the candidates of a text column, in order of their place; analyzer: makes an entity recogniser once in each worker. Null text: none.
 
@@ -84,16 +96,7 @@ def detect(df: DataFrame, text: str = "content", out: str = "candidates", analyz
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = analyzer() if analyzer else None
         for b in batches:
-            hits = []
-            for t in b.column(text):
-                body = t.as_buffer()
-                if body is None:
-                    hits.append([])
-                elif engine is None and body.size > WINDOW:
-                    hits.append(spans_in_pieces(memoryview(body), WINDOW))
-                else:
-                    t = t.as_py()
-                    hits.append(settled(spans(t) + (ner_spans(t, engine.analyze(text=t, language="en", entities=list(NER_CATEGORIES))) if engine else [])))
+            hits = [candidates(t.as_buffer(), engine) for t in b.column(text)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, _ARROW)], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, schema)

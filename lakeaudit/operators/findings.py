@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.detect import detect
 from ..functions.rules import RANK
 from ..functions.stage import staged
 from ..sources.policy import Policy
-from .segments import external_path, segments
+from .segments import external_path, segment_candidates
 
 #: Findings (or events) whose share of a value makes one row of its lists.
 PART = 4096
+CANDIDATE = ("category", "value", "start", "end", "confidence", "reason", "detector")
 ORDER = ["event_no", "seg_no", "start", "end", "category"]
 
 
@@ -55,9 +55,9 @@ def numbered(df: DataFrame, order: list, name: str, *, cheap: bool = False) -> D
 
 def find(events: DataFrame, policy: Policy, *, number: bool = True, analyzer: Callable[[], object] | None = None) -> DataFrame:
     """One row for each finding: candidates of each segment under the policy."""
-    parts = segments(events.select("event_no", "event_id", "layer", "content", "source", "destinations", "external_content_paths"))
-    found = detect(parts, "text", analyzer=analyzer).withColumn("c", F.explode("candidates"))
-    rows = found.select("event_no", "seg_no", "event_id", "layer", "content_path", external_path().alias("external_content_path"), "source", "destinations", "c.*")
+    parts = segment_candidates(events.select("event_no", "event_id", "layer", "content", "source", "destinations", "external_content_paths"), analyzer=analyzer)
+    found = parts.withColumn("c", F.explode("found")).withColumn("content_path", F.col("c.content_path"))
+    rows = found.select("event_no", "c.seg_no", "event_id", "layer", "content_path", external_path().alias("external_content_path"), "source", "destinations", *[f"c.{n}" for n in CANDIDATE])
     dim = F.broadcast(policy.table(events.sparkSession))
     rows = rows.join(dim, ["category", "layer"], "left")
     rows = rows.withColumn("rule", F.coalesce("rule", F.concat(F.lit("No policy configured for category '"), "category", F.lit("'."))))

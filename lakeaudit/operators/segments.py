@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.detect import WINDOW, candidates, candidates_of
 from ..functions.stage import spread
 
 
@@ -49,6 +50,33 @@ def segments(events: DataFrame, content: str = "content") -> DataFrame:
     return out.select(*events.columns, F.posexplode("__s").alias("seg_no", "s")).select(*events.columns, "seg_no", F.col("s.path").alias("content_path"), F.col("s.text").alias("text"))
 
 
+FOUND = "array<struct<seg_no:int,content_path:string,category:string,value:string,start:int,end:int,confidence:double,reason:string,detector:string>>"
+
+
+def segment_candidates(events: DataFrame, content: str = "content", analyzer: Callable[[], object] | None = None) -> DataFrame:
+    """events without their content, with found: the candidates of all segments, in order. One pass, and segments without candidates never leave it."""
+    kept = [c for c in events.columns if c != content]
+    schema = T.StructType([*[events.schema[c] for c in kept], T.StructField("found", T._parse_datatype_string(FOUND))])
+    texts = ["content_path", "category", "value", "reason", "detector"]
+    kind = pa.list_(pa.struct([(f.name, pa.string() if f.name in texts else pa.float64() if f.name == "confidence" else pa.int32()) for f in schema["found"].dataType.elementType]))
+
+    def of(value: pa.StringScalar, engine: object) -> list[dict]:
+        body = value.as_buffer()
+        if body is None:
+            return []
+        if body.size > WINDOW and memoryview(body)[:WINDOW].tobytes().lstrip()[:1] not in (b"{", b"["):
+            return [{"seg_no": 0, "content_path": None, **c} for c in candidates(body, engine)]
+        return [{"seg_no": i, "content_path": path, **c} for i, (path, text) in enumerate(leaves(str(body, "utf-8"))) for c in candidates_of(text, engine)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine = analyzer() if analyzer else None
+        for b in batches:
+            found = pa.array([of(v, engine) for v in b.column(content)], kind)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], found], names=[*kept, "found"])
+
+    return spread(events).mapInArrow(run, schema)
+
+
 def external_path(bases: str = "external_content_paths", path: str = "content_path") -> Column:
     base, p = F.element_at(F.col(bases), 1), F.col(path)
     joined = F.when(p.isNull() | (p == "$"), base).when(p.startswith("$."), F.concat(base, F.lit("."), F.substring(p, 3, 2**30))).when(p.startswith("$["), F.concat(base, F.substring(p, 2, 2**30)))
