@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors can reach (spark.checkpoint.dir; a default only where unset)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "/tmp/checkpoints"
-    return where.rstrip("/")
+from ..functions.stage import staged
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors; the files go when the application ends."""
+    return staged(df, name)
 
 
 def discard(*staged: DataFrame) -> None:

@@ -36,6 +36,8 @@ SAMPLE_PER_LANGUAGE = 400
 SAMPLE_BYTES = 1_200_000
 #: Texts of more bytes enter the sample after all others, so that they don't fill it.
 LONG_BYTES = 60_000
+#: Least number of steps of the gradient descent.
+STEPS = 400
 BUCKET_BITS = 14
 ORDERS = (2, 3, 4)
 DIM = 8
@@ -123,8 +125,8 @@ def _sparse(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def train(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float = 2.0, seed: int = 7) -> LanguageModel:
-    """Fit on the sample; every fifth text is left for calibration."""
+def train(texts: list[str], labels: list[str], *, epochs: int = 4, least: int = STEPS, rate: float = 2.0, seed: int = 7) -> LanguageModel:
+    """Fit on the sample, in so many epochs and at least so many steps, so that small samples are learned as well; every fifth text is left for calibration."""
     languages = tuple(sorted(set(labels)))
     k, rows = len(languages), max(ORDERS) * _TABLE + 1
     if k == 0:
@@ -139,7 +141,9 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float =
     weight, bias = rng.normal(0, 0.1, (DIM, k)), np.zeros(k)
     own = np.flatnonzero(~held)
     batch, steps = 32, 0
-    total = epochs * max(1, -(-len(own) // batch))
+    each = max(1, -(-len(own) // batch))
+    epochs = max(epochs, -(-least // each))
+    total = epochs * each
     for _ in range(epochs):
         rng.shuffle(own)
         for at in range(0, len(own), batch):

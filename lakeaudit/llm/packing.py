@@ -9,8 +9,8 @@ it finds the tightest bin whose sets hold neither the piece's source nor its
 cluster; else a bin opens. Counts of the bins that hold a source, by residual,
 let the search pass over residuals whose bins all conflict.
 
-Shards are dealt by a hash of (doc_id, piece), so a hot source spreads evenly;
-their number follows the number of pieces, and only keys and lengths move.
+Shards are dealt by a hash of the piece and of where its row is stored, so a hot
+source and rows that are equal spread evenly; their number follows the number of pieces, and only keys and lengths move.
 
 Defined results: null or blank text has length 0 and its own row with bin -1;
 null source or cluster conflicts with nothing; repeated rows are packed each;
@@ -122,15 +122,18 @@ def pack(
         # the join counts the words as it reads the texts
         rows = docs.select(F.coalesce("doc_id", F.xxhash64(F.lower("text"))).alias("node"), F.lower("text").alias("text"), "doc_id", "source")
         rows = components_of(rows, k=near[0], percent=near[1], key="node", carry=("doc_id", "source")).withColumn("cluster", F.col("component").cast("string"))
+        rows = materialise(rows.select("doc_id", "words", "source", "cluster"), "lengths")
     else:
         words = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+", -1), lambda w: w != ""))
         rows = docs.withColumn("words", F.when(F.col("text").isNull(), F.lit(0)).otherwise(words).cast("long"))
         rows = rows if cluster is not None else rows.withColumn("cluster", normal_form("text"))
         rows = materialise(rows.select("doc_id", "words", "source", "cluster"), "lengths")
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     n = F.greatest(F.ceil(F.col("words") / capacity), F.lit(1))
     shards = max(1, -(-(rows.agg(F.sum(n)).first()[0] or 0) // SHARD))
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     rows = rows.withColumn("start", F.col("piece") * capacity).withColumn("length", F.least(F.lit(capacity), F.col("words") - F.col("start"))).drop("words")
-    rows = rows.select("doc_id", "source", "cluster", "piece", "start", "length")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "source", "cluster"), F.lit(shards)))
+    rows = rows.select("doc_id", "source", "cluster", "piece", "start", "length", "row")
+    # rows that are equal differ in where they are stored, so they spread too; the table is written, so a task that is run again deals them alike
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "source", "cluster", "row"), F.lit(shards))).drop("row")
     return rows.groupBy("shard").applyInPandas(_pack(capacity), SCHEMA)

@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+from lakeaudit.llm import packing
 from lakeaudit.llm.queries import QUERIES
 
 from .test_operators import words
@@ -18,3 +19,14 @@ def test_near_copies_share_no_bin(spark, tmp_path):
     assert len(out) == len(rows) and sum(r["length"] for r in out) == sum(len(t.split()) for _, t, _ in rows)
     near_copies, copies = {"s0", "s1", "s2", "s3", "s7", "s8"}, {"s4", "s5"}
     assert all(len(near_copies & set(b)) <= 1 and len(copies & set(b)) <= 1 for b in bins.values())
+
+
+def test_equal_rows_are_dealt_to_many_shards(spark, monkeypatch):
+    """Copies of one row, null ids too: shards of the planned size, and every row packed."""
+    monkeypatch.setattr(packing, "SHARD", 256)
+    rows = [(7, "a b c d", "s")] * 3000 + [(None, "a b c d", "s")] * 1000
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for near in (None, (5, 80)):
+        out = packing.pack(df, capacity=16, near=near).toPandas()
+        assert len(out) == 4000 and out.groupby("shard").size().max() < 400 and out["shard"].nunique() >= 14
+        assert (out.groupby(["shard", "bin"]).size() == 1).all()  # one source: one to a bin
