@@ -22,11 +22,11 @@ from .project import ProjectConfig, check_project, discover, init_project, load_
 from .sdk import Auditor
 from .sources.mapping import TraceAdapter, load_mapping
 from .sources.policy import Policy, load_policy
-from .sources.trace import load_trace, write_trace, write_trace_parts
+from .sources.trace import load_trace, stream_trace, write_trace, write_trace_parts
 
 __all__ = [
     "AuditError", "AuditResult", "Auditor", "CompliancePolicy", "ConfigError", "ConfigNotFound", "MappingError", "Policy", "PolicyError", "ProjectConfig", "TraceAdapter", "TraceError",
     "audit_events", "audit_external_trace", "audit_trace", "build_conversion_diagnostics", "check_project", "corpus_report", "decision_dict", "discover", "guard_compliance", "guard_text", "init_project",
-    "load_compliance", "load_external_trace", "load_mapping", "load_policy", "load_project", "load_trace", "redact_text", "redacted_trace_events", "safe_decision", "scan_text",
+    "load_compliance", "load_external_trace", "load_mapping", "load_policy", "load_project", "load_trace", "redact_text", "redacted_trace_events", "safe_decision", "scan_text", "stream_trace",
     "write_converted_trace", "write_corpus_report", "write_redacted_trace", "write_trace", "write_trace_parts",
 ]

@@ -110,6 +110,20 @@ def load_trace(spark: SparkSession, path: str, *, strict: bool = True) -> DataFr
     return events.drop("error")
 
 
+def stream_trace(spark: SparkSession, folder: str, *, strict: bool = True) -> DataFrame:
+    """Events of the files of JSON lines that come into a folder, as a stream.
+
+    Numbers are null: they would depend on what came before. strict: a faulty line ends the
+    query with its fault; else it stays, with an error column, for a quarantine.
+    """
+    null = F.lit(None).cast("long")
+    lines = spark.readStream.text(folder).where(F.col("value").rlike("(?U)\\S"))
+    events = parse(lines.select(null.alias("line_no"), null.alias("event_no"), "value"))
+    if not strict:
+        return events
+    return events.withColumn("event_id", F.when(F.col("error").isNull(), F.col("event_id")).otherwise(F.raise_error(F.col("error")))).drop("error")
+
+
 def from_columns(df: DataFrame) -> DataFrame:
     """A trace from any DataFrame with event_id, timestamp, layer and content; what else a trace needs is filled in."""
     have = set(df.columns)
