@@ -35,6 +35,14 @@ TRACE = """select concat('ord_', lpad(cast(o_orderkey as string),8,'0')) as even
   '. Service date: ', cast(cast(o_orderdate as date) as string), ' callback 555-013-', lpad(cast(o_orderkey % 10000 as string),4,'0'), '.') as content from orders"""
 FAULTY = """select case when event_no % 10 = 2 then null else event_id end as event_id, event_no, timestamp,
  case when event_no % 10 = 0 then 'external_vendor' else layer end as layer, case when event_no % 10 = 1 then null else content end as content from ({trace}) f1""".replace("{trace}", TRACE)
+#: Values that rules find in some events and that stand inside longer words, where no rule finds them, in others; some values hold others.
+NESTED = """select concat('n_', cast(o_orderkey as string)) as event_id, cast(o_orderkey as bigint) as event_no, cast(cast(o_orderdate as date) as string) as timestamp, 'tool_output' as layer,
+ case o_orderkey % 4 when 0 then concat('Member ID: MBR-SYN-', lpad(cast(o_custkey as string),8,'0'), '.') when 2 then concat('see https://x.test/MBR-SYN-', lpad(cast(o_custkey as string),8,'0'), ' now')
+ else concat('seen zhttps://x.test/MBR-SYN-', lpad(cast(o_custkey as string),8,'0'), 'z again') end as content from orders"""
+#: JSON content with a value twice in an event, sources of three types, and half of the events from external logs.
+JSON_TRACE = """select concat('j_', cast(o_orderkey as string)) as event_id, cast(o_orderkey as bigint) as event_no, cast(cast(o_orderdate as date) as string) as timestamp,
+ case o_orderkey % 3 when 0 then 'user_message' when 1 then 'memory' else 'debug_log' end as layer, concat('{"type": "t', cast(o_orderkey % 3 as string), '"}') as source, case when o_orderkey % 2 = 0 then 'payload' end as base,
+ concat('{"tool":{"refs":["MBR-SYN-', lpad(cast(o_custkey as string),8,'0'), '","CLM-SYN-', lpad(cast(o_orderkey as string),8,'0'), '"]},"member":"Member ID: MBR-SYN-', lpad(cast(o_custkey as string),8,'0'), '"}') as content from orders"""
 JSON_ORDERS = """select concat('js_', cast(o_orderkey as string)) as event_id, cast(o_orderkey as bigint) as event_no, concat('{"member_id":"Member ID: MBR-SYN-', lpad(cast(o_custkey as string),8,'0'),
  '","tool":{"response":{"claim_id":"CLM-SYN-', lpad(cast(o_orderkey as string),8,'0'), '"}},"messages":[{"role":"user","content":"Service date ', cast(cast(o_orderdate as date) as string), '"}],"n":', cast(o_orderkey % 7 as string), ',"ok":true,"gap":null,"empty":""}') as content from orders"""
 OVERLAP = """select concat('ov_', cast(c_custkey as string)) as event_id, cast(c_custkey as bigint) as event_no, concat('URL https://portal.example.test/member/MBR-SYN-', lpad(cast(c_custkey as string),8,'0'), ' fax=555-013-', lpad(cast(c_custkey % 10000 as string),4,'0'), ' IP 192.0.2.', cast(c_custkey % 256 as string), ' mail c', cast(c_custkey as string), '@example.org end') as content from customer"""

@@ -208,6 +208,28 @@ def redacted_trace(spark, sf_dir):
     return redact_trace(order_trace(spark, sf_dir), POLICY).select("event_id", "redacted_content")
 
 
+@query(f"""with e as ({fx.NESTED}), o as (select cast(o_orderkey as bigint) as event_no, o_custkey, o_orderkey % 4 as k from orders), u as (select distinct o_custkey from o where k = 2), m as (select distinct o_custkey from o where k = 0)
+ select event_id, case k when 0 then 'Member ID: [REDACTED_MEMBER_ID].' when 2 then 'see [REDACTED_URL] now' else case when u.o_custkey is not null then 'seen z[REDACTED_URL]z again' when m.o_custkey is not null then 'seen zhttps://x.test/[REDACTED_MEMBER_ID]z again' else content end end as redacted_content
+ from e join o on e.event_no = o.event_no left join u on u.o_custkey = o.o_custkey left join m on m.o_custkey = o.o_custkey""")
+def redacted_trace_nested(spark, sf_dir):
+    return redact_trace(from_columns(_sql(spark, sf_dir, fx.NESTED)), POLICY).select("event_id", "redacted_content")
+
+
+@query(f"""with e as ({fx.JSON_TRACE}), o as (select e.*, c.o_custkey from e join orders c on e.event_no = c.o_orderkey),
+ f as (select event_no, 0 as seg, event_id, layer, source, base, 'member_id' as category, 'MBR-SYN-' || lpad(cast(o_custkey as varchar), 8, '0') as value, 'tool.refs[0]' as path from o
+  union all select event_no, 1, event_id, layer, source, base, 'claim_id', 'CLM-SYN-' || lpad(cast(event_no as varchar), 8, '0'), 'tool.refs[1]' from o
+  union all select event_no, 2, event_id, layer, source, base, 'member_id', 'MBR-SYN-' || lpad(cast(o_custkey as varchar), 8, '0'), 'member' from o),
+ seen as (select category, value, kind, x, min(event_no * 4 + seg) as pos from (select *, unnest([{{'kind': 'e', 'x': event_id}}, {{'kind': 'l', 'x': layer}}, {{'kind': 's', 'x': source}}, {{'kind': 'p', 'x': '$.' || path}}, {{'kind': 'b', 'x': base || '.' || path}}]) as u from f) q, lateral (select u.kind as kind, u.x as x) v where x is not null group by all),
+ g as (select category, value, count(*) as n from f group by all)
+ select g.category, g.value, g.n as n_findings, {', '.join(f"coalesce(string_agg(x, ' ' order by pos) filter (where kind = '{k}'), '') as {n}" for k, n in (('e', 'event_ids'), ('l', 'layers_seen'), ('s', 'sources'), ('p', 'content_paths'), ('b', 'external_paths')))}
+ from g join seen on g.category = seen.category and g.value = seen.value group by g.category, g.value, g.n""")
+def exposure_lists(spark, sf_dir):
+    events = _sql(spark, sf_dir, fx.JSON_TRACE).withColumn("external_content_paths", F.when(F.col("base").isNotNull(), F.array("base"))).drop("base")
+    out = exposures(find(from_columns(events), POLICY, number=False), number=False)
+    lists = {"event_ids": "event_ids", "layers_seen": "layers_seen", "sources": "sources", "content_paths_seen": "content_paths", "external_content_paths_seen": "external_paths"}
+    return out.select("category", "value", "n_findings", *[F.array_join(c, " ").alias(n) for c, n in lists.items()])
+
+
 _RULES = """case when not phi then [] when service_id is null then ['unknown_service_profile'] else list_filter([
   case when service_id = 'svc_consumer' and phi_status <> 'synthetic' then 'phi_status_not_allowed_for_service' end,
   case when service_id = 'svc_consumer' and phi_status <> 'synthetic' then 'phi_status_requires_baa_but_service_is_not_covered' end,
