@@ -13,8 +13,9 @@ levels, so no task holds more than about the root of the number of tasks.
 
 Defined results: null text counts as empty; an empty text scores as the zero
 vector; without labelled rows of both kinds every score is the share of good
-rows (0.5 without rows); an empty table gives an empty table. Extra columns pass
-through, but for those named like a result column.
+rows (0.5 without rows); an empty table gives an empty table. Repeated rows are
+scored one by one. ``classify`` returns the key and the score; other columns of
+the input don't matter, whatever their names.
 """
 
 from __future__ import annotations
