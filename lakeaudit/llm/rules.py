@@ -37,7 +37,7 @@ class Rule(NamedTuple):
     base: str | None = None
 
 
-#: The rules that make up base_failed.
+#: The rules that make up base_failed. Further ones are wide where a share is coarse: of three lines one that repeats is a third.
 BASE = (Rule("too_few_words", "n_words", "<", 50), Rule("repeated_words", "n_repeat_words", ">", 50, "n_words"))
 TABLE = (
     *BASE,
@@ -45,7 +45,7 @@ TABLE = (
     Rule("long_words", "word_chars", ">", 1000, "n_words"),
     Rule("symbols", "n_symbols", ">", 10, "n_words"),
     Rule("few_stop_words", "n_stop_words", "<", 5, "n_words"),
-    Rule("repeated_lines", "n_dup_lines", ">", 30, "n_lines"),
+    Rule("repeated_lines", "n_dup_lines", ">", 50, "n_lines"),
     Rule("bullets", "n_bullet_lines", ">", 90, "n_lines"),
     Rule("ellipses", "n_ellipsis_lines", ">", 30, "n_lines"),
 )
