@@ -38,7 +38,7 @@ def op4_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_chunks", "n_removed", "text")
+    return linedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *linedup.RESULTS, "text")
 
 
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
