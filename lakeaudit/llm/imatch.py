@@ -4,11 +4,13 @@ Terms (words in lower case) whose document frequency lies in a band of inverse
 document frequency form the lexicon. A fingerprint hashes the sorted distinct
 lexicon terms of a text: over the whole lexicon, over several randomised
 lexicons that each keep most of it, and over many sparse ones. Two texts that
-agree in one of the large ones are duplicates in the sense of I-Match (duplicates).
-These all change when a third of a text does, so likeness reads the sparse ones,
+agree in one of the large ones are duplicates in the sense of I-Match; that verdict
+is returned beside the likeness. These all change when a third of a text does, so
+likeness reads the sparse ones,
 which come at several rates: a subset agrees if all of its terms that either
 text holds are common, so the share of agreeing subsets gives the share of common
-terms (likeness).
+terms. A fingerprint string holds a digest of all hashes, those of the lexicon and its large
+subsets in full and 16 bits of each sparse one; likeness and verdict read two such strings alone.
 
 Document frequencies are counted over all distinct texts, so that copies push no
 term out of the band. The band's lower end is a share of these, so the lexicon has
@@ -47,8 +49,9 @@ SPARSE = len(KINDS) * EACH
 BLOCK, PLAIN_BLOCK = 1 + LARGE + SPARSE, 1 + SPARSE
 #: Weight of the subsets of all terms beside those of the lexicon.
 PLAIN = 0.05
-#: Bytes of text that a task of the neighbour pass should hold.
-CHUNK_BYTES = 32_000_000
+#: Bytes of text that a task of the neighbour pass should get, and the largest number of its ranges: the driver
+#: holds one row for each; a task streams its range, sorted with spilling, so a larger one costs no memory.
+CHUNK_BYTES, RANGES = 32_000_000, 8192
 
 
 def term_sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -140,22 +143,36 @@ def hashes(own: np.ndarray, owner: np.ndarray, n: int, large: int) -> np.ndarray
     return out
 
 
-def duplicates(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two texts agree over the lexicon or one of its large subsets."""
-    return bool(((a[: 1 + LARGE] == b[: 1 + LARGE]) & (a[: 1 + LARGE] != 0)).any())
+def render(parts: np.ndarray) -> str:
+    """The fingerprint string: a digest of all hashes, large subsets in full, 16 bits of each sparse one (their last bit is set unless empty)."""
+    large = parts[: 1 + LARGE].astype(">u8").tobytes().hex()
+    return hashlib.sha256(parts.tobytes()).hexdigest()[:32] + large + parts[1 + LARGE :].astype(">u2").tobytes().hex()
+
+
+def _read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lexicon and its large subsets; the sparse ones, a row for each kind."""
+    data = bytes.fromhex(fingerprint[32:])
+    large, rest = np.frombuffer(data, ">u8", 1 + LARGE), np.frombuffer(data, ">u2", offset=8 * (1 + LARGE))
+    return large, np.concatenate([rest[:SPARSE], rest[SPARSE + 1 :]]).reshape(-1, EACH)
+
 
+def duplicates(a: str, b: str) -> bool:
+    """Whether two fingerprints agree over the lexicon or one of its large subsets; those without lexicon terms only if equal."""
+    x, y = _read(a)[0], _read(b)[0]
+    return a == b or bool(((x == y) & (x != 0)).any())
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of common terms among those of either text.
+
+def likeness(a: str, b: str) -> float:
+    """Estimated share of common terms among those of either text, from their fingerprints.
 
     If subsets hold a mean of m terms of either text, a share e^-m of them holds none; with a share j of
     common terms a used subset agrees with probability (e^(m j) - 1) / (e^m - 1). Rates count by the subsets that
     the text with fewer terms fills, and by unused ones, without which m is unknown; so a text
     without lexicon terms is compared over all terms.
     """
-    if (a == b).all():
+    if a == b:
         return 1.0
-    x, y = (np.concatenate([v[1 + LARGE : BLOCK], v[BLOCK + 1 :]]).reshape(-1, EACH) for v in (a, b))
+    x, y = _read(a)[1], _read(b)[1]
     used = ((x != 0) | (y != 0)).sum(axis=1)
     same = ((x == y) & (x != 0)).sum(axis=1)
     m = -np.log(1 - np.minimum(used, EACH - 0.5) / EACH)
@@ -165,10 +182,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(min(1.0, (share * weight).sum() / max(weight.sum(), 1e-9)))
 
 
-def render(parts: np.ndarray) -> str:
-    return hashlib.sha256(parts.tobytes()).hexdigest()[:32] + parts.astype(">u2").tobytes().hex()
-
-
 def edited(text: str, following: str) -> str:
     """text with its last third replaced by the beginning of the following text."""
     k = len(text) // 3
@@ -192,7 +205,7 @@ def fingerprint(docs: DataFrame, terms: np.ndarray, *, text: str = "text") -> Da
 
 
 def compare_with_next(docs: DataFrame, terms: np.ndarray, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of each text, its edited text and likeness to that and to the next document by falling id.
+    """Fingerprints of each text and its edited text; likeness and duplicate verdict for that and for the next document by falling id.
 
     Ids are cut into ranges by approximate quantiles; each range also gets the
     first document of the range that follows it, so no task sees more than its range.
@@ -201,7 +214,7 @@ def compare_with_next(docs: DataFrame, terms: np.ndarray, *, key: str = "doc_id"
     facts = rows.agg(F.sum(F.octet_length("text").cast("double")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     spark = docs.sparkSession
     # as many ranges as the bytes ask for, and one for each core of a small table
-    n = max(1, min(max(int((facts["bytes"] or 0) / CHUNK_BYTES) + 1, spark.sparkContext.defaultParallelism), facts["n"] or 1))
+    n = max(1, min(max(int((facts["bytes"] or 0) / CHUNK_BYTES) + 1, spark.sparkContext.defaultParallelism), facts["n"] or 1, RANGES))
     bounds = sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
     cuts = spark.sparkContext.broadcast(np.array(bounds, np.int64))
 
@@ -225,7 +238,7 @@ def compare_with_next(docs: DataFrame, terms: np.ndarray, *, key: str = "doc_id"
     return ordered.select("part", "guest", "doc_id", "text").mapInArrow(_compare(spark.sparkContext.broadcast(terms)), COMPARED)
 
 
-COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, duplicate_edited boolean, duplicate_next boolean"
 
 
 def _compare(shared):
@@ -238,7 +251,7 @@ def _compare(shared):
             step = 256
             for at in range(0, batch.num_rows, step):
                 cut = batch.slice(at, step)
-                own = prints.parts(cut.column("text"))
+                own = [render(p) for p in prints.parts(cut.column("text"))]
                 part, guest, ids, texts = (cut.column(c).to_pylist() for c in ("part", "guest", "doc_id", "text"))
                 pairs = []
                 for now in zip(part, guest, ids, texts, own, strict=True):
@@ -246,13 +259,14 @@ def _compare(shared):
                         pairs.append((last, now))
                     last = now
                 changed = [edited(a[3], b[3]) for a, b in pairs]
-                for (a, b), t, p in zip(pairs, changed, prints.parts(pa.array(changed, pa.large_string())), strict=True):
-                    yield a[2], len(a[3]), hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest(), render(a[4]), render(p), likeness(a[4], p), likeness(a[4], b[4])
+                for (a, b), t, p in zip(pairs, changed, map(render, prints.parts(pa.array(changed, pa.large_string()))), strict=True):
+                    digest = hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()
+                    yield a[2], len(a[3]), digest, a[4], p, likeness(a[4], p), likeness(a[4], b[4]), duplicates(a[4], p), duplicates(a[4], b[4])
 
         for batch in batches:
             if batch.num_rows and batch.num_columns == 4:
-                got = list(zip(*rows(batch), strict=True)) or [[]] * 7
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                got = list(zip(*rows(batch), strict=True)) or [[]] * 9
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(g, k) for g, k in zip(got, kinds, strict=True)], names=[x.split()[0] for x in COMPARED.split(", ")])
 
     return run

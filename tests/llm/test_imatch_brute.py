@@ -45,8 +45,13 @@ def test_fingerprints_and_likeness_against_brute_force(spark):
         following = i - 1 if i else len(texts) - 1
         changed = np.array(brute(imatch.edited(t or "", texts[following] or ""), known), np.uint64)
         row = got[i]
-        assert row["fingerprint"] == imatch.render(parts[i]) and row["edited_fingerprint"] == imatch.render(changed)
-        assert row["near_edited"] == imatch.likeness(parts[i], changed) and row["near_next"] == imatch.likeness(parts[i], parts[following])
+        own, edit, other = (imatch.render(p) for p in (parts[i], changed, parts[following]))
+        assert row["fingerprint"] == own and row["edited_fingerprint"] == edit
+        assert row["near_edited"] == imatch.likeness(own, edit) and row["near_next"] == imatch.likeness(own, other)
+        same = [[int(x) for x in p[: 1 + imatch.LARGE]] for p in (parts[i], changed, parts[following])]
+        verdict = [same[0] == o or any(x and x == y for x, y in zip(same[0], o, strict=True)) for o in same[1:]]
+        for given, said, o in zip(("duplicate_edited", "duplicate_next"), verdict, (edit, other), strict=True):
+            assert row[given] == (own == o if not same[0][0] else said)
     printed = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprint(frame, lexicon).collect()}
     assert printed == {i: r["fingerprint"] for i, r in got.items()}
 
@@ -61,13 +66,21 @@ def test_likeness_estimates_common_terms():
                 both, rest = int(share * size), size - int(share * size)
                 a, b = terms[: both + rest // 2], np.r_[terms[:both], terms[both + rest // 2 :]]
                 x, y = (np.hstack([imatch.hashes(np.sort(t), np.zeros(len(t), np.int64), 1, c) for c in (imatch.LARGE, 0)])[0] for t in (a, b))
-                found.append(imatch.likeness(x, y))
+                found.append(imatch.likeness(imatch.render(x), imatch.render(y)))
             assert abs(np.mean(found) - int(share * size) / size) < 0.12
 
 
 def test_duplicates_share_a_large_subset():
     terms = np.sort(np.random.default_rng(3).integers(1, 2**63, 60).astype(np.uint64))
-    near, far = np.delete(terms, 7), terms[::2]
-    a, b, c = (np.hstack([imatch.hashes(t, np.zeros(len(t), np.int64), 1, k) for k in (imatch.LARGE, 0)])[0] for t in (terms, near, far))
+    show = lambda t: imatch.render(np.hstack([imatch.hashes(t, np.zeros(len(t), np.int64), 1, k) for k in (imatch.LARGE, 0)])[0])
+    a, c = show(terms), show(terms[::2])
     assert imatch.duplicates(a, a) and not imatch.duplicates(a, c)
-    assert sum(imatch.duplicates(a, np.hstack([imatch.hashes(np.delete(terms, i), np.zeros(59, np.int64), 1, k) for k in (imatch.LARGE, 0)])[0]) for i in range(60)) > 25
+    assert sum(imatch.duplicates(a, show(np.delete(terms, i))) for i in range(60)) > 25
+
+
+def test_ranges_stay_bounded(spark, monkeypatch):
+    frame = docs(spark, [words(i, 40) for i in range(50)]).select("doc_id", "text")
+    lexicon = imatch.lexicon(frame, rare=0.02, common=0.5)
+    whole = sorted(imatch.compare_with_next(frame, lexicon).collect())
+    monkeypatch.setattr(imatch, "RANGES", 2)
+    assert sorted(imatch.compare_with_next(frame, lexicon).collect()) == whole
