@@ -32,11 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import release
 
 #: The band: least and largest share of the documents that hold a term.
 RARE, COMMON = 1 / 1000, 1 / 4
@@ -49,6 +49,8 @@ SPARSE = len(KINDS) * EACH
 BLOCK, PLAIN_BLOCK = 1 + LARGE + SPARSE, 1 + SPARSE
 #: Weight of the subsets of all terms beside those of the lexicon.
 PLAIN = 0.05
+#: Bits that mark the hashes of repeated texts.
+MARKS = 1 << 28
 #: Bytes of text that a task of the neighbour pass should get, and the largest number of its ranges: the driver
 #: holds one row for each; a task streams its range, sorted with spilling, so a larger one costs no memory.
 CHUNK_BYTES, RANGES = 32_000_000, 8192
@@ -87,13 +89,42 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield send()
 
 
+def _split(marks: Broadcast, marked: bool):
+    """The texts (column 0) whose hash (column 1) is marked, or is not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, bits = marks.value
+        for batch in batches:
+            place = batch.column(1).to_numpy() & (MARKS - 1)
+            hit = np.zeros(batch.num_rows, bool)
+            if len(words):
+                at = np.minimum(np.searchsorted(words, place >> 6), len(words) - 1)
+                hit = (words[at] == place >> 6) & (bits[at] >> (place & 63) & 1 == 1)
+            yield batch.select([0]).filter(pa.array(hit == marked))
+
+    return run
+
+
 def lexicon(docs: DataFrame, *, text: str = "text", rare: float = RARE, common: float = COMMON) -> np.ndarray:
-    """Sorted hashes of the terms in the band; counts cover all distinct texts."""
-    total = docs.select(F.xxhash64(text)).distinct().count()
-    counts = docs.select(text).distinct().mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    got = counts.where((F.col("n") >= max(2.0, rare * total)) & (F.col("n") <= max(2.0, common * total))).select("term").toArrow()
-    release(docs.sparkSession)  # the distinct texts
-    return np.sort(got["term"].to_numpy().view(np.uint64))
+    """Sorted hashes of the terms in the band; counts cover all distinct texts.
+
+    Only texts that may occur more than once pass through an exchange, which leaves one of each; the
+    others are counted where they are read. Which may is told by MARKS bits over the hashes of the
+    repeated ones; further ones only make more texts pass.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    total = groups.count()
+    place = groups.where("n > 1").selectExpr(f"h & {MARKS - 1} as p").selectExpr("shiftright(p, 6) as word", "shiftleft(1L, cast(p & 63 as int)) as bit")
+    got = place.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().sort_by("word")  # MARKS / 64 rows at most
+    marks = spark.sparkContext.broadcast((got["word"].to_numpy(), got["bits"].to_numpy()))
+    once, repeated = _split(marks, False), _split(marks, True)
+    alone = rows.mapInArrow(lambda batches: _frequencies(once(batches)), "term long, n long")
+    copied = rows.mapInArrow(repeated, "text string").distinct().mapInArrow(_frequencies, "term long, n long")
+    counts = alone.union(copied).groupBy("term").agg(F.sum("n").alias("n"))
+    terms = counts.where((F.col("n") >= max(2.0, rare * total)) & (F.col("n") <= max(2.0, common * total))).select("term").toArrow()
+    return np.sort(terms["term"].to_numpy().view(np.uint64))
 
 
 class Fingerprints:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from lakeaudit.llm import imatch
 
 from .test_operators import docs, words
@@ -27,3 +28,19 @@ def test_few_lexicon_terms_on_one_side():
     none, one = some.parts(pa.array([a, b]))
     assert not none[0] and one[0] and imatch.likeness(imatch.render(none), imatch.render(one)) > 0.3
     assert imatch.likeness(*map(imatch.render, prints.parts(pa.array([a, b])))) == imatch.likeness(imatch.render(none), imatch.render(one))
+
+
+def test_lexicon_counts_distinct_texts_once(spark, monkeypatch):
+    texts = [words(i % 9, 30 + i % 9) for i in range(20)] + [words(40 + i, 30) for i in range(20)] + [None, None, "", ""]
+    frame = docs(spark, texts).select("doc_id", "text")
+    seen = {}
+    for t in {t or "" for t in texts}:
+        for own, _ in imatch.term_sets(pa.array([t], pa.large_string())):
+            for x in own:
+                seen[int(x)] = seen.get(int(x), 0) + 1
+    total = len(set(texts))  # null and empty text are two texts without terms
+    want = sorted(x for x, n in seen.items() if max(2.0, 0.05 * total) <= n <= max(2.0, 0.3 * total))
+    for marks in (imatch.MARKS, 64):
+        monkeypatch.setattr(imatch, "MARKS", marks)
+        assert [int(x) for x in imatch.lexicon(frame, rare=0.05, common=0.3)] == want and want
+    assert len(imatch.lexicon(frame.where("false"))) == 0
