@@ -112,13 +112,15 @@ def _seeds(rows: DataFrame, met: DataFrame, text: str) -> DataFrame:
     own = "(frow = __row and fat = at)"
     # equal rows of the table show their chunks once each
     firsts = around.where(own).groupBy("h").agg(F.first("before").alias("fbefore"), F.first("after").alias("fafter"))
-    later = around.where(f"not {own}").select("h", "__row", "at", "frow", "fat", "before", "after").join(differ.hint("merge"), "h", "left_anti").join(firsts.hint("merge"), "h")
+    # written, so that the planner can split the places of a hash that many texts hold where they join
+    firsts = materialise(firsts.join(differ.hint("merge"), "h", "left_anti"), "firsts")
+    later = around.where(f"not {own}").select("h", "__row", "at", "frow", "fat", "before", "after").join(firsts.hint("merge"), "h")
     back, on = (F.expr(_common(c, f"f{c}")) for c in ("before", "after"))
     free = F.expr(f"cast({FIRST.format('at')} - {LAST.format('fat')} as int) - 1")
     later = later.withColumn("back", F.when(F.expr("frow = __row"), F.least(back, free)).otherwise(back)).withColumn("on", on)
     seeds = later.selectExpr("__row", f"{_packed(FIRST.format('at') + ' - back', LAST.format('at') + ' + on')} as at")
     seeds = materialise(seeds, "seeds")
-    discard(around, differ)
+    discard(around, differ, firsts)
     return seeds
 
 
