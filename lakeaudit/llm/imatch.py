@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .common import release
 
 #: The band: least and largest share of the documents that hold a term.
 RARE, COMMON = 1 / 1000, 1 / 4
@@ -124,6 +125,7 @@ def lexicon(docs: DataFrame, *, text: str = "text", rare: float = RARE, common:
     copied = rows.mapInArrow(repeated, "text string").distinct().mapInArrow(_frequencies, "term long, n long")
     counts = alone.union(copied).groupBy("term").agg(F.sum("n").alias("n"))
     terms = counts.where((F.col("n") >= max(2.0, rare * total)) & (F.col("n") <= max(2.0, common * total))).select("term").toArrow()
+    release(spark)  # the counts
     return np.sort(terms["term"].to_numpy().view(np.uint64))
 
 
