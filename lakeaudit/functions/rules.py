@@ -44,6 +44,11 @@ TABLE = [
     ("url", 0.90, "i", "Matched a URL.", r"\b", r"https?://[^\s<>\]\)\"']+", "", ["http"]),
     ("ip_address", 0.90, "", "Matched an IPv4 address.", r"\b", rf"(?:{_OCTET}\.){{3}}{_OCTET}", r"\b", []),
 ]
+#: How matches of each rule begin, in lower case for rules of either case: a pattern of one width, and the width; None: anyhow.
+STARTS = [
+    ("Pat|Mem|Sub|Nam|Ful|Eme|Spo", 3), ("Pat|Mem|Sub|Nam", 3), ("dob|dat|bir", 3), ("adm|dis|dat|ser|app|dea|vis", 3), (r"[(+0-9](?<![0-9][(+0-9])", 1), ("fax|fac", 3), None, ("ssn|soc", 3), ("add", 3), (r"[0-9](?<![0-9A-Za-z_][0-9])", 1), ("po|p[.]", 2),
+    ("zip|pos", 3), ("mem|sub|ben|hea", 3), ("mbr", 3), ("cla|aut", 3), ("clm", 3), ("mrn|med|rec", 3), ("pol", 3), ("gro", 3), ("acc", 3), ("lic|cer", 3), ("vin|veh|lic|pla", 3), ("dev|ser", 3), None, (r"[0-9](?:[.][0-9][\s\S]|[0-9][.][0-9]|[0-9][0-9][.])", 4),
+]
 LAYERS = ["user_message", "rag_context", "tool_output", "model_input", "memory", "debug_log"]
 DESTINATION_LAYERS = [*LAYERS, "model_provider"]
 RANK = {"allowed": 0, "redact": 1, "violation": 2}

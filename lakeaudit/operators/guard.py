@@ -23,11 +23,13 @@ def scan(df: DataFrame, policy: Policy, *, text: str = "text", layer: str = "lay
     known = F.when(F.col(layer).isin(*LAYERS), F.col(layer)).otherwise(F.raise_error(F.concat(F.lit("unsupported layer "), F.coalesce(F.col(layer), F.lit("null")))))
     out = detect(spread(df.withColumn("__layer", known)), text, "__c", analyzer)
 
-    def decided(c):
-        d = policy.lookup(c["category"], F.col("__layer"))
+    def decided(x):
+        c, d = x["c"], x["d"]
         return F.struct(*[c[f].alias(f) for f in ("category", "value", "start", "end", "confidence", "reason")], *[d[f].alias(f) for f in ("disposition", "risk", "rule", "redaction")], redaction_action(d["disposition"]).alias("redaction_action"))
 
-    return out.withColumn("findings", F.transform("__c", decided)).drop("__c", "__layer")
+    # the policy is looked up once for each candidate
+    looked = F.transform("__c", lambda c: F.struct(c.alias("c"), policy.lookup(c["category"], F.col("__layer")).alias("d")))
+    return out.withColumn("findings", F.transform(looked, decided)).drop("__c", "__layer")
 
 
 def guard(df: DataFrame, policy: Policy, mode: str = "report_only", *, text: str = "text", layer: str = "layer", analyzer: Callable[[], object] | None = None) -> DataFrame:

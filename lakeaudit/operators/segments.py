@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.detect import WINDOW, candidates, candidates_of
+from ..functions import bulk
+from ..functions.detect import WINDOW
 from ..functions.stage import spread
 
 
@@ -53,26 +56,50 @@ def segments(events: DataFrame, content: str = "content") -> DataFrame:
 FOUND = "array<struct<seg_no:int,content_path:string,category:string,value:string,start:int,end:int,confidence:double,reason:string,detector:string>>"
 
 
-def segment_candidates(events: DataFrame, content: str = "content", analyzer: Callable[[], object] | None = None) -> DataFrame:
-    """events without their content, with found: the candidates of all segments, in order. One pass, and segments without candidates never leave it."""
+def segment_candidates(events: DataFrame, content: str = "content", analyzer: Callable[[], object] | None = None, *, cuts: np.ndarray | None = None, raw: bool = False) -> DataFrame:
+    """events without their content, with found: the candidates of all segments, in order. One pass, and segments without candidates never leave it.
+
+    cuts: a column part, the number of cuts below event_no. raw: a column raw, the categories of the candidates in the content as a whole.
+    """
     kept = [c for c in events.columns if c != content]
-    schema = T.StructType([*[events.schema[c] for c in kept], T.StructField("found", T._parse_datatype_string(FOUND))])
-    texts = ["content_path", "category", "value", "reason", "detector"]
-    kind = pa.list_(pa.struct([(f.name, pa.string() if f.name in texts else pa.float64() if f.name == "confidence" else pa.int32()) for f in schema["found"].dataType.elementType]))
-
-    def of(value: pa.StringScalar, engine: object) -> list[dict]:
-        body = value.as_buffer()
-        if body is None:
-            return []
-        if body.size > WINDOW and memoryview(body)[:WINDOW].tobytes().lstrip()[:1] not in (b"{", b"["):
-            return [{"seg_no": 0, "content_path": None, **c} for c in candidates(body, engine)]
-        return [{"seg_no": i, "content_path": path, **c} for i, (path, text) in enumerate(leaves(str(body, "utf-8"))) for c in candidates_of(text, engine)]
+    more = [T.StructField("found", T._parse_datatype_string(FOUND))]
+    more += [T.StructField("part", T.IntegerType())] * (cuts is not None) + [T.StructField("raw", T.ArrayType(T.StringType()))] * raw
+    schema = T.StructType([*[events.schema[c] for c in kept], *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = analyzer() if analyzer else None
         for b in batches:
-            found = pa.array([of(v, engine) for v in b.column(content)], kind)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], found], names=[*kept, "found"])
+            for part, texts in bulk.read(b, content):
+                yield one(part, texts, engine)
+
+    def one(b: pa.RecordBatch, texts: list, engine: object) -> pa.RecordBatch:
+        event, number, paths, own = [], [], [], []
+        for i, t in enumerate(texts):
+            if isinstance(t, pa.Buffer):  # longer than a window: read in pieces, unless it is JSON
+                t = str(t, "utf-8") if memoryview(t)[:WINDOW].tobytes().lstrip()[:1] in (b"{", b"[") else t
+            cut = [(None, t)] if t is None or isinstance(t, pa.Buffer) else leaves(t)
+            event += [i] * len(cut)
+            number += range(len(cut))
+            paths += [p for p, _ in cut]
+            own += [x for _, x in cut]
+        owner, found = bulk.found_in(own, engine)
+        event, at = np.array(event, np.int64), pa.array(owner)
+        named = [pa.array(number, pa.int32()).take(at), pa.array(paths, pa.string()).take(at), *found.flatten()]
+        rows = pa.StructArray.from_arrays(named, names=["seg_no", "content_path", *[n for n, _ in bulk.FIELDS]])
+        new = {"found": bulk.lists_of(event[owner], rows, b.num_rows)}
+        if cuts is not None:
+            new["part"] = pa.array(np.searchsorted(cuts, pc.fill_null(b.column("event_no"), 0).to_numpy(zero_copy_only=False)), pa.int32())
+        if raw:
+            # content that is one segment as it stands has its candidates already
+            split = np.zeros(b.num_rows, bool)
+            split[event[np.array([p is not None for p in paths], bool)]] = True
+            other, found_raw = bulk.found_in([t if s else None for t, s in zip(texts, split.tolist(), strict=True)], engine)
+            whole = np.flatnonzero(~split[event[owner]])
+            owners = np.concatenate([event[owner][whole], other])
+            order = np.argsort(owners, kind="stable")
+            kinds = pa.concat_arrays([found.field("category").take(pa.array(whole)), found_raw.field("category")])
+            new["raw"] = bulk.lists_of(owners[order], kinds.take(pa.array(order)), b.num_rows)
+        return pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *new.values()], names=[*kept, *new])
 
     return spread(events).mapInArrow(run, schema)
 
