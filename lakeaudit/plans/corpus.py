@@ -9,8 +9,8 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.detect import detect
-from ..operators.findings import find
+from ..functions.stage import staged
+from ..operators.segments import segment_candidates
 from ..sources.policy import Policy
 from ..sources.trace import load_trace
 
@@ -19,18 +19,22 @@ def coverage(events: DataFrame, policy: Policy) -> DataFrame:
     """One row for each trace: events, findings, exposures, and candidates by category and layer. events: a trace column too.
 
     Categories and layers count candidates in the raw content; findings and
-    exposures follow the segments. Layers without candidates count 0.
+    exposures follow the segments. Layers without candidates count 0. The content is read once.
     """
-    base = events.groupBy("trace").agg(F.count(F.lit(1)).alias("events"))
-    keyed = events.withColumn("event_no", F.struct("trace", "event_no"))
-    found = find(keyed, policy, number=False).withColumn("trace", F.col("event_no.trace"))
-    facts = found.groupBy("trace").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("category", "value").alias("exposures"))
-    raw = detect(events.select("trace", "layer", "content")).select("trace", "layer", "candidates")
-    by_category = raw.select("trace", F.explode("candidates").alias("c")).groupBy("trace", "c.category").count().groupBy("trace").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "count")))).alias("categories"))
-    by_layer = raw.groupBy("trace", "layer").agg(F.sum(F.size("candidates")).alias("n")).groupBy("trace").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("layer", "n")))).alias("layers"))
-    out = base.join(facts, "trace", "left").join(by_category, "trace", "left").join(by_layer, "trace", "left")
+    rows = segment_candidates(events.select("trace", "layer", "content"), raw=True)
+    fact = lambda kind, layer=None, category=None, value=None: F.struct(F.lit(kind).alias("kind"), *[(F.lit(None).cast("string") if c is None else c).alias(n) for n, c in (("layer", layer), ("category", category), ("value", value))])
+    facts = F.concat(F.array(fact("event", F.col("layer"))), F.transform("found", lambda c: fact("finding", None, c["category"], c["value"])), F.transform("raw", lambda c: fact("raw", F.col("layer"), c)))
+    tally = rows.select("trace", F.explode(facts).alias("f")).groupBy("trace", "f.kind", "f.layer", "f.category", "f.value").agg(F.count(F.lit(1)).alias("n"))
+    # a few rows for each trace from here on
+    tally = staged(tally.groupBy("trace", "kind", "layer", "category").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values")), "coverage")
+    is_ = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col(c)).otherwise(0))
+    base = tally.groupBy("trace").agg(is_("event", "n").alias("events"), is_("finding", "n").alias("findings"), is_("finding", "values").alias("exposures"))
+    entries = lambda key, n: F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, n))))
+    by_category = tally.where("kind = 'raw'").groupBy("trace", "category").agg(F.sum("n").alias("count")).groupBy("trace").agg(entries("category", "count").alias("categories"))
+    by_layer = tally.where("kind <> 'finding'").groupBy("trace", "layer").agg(is_("raw", "n").alias("n")).groupBy("trace").agg(entries("layer", "n").alias("layers"))
+    out = base.join(by_category, "trace", "left").join(by_layer, "trace", "left")
     empty = F.create_map().cast("map<string,bigint>")
-    return out.fillna(0, ["findings", "exposures"]).withColumn("categories", F.coalesce("categories", empty)).withColumn("layers", F.coalesce("layers", empty))
+    return out.withColumn("categories", F.coalesce("categories", empty)).withColumn("layers", F.coalesce("layers", empty))
 
 
 def evaluate(row: dict, expected: dict | None) -> dict:
