@@ -173,7 +173,7 @@ l as (select category, value, string_agg(layer, ',' order by m) as layers_seen f
 @query(f"""{_EXPOSED} select printf('exposure-%03d', row_number() over (order by -g.r, first_seen_event_id, g.category, g.value)) as exposure_id, g.category, g.value, value_hash, finding_ids, layers_seen,
   first_seen_event_id, worst_disposition, worst_layer, {ACTION.format('worst_disposition', 'worst_layer')} as action from g join l on g.category = l.category and g.value = l.value""")
 def boundary_exposures(spark, sf_dir):
-    out = exposures(find(order_trace(spark, sf_dir), POLICY))
+    out = exposures(find(order_trace(spark, sf_dir), POLICY), lists=["finding_ids"])
     return out.select("exposure_id", "category", "value", "value_hash", F.array_join("finding_ids", ",").alias("finding_ids"), F.array_join("layers_seen", ",").alias("layers_seen"), "first_seen_event_id", "worst_disposition", "worst_layer", F.col("recommended_boundary_action").alias("action"))
 
 
@@ -225,8 +225,8 @@ def redacted_trace_nested(spark, sf_dir):
  from g join seen on g.category = seen.category and g.value = seen.value group by g.category, g.value, g.n""")
 def exposure_lists(spark, sf_dir):
     events = _sql(spark, sf_dir, fx.JSON_TRACE).withColumn("external_content_paths", F.when(F.col("base").isNotNull(), F.array("base"))).drop("base")
-    out = exposures(find(from_columns(events), POLICY, number=False), number=False)
     lists = {"event_ids": "event_ids", "layers_seen": "layers_seen", "sources": "sources", "content_paths_seen": "content_paths", "external_content_paths_seen": "external_paths"}
+    out = exposures(find(from_columns(events), POLICY, number=False), number=False, lists=list(lists))
     return out.select("category", "value", "n_findings", *[F.array_join(c, " ").alias(n) for c, n in lists.items()])
 
 
@@ -252,7 +252,7 @@ def compliance_decision(spark, sf_dir):
 
 def _external(spark, sf_dir):
     lines = _sql(spark, sf_dir, fx.EXTERNAL)
-    return apply_mapping(numbered(lines, ["line_no"], "event_no"), fx.MAPPING)
+    return apply_mapping(numbered(lines, ["line_no"], "event_no", cheap=True), fx.MAPPING)
 
 
 _ADAPTED = """with x as (select cast(event_id as bigint) + 1 as line_no, row_number() over (order by event_id) as no, * from events),
