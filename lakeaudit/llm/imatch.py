@@ -27,6 +27,7 @@ ordered by text; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -70,38 +71,53 @@ def term_sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield h[first], np.bincount(owner[first], minlength=hi - lo)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, documents) summed within a task, in bounded runs."""
-    held, size = [], 0
+def _frequencies(batches: Iterator[pa.RecordBatch], share: float = 0.0, known: tuple[np.ndarray, np.ndarray, int] | None = None) -> Iterator[pa.RecordBatch]:
+    """(term, documents) summed within a task, in bounded runs: of terms that a share of the run's documents hold, and whose marks are known."""
+    held, size, docs = [], 0, 0
 
     def send() -> pa.RecordBatch:
         u, n = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["term", "n"])
+        keep = n >= share * docs * (1 - 1e-9)
+        if known is not None:
+            keep &= _marked(known, u.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(u[keep].view(np.int64)), pa.array(n[keep])], names=["term", "n"])
 
     for batch in batches:
-        for s, _ in term_sets(batch.column(0)):
+        for s, counts in term_sets(batch.column(0)):
             held.append(s)
             size += len(s)
+            docs += len(counts)
             if size > 4_000_000:
                 yield send()
-                size = 0
+                held.clear()
+                size = docs = 0
     if held:
         yield send()
 
 
+def _marks(hashes: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The words of MARKS bits that hold the bits of hashes (h), these bits, and what masks a hash."""
+    place = hashes.selectExpr(f"h & {MARKS - 1} as p").selectExpr("shiftright(p, 6) as word", "shiftleft(1L, cast(p & 63 as int)) as bit")
+    got = place.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().sort_by("word")  # MARKS / 64 rows at most
+    return got["word"].to_numpy(), got["bits"].to_numpy(), MARKS - 1
+
+
+def _marked(marks: tuple[np.ndarray, np.ndarray, int], hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit."""
+    words, bits, mask = marks
+    place, hit = hashes & mask, np.zeros(len(hashes), bool)
+    if len(words):
+        at = np.minimum(np.searchsorted(words, place >> 6), len(words) - 1)
+        hit = (words[at] == place >> 6) & (bits[at] >> (place & 63) & 1 == 1)
+    return hit
+
+
 def _split(marks: Broadcast, marked: bool):
     """The texts (column 0) whose hash (column 1) is marked, or is not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bits = marks.value
         for batch in batches:
-            place = batch.column(1).to_numpy() & (MARKS - 1)
-            hit = np.zeros(batch.num_rows, bool)
-            if len(words):
-                at = np.minimum(np.searchsorted(words, place >> 6), len(words) - 1)
-                hit = (words[at] == place >> 6) & (bits[at] >> (place & 63) & 1 == 1)
-            yield batch.select([0]).filter(pa.array(hit == marked))
+            yield batch.select([0]).filter(pa.array(_marked(marks.value, batch.column(1).to_numpy()) == marked))
 
     return run
 
@@ -113,20 +129,31 @@ def lexicon(docs: DataFrame, *, text: str = "text", rare: float = RARE, common:
     others are counted where they are read. Which may is told by MARKS bits over the hashes of the
     repeated ones; further ones only make more texts pass.
     """
+    terms = _terms(docs, text, rare, common)
+    # only now, as the plans of the counts are no longer held here, can their shuffles go; the neighbour pass needs the disk
+    gc.collect()
+    release(docs.sparkSession)
+    return np.sort(terms)
+
+
+def _terms(docs: DataFrame, text: str, rare: float, common: float) -> np.ndarray:
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     total = groups.count()
-    place = groups.where("n > 1").selectExpr(f"h & {MARKS - 1} as p").selectExpr("shiftright(p, 6) as word", "shiftleft(1L, cast(p & 63 as int)) as bit")
-    got = place.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().sort_by("word")  # MARKS / 64 rows at most
-    marks = spark.sparkContext.broadcast((got["word"].to_numpy(), got["bits"].to_numpy()))
+    marks = spark.sparkContext.broadcast(_marks(groups.where("n > 1")))
     once, repeated = _split(marks, False), _split(marks, True)
-    alone = rows.mapInArrow(lambda batches: _frequencies(once(batches)), "term long, n long")
-    copied = rows.mapInArrow(repeated, "text string").distinct().mapInArrow(_frequencies, "term long, n long")
-    counts = alone.union(copied).groupBy("term").agg(F.sum("n").alias("n"))
-    terms = counts.where((F.col("n") >= max(2.0, rare * total)) & (F.col("n") <= max(2.0, common * total))).select("term").toArrow()
-    release(spark)  # the counts
-    return np.sort(terms["term"].to_numpy().view(np.uint64))
+    distinct = rows.mapInArrow(repeated, "text string").distinct()
+    low, high = max(2.0, rare * total), max(2.0, common * total)
+
+    def counts(run) -> DataFrame:
+        return rows.mapInArrow(lambda batches: run(once(batches)), "term long, n long").union(distinct.mapInArrow(run, "term long, n long"))
+
+    # a term that less than the band's share of the documents of every run hold is below the band, so the counts of the many rare terms never move
+    share = low / max(total, 1)
+    likely = spark.sparkContext.broadcast(_marks(counts(lambda batches: _frequencies(batches, share)).selectExpr("term as h")))
+    terms = counts(lambda batches: _frequencies(batches, known=likely.value)).groupBy("term").agg(F.sum("n").alias("n")).where((F.col("n") >= low) & (F.col("n") <= high)).select("term").toArrow()
+    return terms["term"].to_numpy().view(np.uint64)
 
 
 class Fingerprints:

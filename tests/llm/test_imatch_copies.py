@@ -44,3 +44,15 @@ def test_lexicon_counts_distinct_texts_once(spark, monkeypatch):
         monkeypatch.setattr(imatch, "MARKS", marks)
         assert [int(x) for x in imatch.lexicon(frame, rare=0.05, common=0.3)] == want and want
     assert len(imatch.lexicon(frame.where("false"))) == 0
+
+
+def test_counts_of_rare_terms_stay_in_their_tasks():
+    """A run sends what may reach the band, and of what is known all of it."""
+    texts = pa.record_batch([pa.array([f"often rare{i} w{i % 2}" for i in range(100)])], names=["text"])
+    (every,), (likely,) = list(imatch._frequencies(iter([texts]))), list(imatch._frequencies(iter([texts]), 0.05))
+    assert every.num_rows == 103 and sorted(likely["n"].to_pylist()) == [50, 50, 100]
+    own = likely["term"].to_numpy()
+    marks = np.unique((own & (imatch.MARKS - 1)) >> 6)
+    bits = np.array([np.bitwise_or.reduce([1 << (int(x) & 63) for x in own if (x & (imatch.MARKS - 1)) >> 6 == w]) for w in marks]).astype(np.uint64).view(np.int64)
+    (known,) = list(imatch._frequencies(iter([texts]), known=(marks, bits, imatch.MARKS - 1)))
+    assert set(own.tolist()) <= set(known["term"].to_pylist()) and known.num_rows < 10
