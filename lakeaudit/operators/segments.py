@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,13 +56,16 @@ def segments(events: DataFrame, content: str = "content") -> DataFrame:
 FOUND = "array<struct<seg_no:int,content_path:string,category:string,value:string,start:int,end:int,confidence:double,reason:string,detector:string>>"
 
 
-def segment_candidates(events: DataFrame, content: str = "content", analyzer: Callable[[], object] | None = None, *, cuts: np.ndarray | None = None, raw: bool = False) -> DataFrame:
+def segment_candidates(events: DataFrame, content: str = "content", analyzer: Callable[[], object] | None = None, *, cuts: np.ndarray | None = None, raw: bool = False, fields: Sequence[str] | None = None) -> DataFrame:
     """events without their content, with found: the candidates of all segments, in order. One pass, and segments without candidates never leave it.
 
     cuts: a column part, the number of cuts below event_no. raw: a column raw, the categories of the candidates in the content as a whole.
+    fields: those of the candidates' fields that are wanted, in the order of FOUND; no others leave the pass.
     """
     kept = [c for c in events.columns if c != content]
-    more = [T.StructField("found", T._parse_datatype_string(FOUND))]
+    of = T._parse_datatype_string(FOUND).elementType
+    names = [n for n in of.names if fields is None or n in fields]
+    more = [T.StructField("found", T.ArrayType(T.StructType([of[n] for n in names])))]
     more += [T.StructField("part", T.IntegerType())] * (cuts is not None) + [T.StructField("raw", T.ArrayType(T.StringType()))] * raw
     schema = T.StructType([*[events.schema[c] for c in kept], *more])
 
@@ -84,8 +87,8 @@ def segment_candidates(events: DataFrame, content: str = "content", analyzer: Ca
             own += [x for _, x in cut]
         owner, found = bulk.found_in(own, engine)
         event, at = np.array(event, np.int64), pa.array(owner)
-        named = [pa.array(number, pa.int32()).take(at), pa.array(paths, pa.string()).take(at), *found.flatten()]
-        rows = pa.StructArray.from_arrays(named, names=["seg_no", "content_path", *[n for n, _ in bulk.FIELDS]])
+        own_place = {"seg_no": lambda: pa.array(number, pa.int32()).take(at), "content_path": lambda: pa.array(paths, pa.string()).take(at)}
+        rows = pa.StructArray.from_arrays([own_place[n]() if n in own_place else found.field(n) for n in names], names=names)
         new = {"found": bulk.lists_of(event[owner], rows, b.num_rows)}
         if cuts is not None:
             new["part"] = pa.array(np.searchsorted(cuts, pc.fill_null(b.column("event_no"), 0).to_numpy(zero_copy_only=False)), pa.int32())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.detect import detect
 from ..functions.stage import spread
 from ..operators.compliance import guard_compliance, parse_compliance
-from ..operators.findings import display, exposures, find, numbered, summary
+from ..operators.findings import display, exposures, find, numbered, seen, summary
 from ..operators.guard import guard, redact_trace
 from ..operators.segments import external_path, segments
 from ..sources.mapping import apply_mapping, counts
@@ -181,7 +181,7 @@ def boundary_exposures(spark, sf_dir):
   union all select 'category', category, count(*) from ranked group by category union all select 'worst_disposition', worst_disposition, count(*) from g group by worst_disposition
   union all select 'total', 'findings', count(*) from ranked union all select 'total', 'high_risk', count(*) from ranked union all select 'total', 'exposures', count(*) from g""")
 def audit_summary(spark, sf_dir):
-    return summary(find(order_trace(spark, sf_dir), POLICY, number=False))
+    return summary(seen(order_trace(spark, sf_dir)), POLICY)
 
 
 REDACTED = "replace(replace(replace(replace(content, regexp_extract(content, 'CLM-SYN-[0-9]+'), '[REDACTED_CLAIM_ID]'), regexp_extract(content, 'MBR-SYN-[0-9]+'), '[REDACTED_MEMBER_ID]'), regexp_extract(content, 'Service date: ([0-9-]+)', 1), '[REDACTED_DATE]'), regexp_extract(content, '555-013-[0-9]+'), '[REDACTED_PHONE]')"
