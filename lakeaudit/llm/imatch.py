@@ -278,12 +278,7 @@ def compare_with_next(docs: DataFrame, terms: np.ndarray, *, key: str = "doc_id"
     bounds = sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
     cuts = spark.sparkContext.broadcast(np.array(bounds, np.int64))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).fill_null(-(2**63)).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts.value, ids, "left")), *batch.columns], names=["part", "doc_id", "text"])
-
-    dealt = rows.mapInArrow(deal, "part long, doc_id long, text string")
+    dealt = rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_pack(cuts), PACKED)
     ids = rows.select("doc_id", F.xxhash64("text").alias("h")).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts.value, b.column(0).fill_null(-(2**63)).to_numpy(), "left")), *b.columns], names=["part", "doc_id", "h"]) for b in bs), "part long, doc_id long, h long")
     heads = ids.groupBy("part").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), "h")).alias("top")).collect()  # one row for each range
     heads = sorted((r["part"], r["top"]["i"], r["top"]["h"]) for r in heads)
@@ -291,11 +286,35 @@ def compare_with_next(docs: DataFrame, terms: np.ndarray, *, key: str = "doc_id"
         return rows.mapInArrow(_compare(spark.sparkContext.broadcast(terms)), COMPARED)
     following = {p: heads[i - 1] for i, (p, _, _) in enumerate(heads)}  # the next by falling id; after the last the first
     guests = spark.createDataFrame([(p, h[1], h[2]) for p, h in following.items()], "to long, i long, h long")
-    keyed = dealt.withColumn("i", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("h", F.xxhash64("text"))
-    copies = keyed.join(F.broadcast(guests), ["i", "h"]).dropDuplicates(["to"]).select(F.col("to").alias("part"), "doc_id", "text", "i", "h", F.lit(1).alias("guest"))
-    both = keyed.select("part", "doc_id", "text", "i", "h", F.lit(0).alias("guest")).unionByName(copies)
-    ordered = both.repartitionByRange(n, "part").sortWithinPartitions(F.col("part"), F.col("guest"), F.col("i").desc(), F.col("h").desc(), F.col("text"))
-    return ordered.select("part", "guest", "doc_id", "text").mapInArrow(_compare(spark.sparkContext.broadcast(terms)), COMPARED)
+    keyed = dealt.withColumn("i", F.coalesce("doc_id", F.lit(-(2**63))))
+    copies = keyed.join(F.broadcast(guests), ["i", "h"]).dropDuplicates(["to"]).select(F.col("to").alias("part"), "doc_id", "size", "packed", "i", "h", F.lit(1).alias("guest"))
+    both = keyed.select("part", "doc_id", "size", "packed", "i", "h", F.lit(0).alias("guest")).unionByName(copies)
+    # of equal id and hash, packed texts give an order as well as the texts do
+    ordered = both.repartitionByRange(n, "part").sortWithinPartitions(F.col("part"), F.col("guest"), F.col("i").desc(), F.col("h").desc(), F.col("packed"))
+    return ordered.select("part", "guest", "doc_id", "size", "packed").mapInArrow(_compare(spark.sparkContext.broadcast(terms)), COMPARED)
+
+
+PACKED = "part long, doc_id long, h long, size long, packed binary"
+
+
+def _pack(cuts: Broadcast):
+    """(doc_id, h, text) with the range of the id, and the text packed: the exchange of the neighbour pass holds all texts, and its disk bounds the job."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
+        for batch in batches:
+            part = np.searchsorted(cuts.value, batch.column(0).fill_null(-(2**63)).to_numpy(), "left")
+            texts = [t.as_buffer() for t in batch.column(2)]
+            packed = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
+            sizes = pa.array([t.size for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(0), batch.column(1), sizes, packed], names=["part", "doc_id", "h", "size", "packed"])
+
+    return run
+
+
+def _unpacked(sizes: pa.Array, packed: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd")
+    return pa.array([codec.decompress(p, n, asbytes=True) for p, n in zip(packed.to_pylist(), sizes.to_pylist(), strict=True)], pa.large_binary()).cast(pa.large_string())
 
 
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, duplicate_edited boolean, duplicate_next boolean"
@@ -311,8 +330,9 @@ def _compare(shared):
             step = 256
             for at in range(0, batch.num_rows, step):
                 cut = batch.slice(at, step)
-                own = [render(p) for p in prints.parts(cut.column("text"))]
-                part, guest, ids, texts = (cut.column(c).to_pylist() for c in ("part", "guest", "doc_id", "text"))
+                plain = _unpacked(cut.column("size"), cut.column("packed"))
+                own = [render(p) for p in prints.parts(plain)]
+                part, guest, ids, texts = (*(cut.column(c).to_pylist() for c in ("part", "guest", "doc_id")), plain.to_pylist())
                 pairs = []
                 for now in zip(part, guest, ids, texts, own, strict=True):
                     if last is not None and last[0] == now[0] and not last[1]:
@@ -324,7 +344,7 @@ def _compare(shared):
                     yield a[2], len(a[3]), digest, a[4], p, likeness(a[4], p), likeness(a[4], b[4]), duplicates(a[4], p), duplicates(a[4], b[4])
 
         for batch in batches:
-            if batch.num_rows and batch.num_columns == 4:
+            if batch.num_rows and batch.num_columns == 5:
                 got = list(zip(*rows(batch), strict=True)) or [[]] * 9
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(g, k) for g, k in zip(got, kinds, strict=True)], names=[x.split()[0] for x in COMPARED.split(", ")])
