@@ -10,7 +10,7 @@ completed scores.
 No piece holds a word-start mark after another character, nor a line end within,
 so the lattice of a text is a chain of the lattices of its words (checked when
 the vocabulary is read; else a text is one word). The forward pass runs once for
-each distinct word that a worker meets. It also gives the word's loss, the gap
+each distinct word that a worker meets, and not again over what a word shares with the one that sorts before it. It also gives the word's loss, the gap
 between its two best paths: only the N - 1 occurrences of least loss can differ
 from the best path within the N best, so A* runs on those words and the same
 search over their alternatives joins them. The result is
@@ -80,9 +80,9 @@ class Vocabulary:
         ordinary = [s for _, s in self.pieces.values() if s > -1e8]
         self.unknown = min(ordinary, default=0.0) - UNKNOWN_GAP
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}|.\n|\n.", p, re.S) for p in self.pieces)
-        # character: (score or None, id or -1, the same for the next character)
+        # last character: (score or None, id or -1, the same for the character before)
         self.trie = {}
-        for piece, (i, score) in sorted(self.pieces.items()):  # beginnings come before what they begin
+        for piece, i, score in sorted((p[::-1], i, score) for p, (i, score) in self.pieces.items()):  # ends come before what they end
             level = self.trie
             for c in piece[:-1]:
                 level = level.setdefault(c, (None, -1, {}))[2]
@@ -106,50 +106,55 @@ def split_words(text: str, voc: Vocabulary) -> list[str]:
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
-#: A character that begins no piece.
+#: A character that ends no piece.
 _NO_PIECE = (None, -1, None)
 
 
 def forward(word: str, voc: Vocabulary) -> tuple[list[float], list[int], list[int], float]:
     """Best score of each prefix, where its last piece begins and that piece's id (-1: bytes), and the loss: best less second best path."""
-    n, root, unknown, longest = len(word), voc.trie, voc.unknown, voc.longest
-    best, second, back, last = [0.0] + [NEVER] * n, [NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-    for a in range(n):
-        x0, y0 = best[a], second[a]
-        e = a + 1
-        # a single character is always a piece: its own, or its bytes
-        s, i, children = root.get(word[a], _NO_PIECE)
-        if s is None:
-            s = unknown
-        x, y, top = x0 + s, y0 + s, best[e]
-        if x > top:
-            if top > y:
-                y = top
-            best[e], back[e], last[e] = x, a, i
-        elif x > y:
-            y = x
-        if y > second[e]:
-            second[e] = y
-        if not children:
-            continue
-        for c in word[e : a + longest]:
-            e += 1
-            if c not in children:
-                break
-            s, i, children = children[c]
-            if s is not None:
-                x, y, top = x0 + s, y0 + s, best[e]
-                if x > top:
-                    if top > y:
-                        y = top
-                    best[e], back[e], last[e] = x, a, i
-                elif x > y:
-                    y = x
-                if y > second[e]:
-                    second[e] = y
-            if not children:
+    return next(forward_each([word], voc))
+
+
+def forward_each(words: list[str], voc: Vocabulary) -> Iterator[tuple[list[float], list[int], list[int], float]]:
+    """forward() of each word, in lists that the next one changes.
+
+    A prefix is settled by the pieces that end at it, so what a word shares with the one before it stays: sorted words share most.
+    """
+    root, unknown, before = voc.trie, voc.unknown, ""
+    best, second, back, last = [0.0], [NEVER], [0], [-1]
+    for word in words:
+        n, same = len(word), 0
+        for c, d in zip(word, before):  # noqa: B905
+            if c != d:
                 break
-    return best, back, last, best[n] - second[n] if second[n] > -1e200 else float("inf")
+            same += 1
+        before = word
+        del best[same + 1 :], second[same + 1 :], back[same + 1 :], last[same + 1 :]
+        for at in range(same, n):
+            # a single character is always a piece: its own, or its bytes
+            s, own, children = root.get(word[at], _NO_PIECE)
+            if s is None:
+                s = unknown
+            top, two, begin, a = best[at] + s, second[at] + s, at, at
+            while children and a:
+                a -= 1
+                c = word[a]
+                if c not in children:
+                    break
+                s, i, children = children[c]
+                if s is not None:
+                    x = best[a] + s
+                    if x >= top:  # of equal paths the one whose last piece is longest
+                        y = second[a] + s
+                        two = top if top > y else y
+                        top, begin, own = x, a, i
+                    elif x > two:
+                        two = x
+            best.append(top)
+            second.append(two)
+            back.append(begin)
+            last.append(own)
+        yield best, back, last, best[n] - second[n] if second[n] > -1e200 else float("inf")
 
 
 def path_ids(word: str, cuts: list[int], voc: Vocabulary) -> list[int]:
@@ -203,11 +208,11 @@ class Segmenter:
         self.others: dict[str, list] = {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.at) + len(words) > CACHE:
+        if len(self.at) + len(words) > CACHE and len(self.at) + len(words.difference(self.at)) > CACHE:
             self._clear()
         score, loss, count, ids = [], [], [], []
-        for w in words.difference(self.at):
-            best, back, last, gap = forward(w, self.voc)
+        new = sorted(words.difference(self.at))
+        for w, (best, back, last, gap) in zip(new, forward_each(new, self.voc), strict=True):
             own, at = [], len(w)
             while at:
                 if last[at] >= 0:
